@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tickersift.operators.joins import broadcast_if_small
+
 MONEY = "decimal(18,2)"
 AVERAGES = (5, 10, 20, 30, 60)
 
@@ -87,8 +89,13 @@ def forward_adjusted(bars: DataFrame, columns: Sequence[str] = ("open", "high",
 
 
 def adjustable(bars: DataFrame, column: str) -> Column:
-    """A price on one scale over the whole history: times its factor, if there is one."""
-    return F.col(column) * F.col("adj_factor") if "adj_factor" in bars.columns else F.col(column)
+    """A price on one scale over the whole history: times its factor, if there is one.
+
+    The type leaves room for an exact sum and for an exact product with a bar count.
+    """
+    if "adj_factor" not in bars.columns:
+        return F.col(column)
+    return (F.col(column) * F.col("adj_factor")).cast("decimal(28,8)")
 
 
 def moving_averages(bars: DataFrame, lengths: Sequence[int] = AVERAGES) -> DataFrame:
@@ -100,7 +107,8 @@ def moving_averages(bars: DataFrame, lengths: Sequence[int] = AVERAGES) -> DataF
     scale first: ``ma<n>_sum`` is on that scale (compare it with ``n * scaled_close``)
     and ``ma<n>`` is scaled back to the row's own prices.
     """
-    running = history().rowsBetween(Window.unboundedPreceding, 0)
+    own = history()
+    running = own.rowsBetween(Window.unboundedPreceding, 0)
     base = bars.withColumns({"scaled_close": adjustable(bars, "close"), "scaled_low": adjustable(bars, "low")})
     totals = base.withColumns(
         {
@@ -111,8 +119,8 @@ def moving_averages(bars: DataFrame, lengths: Sequence[int] = AVERAGES) -> DataF
     sums = totals.withColumns(
         {
             f"ma{n}_sum": F.when(
-                F.col("_count") - F.lag("_count", n, 0).over(history()) == n,
-                F.col("_total") - F.coalesce(F.lag("_total", n).over(history()), F.lit(0)),
+                F.col("_count") - F.lag("_count", n, 0).over(own) == n,
+                F.col("_total") - F.coalesce(F.lag("_total", n).over(own), F.lit(0)),
             )
             for n in lengths
         }
@@ -136,32 +144,31 @@ def latest_rows(bars: DataFrame, n: int = 1) -> DataFrame:
 
 
 def latest_averages(bars: DataFrame, lengths: Sequence[int] = AVERAGES) -> DataFrame:
-    """Close, low and moving averages at the newest bar of each symbol.
+    """Close, low and the columns of :func:`moving_averages` at each symbol's newest bar.
 
     Only the newest ``max(lengths)`` bars of a symbol travel; the sums are conditional
     aggregates over them.
     """
-    price = adjustable(bars, "close")
-    recent = latest_rows(bars.withColumn("_price", price), max(lengths))
-    newest = F.col("age") == 1
+    prices = {"scaled_close": adjustable(bars, "close"), "scaled_low": adjustable(bars, "low")}
+    recent = latest_rows(bars.withColumns(prices), max(lengths))
+    at_newest = ["close", "low", *prices, *(["adj_factor"] if "adj_factor" in bars.columns else [])]
 
     def total(n: int) -> Column:
-        inside = F.when(F.col("age") <= n, F.col("_price"))
+        inside = F.when(F.col("age") <= n, F.col("scaled_close"))
         return F.when(F.count(inside) == n, F.sum(inside))
 
-    factor = [F.max(F.when(newest, F.col("adj_factor"))).alias("adj_factor")] if "adj_factor" in bars.columns else []
     sums = recent.groupBy("symbol").agg(
         F.max("bar_date").alias("bar_date"),
-        F.max(F.when(newest, F.col("close"))).alias("close"),
-        F.max(F.when(newest, F.col("low"))).alias("low"),
-        *factor,
+        *[F.max(F.when(F.col("age") == 1, F.col(c))).alias(c) for c in at_newest],
         *[total(n).alias(f"ma{n}_sum") for n in lengths],
     )
-    return sums.select(
-        "symbol", "bar_date", "close", "low", *[_average(bars, F.col(f"ma{n}_sum"), n).alias(f"ma{n}") for n in lengths]
-    )
+    return sums.withColumns({f"ma{n}": _average(bars, F.col(f"ma{n}_sum"), n) for n in lengths})
 
 
 def only_survivors(bars: DataFrame, survivors: DataFrame) -> DataFrame:
-    """Bars of the symbols that came through a screen."""
-    return bars.join(survivors.select("symbol"), "symbol", "left_semi")
+    """Bars of the symbols that came through a screen.
+
+    Pass a stored table of survivors: it is counted to decide whether it may be
+    broadcast, which spares the bars of all other symbols the shuffle.
+    """
+    return bars.join(broadcast_if_small(survivors.select("symbol").distinct()), "symbol", "left_semi")

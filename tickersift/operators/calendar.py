@@ -41,12 +41,18 @@ def with_session(rows: DataFrame, calendar: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(calendar), "bar_date")
 
 
-def sessions_around(calendar: DataFrame, day: date) -> tuple[date, date | None]:
-    """The newest session up to ``day`` and the one after it (None if there is none)."""
-    row = calendar.agg(
-        F.max(F.when(F.col("bar_date") <= F.lit(day), F.col("bar_date"))).alias("t"),
-        F.min(F.when(F.col("bar_date") > F.lit(day), F.col("bar_date"))).alias("t_n1"),
-    ).first()
-    if row["t"] is None:
+def sessions_around(calendar: DataFrame, day: date, back: int) -> tuple[date, date, date]:
+    """The newest session t up to ``day``, with the one ``back`` sessions before it and the one after it.
+
+    At either end of the calendar the nearest session there is stands in.
+    """
+    order = Window.partitionBy(F.lit(0)).orderBy("sess")
+    around = calendar.select(
+        "bar_date",
+        F.coalesce(F.lag("bar_date", back).over(order), F.min("bar_date").over(order)).alias("first"),
+        F.coalesce(F.lead("bar_date", 1).over(order), F.col("bar_date")).alias("last"),
+    )
+    row = around.where(F.col("bar_date") <= F.lit(day)).orderBy(F.desc("bar_date")).first()
+    if row is None:
         raise ValueError(f"no session up to {day}")
-    return row["t"], row["t_n1"]
+    return row["first"], row["bar_date"], row["last"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickersift.functions.dates import lenient_short_date
 from tickersift.functions.numeric import lenient_decimal
+from tickersift.functions.scratch import staged
 from tickersift.functions.text import contains_none
 from tickersift.operators.ranking import ranked
 from tickersift.sources.schemas import LEDGER_COLUMNS, conform
@@ -47,12 +48,14 @@ def profit_list(clean: DataFrame, drop: str = "first") -> DataFrame:
     """Profit per security without the cash rows.
 
     Cash movements carry a blank name, which sorts first. ``drop='first'`` removes the
-    smallest name whatever it is; ``drop='blank'`` removes only a blank one.
+    smallest name whatever it is; ``drop='blank'`` removes only a blank one. The totals
+    are written out, so that looking for the smallest name does not read the ledger again.
     """
     totals = security_totals(clean)
     if drop == "blank":
         return totals.where(F.trim("security") != "")
-    first = clean.agg(F.min("security")).scalar()
+    totals = staged(totals, "profit")
+    first = totals.agg(F.min("security")).scalar()
     return totals.where(F.col("security") != first)
 
 

@@ -19,9 +19,10 @@ def session_panel(bars: DataFrame, calendar: DataFrame, back: int = BACK) -> Dat
     session in between is missing. One shuffle by symbol serves every column.
     """
     rows = with_session(bars, calendar)
+    own = history()
 
     def before(name: str, k: int) -> Column:
-        return F.lag(name, k).over(history())
+        return F.lag(name, k).over(own)
 
     wide = rows.withColumns(
         {
@@ -29,9 +30,7 @@ def session_panel(bars: DataFrame, calendar: DataFrame, back: int = BACK) -> Dat
             **{f"{c}_b{k}": before(c, k) for c in ("tor", "high", "low") for k in range(1, back + 1)},
             "pct_b1": before("pct_chg", 1),
             "pct_b2": before("pct_chg", 2),
-            "pct_n1": F.when(
-                F.lead("sess", 1).over(history()) == F.col("sess") + 1, F.lead("pct_chg", 1).over(history())
-            ),
+            "pct_n1": F.when(F.lead("sess", 1).over(own) == F.col("sess") + 1, F.lead("pct_chg", 1).over(own)),
         }
     )
     return wide.where(F.col("_reach") == F.col("sess") - back).drop("_reach")

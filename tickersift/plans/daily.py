@@ -8,8 +8,10 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickersift.operators.bars import moving_averages
-from tickersift.operators.calendar import sessions_around
+from tickersift.functions.numeric import keep
+from tickersift.functions.scratch import staged
+from tickersift.operators.bars import latest_averages, only_survivors
+from tickersift.operators.calendar import BACK, sessions_around
 from tickersift.operators.panel import session_panel
 from tickersift.plans.screens import DAILY, report
 from tickersift.sources.market import between_dates
@@ -20,33 +22,32 @@ def by_next_return(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last("pct_n1"), "symbol")
 
 
-def day_panel(bars: DataFrame, calendar: DataFrame, day: date, since: date, averages) -> DataFrame:
-    """Panel rows of one session.
-
-    A filter on the date cannot pass below a window ordered by date, so the scan is
-    bounded first: from ``since`` (how far averages may look back) to the session
-    after ``day``.
-    """
-    t, t_n1 = sessions_around(calendar, day)
-    window = between_dates(bars, since, t_n1 or t)
-    panel = session_panel(moving_averages(window, averages) if averages else window, calendar)
-    return panel.where(F.col("bar_date") == F.lit(t))
-
-
 def daily_screen(
     name: str, bars: DataFrame, calendar: DataFrame, master: DataFrame, day: date, since: date, bounds=None
 ) -> DataFrame:
-    """One screen of :data:`DAILY` for one day, ready to show."""
-    screen, averages = DAILY[name]
-    panel = day_panel(bars, calendar, day, since, averages).join(master, "symbol")
-    return by_next_return(report(screen(panel, bounds) if bounds else screen(panel)))
+    """One screen of :data:`DAILY` for the newest session up to ``day``, ready to show.
+
+    ``bars`` is a stored table with pre_close, pct_chg and the metric columns. A filter on
+    the date cannot pass below a window ordered by date, so the scans themselves are
+    bounded: the row conditions run on seven sessions around the day. Only for the symbols
+    that meet them is the history from ``since`` on read, cut to the bars that the averages need.
+    """
+    screen = DAILY[name]
+    first, t, last = sessions_around(calendar, day, BACK)
+    panel = session_panel(between_dates(bars, first, last), calendar).where(F.col("bar_date") == F.lit(t))
+    rows = staged(screen.rows(panel.join(master, "symbol"), bounds), "day-rows")
+    conditions = screen.average_conditions()
+    if conditions:
+        past = only_survivors(between_dates(bars, since, t), rows)
+        averages = latest_averages(past, screen.averages).select(
+            "symbol", "scaled_close", "scaled_low", *[f"ma{n}_sum" for n in screen.averages]
+        )
+        rows = keep(averages, *conditions).join(rows, "symbol").select(*rows.columns)
+    return by_next_return(report(rows))
 
 
 def daily_screens(
     bars: DataFrame, calendar: DataFrame, master: DataFrame, day: date, since: date, bounds: Mapping[str, object]
 ) -> dict[str, DataFrame]:
-    """Several screens of one day over one shared panel; ``bounds`` maps names to bounds or None.
-
-    The panel is lazy. Call ``persist`` on ``bars`` when several results are shown.
-    """
+    """Several screens of one day; ``bounds`` maps screen names to their bounds, or to None."""
     return {name: daily_screen(name, bars, calendar, master, day, since, b) for name, b in bounds.items()}

@@ -1,7 +1,7 @@
 """Multi-session screens over the session panel.
 
-A screen looks at every (symbol, session) of the panel at once. For one day, see
-:mod:`tickersift.plans.daily`. Bounds default to the fixed values the screens are known by.
+A screen can look at every (symbol, session) of the panel at once, or at one day of it
+(see :mod:`tickersift.plans.daily`). Bounds default to the screens' own fixed values.
 """
 
 from __future__ import annotations
@@ -105,21 +105,24 @@ def at_or_above(n: int) -> Column:
     return F.col("scaled_close") * n >= F.col(f"ma{n}_sum")
 
 
-def steady_turnover(panel: DataFrame, b: SteadyTurnover = SteadyTurnover()) -> DataFrame:
-    """Turnover within bounds on four sessions in a row. The 20-bar average is not a condition."""
-    turnover = [c for name in ("tor", "tor_b1", "tor_b2", "tor_b3") for c in within(F.col(name), b.turnover_min, b.turnover_max)]
-    return keep(
-        panel,
-        *turnover,
+def crosses(n: int) -> list[Column]:
+    """A bar with its low below and its close above the n-bar average."""
+    return [F.col("scaled_close") * n > F.col(f"ma{n}_sum"), F.col("scaled_low") * n < F.col(f"ma{n}_sum")]
+
+
+def steady_turnover(b: SteadyTurnover) -> list[Column]:
+    """Turnover within bounds on four sessions in a row."""
+    four = ("tor", "tor_b1", "tor_b2", "tor_b3")
+    return [
+        *[c for name in four for c in within(F.col(name), b.turnover_min, b.turnover_max)],
         *within(F.col("pe"), b.pe_min, b.pe_max),
         *within(F.col("close"), b.close_min, b.close_max),
-    )
+    ]
 
 
-def valley_turnover(panel: DataFrame, b: ValleyTurnover = ValleyTurnover()) -> DataFrame:
-    """Turnover that fell over four sessions and picks up today, above two averages."""
-    return keep(
-        panel,
+def valley_turnover(b: ValleyTurnover) -> list[Column]:
+    """Turnover that fell over four sessions and picks up today."""
+    return [
         F.col("tor") >= F.col("tor_b1"),
         never_rising(F.col("tor_b4"), F.col("tor_b3"), F.col("tor_b2"), F.col("tor_b1")),
         F.col("tor") >= b.turnover_min,
@@ -127,94 +130,96 @@ def valley_turnover(panel: DataFrame, b: ValleyTurnover = ValleyTurnover()) -> D
         *within(F.col("close"), b.close_min, b.close_max),
         *within(F.col("pe"), b.pe_min, b.pe_max),
         F.col("pe_ttm") >= b.pe_ttm_min,
-        at_or_above(20),
-        at_or_above(60),
-    )
+    ]
 
 
-def v_shape(panel: DataFrame, b: VShape = VShape()) -> DataFrame:
-    """Falling highs into today, no gap upwards, close back above the 20-bar average."""
-    return keep(
-        panel,
+def v_shape(b: VShape) -> list[Column]:
+    """Falling highs into today, without a gap upwards."""
+    return [
         never_rising(F.col("high_b3"), F.col("high_b2"), F.col("high_b1"), F.col("high")),
         F.col("pct_chg") > b.change_above,
         F.col("pct_chg") < b.change_below,
         F.col("low") <= F.col("high_b1"),
         F.col("tor") >= b.turnover_min,
         F.col("tor_b1") >= b.turnover_min,
-        at_or_above(20),
-    )
+    ]
 
 
-def rising_lows(panel: DataFrame, b: RisingLows = RisingLows()) -> DataFrame:
-    """Four sessions of rising lows with small gains, close above the 5-bar average."""
-    return keep(
-        panel,
+def rising_lows(b: RisingLows) -> list[Column]:
+    """Four sessions of rising lows with small gains."""
+    return [
         never_rising(F.col("low"), F.col("low_b1"), F.col("low_b2"), F.col("low_b3")),
         *[F.col(c) <= b.change_max for c in ("pct_chg", "pct_b1", "pct_b2")],
         *within(F.col("close"), b.close_min, b.close_max),
         F.col("pe") >= b.pe_min,
         F.col("pe_ttm") >= b.pe_ttm_min,
-        at_or_above(5),
-    )
+    ]
 
 
-def doji(panel: DataFrame, b: Doji = Doji()) -> DataFrame:
+def doji(b: Doji) -> list[Column]:
     """A small rising body in chosen areas.
 
     ``look_ahead`` also bounds the next session's change, which only a back-test knows.
     """
-    ahead = within(F.col("pct_n1"), b.next_change_min, b.next_change_max) if b.look_ahead else []
-    return keep(
-        panel,
+    return [
         F.col("open") <= F.col("close"),
         body_ratio(F.col("open"), F.col("close")) <= b.body_max,
         *within(F.col("pct_chg"), b.change_min, b.change_max),
-        *ahead,
+        *(within(F.col("pct_n1"), b.next_change_min, b.next_change_max) if b.look_ahead else []),
         contains_any(F.col("area"), b.areas),
         F.col("tor") >= b.turnover_min,
         F.col("tor_b1") >= b.turnover_b1_min,
         *within(F.col("pe"), b.pe_min, b.pe_max),
         F.col("pe_ttm") >= b.pe_ttm_min,
-    )
+    ]
 
 
-def cross_all_averages(panel: DataFrame, b: CrossAllAverages = CrossAllAverages()) -> DataFrame:
-    """A bar that starts below and closes above all five averages."""
-    crossing = [
-        c
-        for n in AVERAGES
-        for c in (F.col("scaled_close") * n > F.col(f"ma{n}_sum"), F.col("scaled_low") * n < F.col(f"ma{n}_sum"))
-    ]
-    return keep(
-        panel,
+def cross_all_averages(b: CrossAllAverages) -> list[Column]:
+    """Price, earnings and turnover bounds of the bars to test against all averages."""
+    return [
         *within(F.col("close"), b.close_min, b.close_max),
         *within(F.col("pe"), b.pe_min, b.pe_max),
         *within(F.col("pe_ttm"), b.pe_ttm_min),
         F.col("tor") >= b.turnover_min,
-        *crossing,
-    )
+    ]
 
 
-def turnover_surge(panel: DataFrame, b: TurnoverSurge = TurnoverSurge()) -> DataFrame:
-    """Turnover at least ``factor`` times the session before, close above the 5-bar average."""
-    return keep(
-        panel,
-        F.col("close") >= b.close_min,
-        grew_by(F.col("tor"), F.col("tor_b1"), b.factor),
-        at_or_above(5),
-    )
+def turnover_surge(b: TurnoverSurge) -> list[Column]:
+    """Turnover at least ``factor`` times that of the session before."""
+    return [F.col("close") >= b.close_min, grew_by(F.col("tor"), F.col("tor_b1"), b.factor)]
 
 
-# Screen and the averages its panel needs.
-DAILY: dict[str, tuple[Callable[..., DataFrame], tuple[int, ...]]] = {
-    "steady_turnover": (steady_turnover, (20,)),
-    "valley_turnover": (valley_turnover, (20, 60)),
-    "v_shape": (v_shape, (20,)),
-    "rising_lows": (rising_lows, (5,)),
-    "doji": (doji, ()),
-    "cross_all_averages": (cross_all_averages, AVERAGES),
-    "turnover_surge": (turnover_surge, (5,)),
+@dataclass(frozen=True)
+class Screen:
+    """Conditions on the panel row, then conditions on its moving averages."""
+
+    bounds: type
+    row_conditions: Callable[..., list[Column]]
+    average_conditions: Callable[[], list[Column]] = list
+    averages: tuple[int, ...] = ()
+
+    def rows(self, panel: DataFrame, bounds=None) -> DataFrame:
+        """Panel rows that meet the first part; needs no averages."""
+        return keep(panel, *self.row_conditions(bounds or self.bounds()))
+
+    def survivors(self, panel: DataFrame, bounds=None) -> DataFrame:
+        """Panel rows that meet both parts; the panel carries :attr:`averages`."""
+        found = self.rows(panel, bounds)
+        conditions = self.average_conditions()
+        return keep(found, *conditions) if conditions else found
+
+
+DAILY: dict[str, Screen] = {
+    # The 20-bar average is attached but is not a condition.
+    "steady_turnover": Screen(SteadyTurnover, steady_turnover, list, (20,)),
+    "valley_turnover": Screen(ValleyTurnover, valley_turnover, lambda: [at_or_above(20), at_or_above(60)], (20, 60)),
+    "v_shape": Screen(VShape, v_shape, lambda: [at_or_above(20)], (20,)),
+    "rising_lows": Screen(RisingLows, rising_lows, lambda: [at_or_above(5)], (5,)),
+    "doji": Screen(Doji, doji),
+    "cross_all_averages": Screen(
+        CrossAllAverages, cross_all_averages, lambda: [c for n in AVERAGES for c in crosses(n)], AVERAGES
+    ),
+    "turnover_surge": Screen(TurnoverSurge, turnover_surge, lambda: [at_or_above(5)], (5,)),
 }
 
 

@@ -11,13 +11,34 @@ from tickersift.functions.dates import week_start
 from tickersift.operators.bars import MONEY, bars_from_trades, percent_change
 from tickersift.operators.calendar import trading_calendar, with_session
 from tickersift.operators.joins import lookup
+from tickersift.sources.market import spread_small
 
 TRADE_ORDER = ("ts", "l_orderkey", "l_linenumber")
 DAYS_PER_WEEK = 7
 
 
+# Columns of the driver tables. A known schema saves a look into the files.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def trades(spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None) -> DataFrame:
@@ -28,7 +49,7 @@ def trades(spark: SparkSession, sf_dir: str, start: date | None = None, end: dat
     if end:
         after = end + timedelta(days=DAYS_PER_WEEK)
         rows = rows.where(F.col("l_shipdate") < F.lit(after).cast("timestamp_ntz"))
-    return rows.select(
+    columns = rows.select(
         F.col("l_suppkey").alias("symbol"),
         F.col("l_shipdate").alias("ts"),
         "l_orderkey",
@@ -36,6 +57,7 @@ def trades(spark: SparkSession, sf_dir: str, start: date | None = None, end: dat
         F.col("l_extendedprice").alias("price"),
         F.col("l_quantity").alias("qty"),
     )
+    return spread_small(columns, "symbol")
 
 
 def weekly_bars(spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None) -> DataFrame:
@@ -102,6 +124,10 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_small(table(spark, sf_dir, "pages"), "page_id")
+
+
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every instrument, listed or not."""
     return listing(spark, sf_dir).drop("list_status")

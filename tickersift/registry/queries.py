@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tickersift.functions.charset import encode_text
 from tickersift.functions.dates import days_after, days_before, yyyymmdd
-from tickersift.functions.scratch import scratch_path
+from tickersift.functions.scratch import scratch_path, staged
 from tickersift.functions.text import first_match, pattern
 from tickersift.operators.bars import (
     forward_adjusted,
@@ -22,7 +22,7 @@ from tickersift.operators.bars import (
     percent_change,
     resample,
 )
-from tickersift.operators.calendar import session_offsets
+from tickersift.operators.calendar import session_offsets, trading_calendar
 from tickersift.operators.ledger import cash_flow, clean_ledger, cleared_profit, profit_list, ranked_profit
 from tickersift.operators.pages import follow_links, page_first_match, page_index, page_links, page_records
 from tickersift.operators.panel import session_panel
@@ -142,7 +142,8 @@ def moving_averages_qfq(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latest_ma(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(latest_averages(inputs.weekly_bars(spark, sf)))
+    found = latest_averages(inputs.weekly_bars(spark, sf))
+    return plain(found.select("symbol", "bar_date", "close", "low", *[f"ma{n}" for n in s.AVERAGES]))
 
 
 def latest3_weekly(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,8 +176,9 @@ def panel_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def survivors(name: str, spark: SparkSession, sf: str) -> DataFrame:
-    screen, averages = s.DAILY[name]
-    return screen(full_panel(spark, sf, averages).join(inputs.master(spark, sf), "symbol"), BOUNDS[name])
+    screen = s.DAILY[name]
+    panel = full_panel(spark, sf, screen.averages).join(inputs.master(spark, sf), "symbol")
+    return screen.survivors(panel, BOUNDS[name])
 
 
 def screen_query(name: str) -> Query:
@@ -188,11 +190,10 @@ def screen_query(name: str) -> Query:
 
 def ma_survivors(spark: SparkSession, sf: str) -> DataFrame:
     bars = inputs.weekly_bars(spark, sf)
-    screened = s.keep(
-        inputs.with_metrics(snapshot(inputs.weekly_bars(spark, sf, SNAPSHOT_DAY, SNAPSHOT_DAY), SNAPSHOT_DAY)),
-        *s.within(F.col("pe"), 10, 60),
-    )
-    return plain(latest_averages(only_survivors(bars, screened)))
+    today = snapshot(inputs.weekly_bars(spark, sf, SNAPSHOT_DAY, SNAPSHOT_DAY), SNAPSHOT_DAY)
+    screened = s.keep(inputs.with_metrics(today), *s.within(F.col("pe"), 10, 60))
+    found = latest_averages(only_survivors(bars, staged(screened, "screened")))
+    return plain(found.select("symbol", "bar_date", "close", "low", *[f"ma{n}" for n in s.AVERAGES]))
 
 
 def rank_by_next_return(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,22 +203,13 @@ def rank_by_next_return(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily_cross_all_ma(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(
-        daily_screen(
-            "cross_all_averages",
-            inputs.quoted_bars(spark, sf, HISTORY_START, days_after_session(SNAPSHOT_DAY)),
-            inputs.calendar(spark, sf),
-            inputs.master(spark, sf),
-            SNAPSHOT_DAY,
-            HISTORY_START,
-            BOUNDS["cross_all_averages"],
-        )
-    )
-
-
-def days_after_session(day: date) -> date:
-    """The Monday after a weekly session."""
-    return date.fromordinal(day.toordinal() + inputs.DAYS_PER_WEEK)
+    """The flagship screen for one day, as a daily job runs it over a stored bar table."""
+    by_year = inputs.quoted_bars(spark, sf).hint("rebalance", F.year("bar_date")).sortWithinPartitions("bar_date")
+    bars = staged(by_year, "bars")
+    sessions = staged(trading_calendar(bars), "calendar")
+    bounds = BOUNDS["cross_all_averages"]
+    master = inputs.master(spark, sf)
+    return plain(daily_screen("cross_all_averages", bars, sessions, master, SNAPSHOT_DAY, HISTORY_START, bounds))
 
 
 # --- weekly and fundamental screens ----------------------------------------------------
@@ -307,8 +299,7 @@ def ledger_cleared_profit(spark: SparkSession, sf: str) -> DataFrame:
 # --- pages -----------------------------------------------------------------------------
 
 
-def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.table(spark, sf, "pages")
+pages = inputs.pages
 
 
 def links(spark: SparkSession, sf: str) -> DataFrame:

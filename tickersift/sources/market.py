@@ -19,6 +19,18 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return nan_to_null(df.select(*columns) if columns else df)
 
 
+def spread_small(df: DataFrame, *by: str) -> DataFrame:
+    """Spread a scan that comes in fewer splits than there are cores.
+
+    A file of one row group is read by a single task, which would then do the work of
+    the next operators alone. Spreading by the key of the next aggregate or window also
+    saves its shuffle. A large table has more splits than cores and is left as it is, so a
+    hot key is never gathered before the map-side part of an aggregate has shrunk it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
+
+
 def listed_instruments(master: DataFrame, columns: Sequence[str] = ("symbol", "name", "area", "industry")) -> DataFrame:
     return master.where(F.col("list_status") == LISTED).select(*columns)
 
