@@ -95,7 +95,7 @@ def adjustable(bars: DataFrame, column: str) -> Column:
     """
     if "adj_factor" not in bars.columns:
         return F.col(column)
-    return (F.col(column) * F.col("adj_factor")).cast("decimal(28,8)")
+    return (F.col(column) * F.col("adj_factor")).cast("decimal(26,8)")
 
 
 def moving_averages(bars: DataFrame, lengths: Sequence[int] = AVERAGES) -> DataFrame:

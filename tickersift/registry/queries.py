@@ -204,8 +204,8 @@ def rank_by_next_return(spark: SparkSession, sf: str) -> DataFrame:
 
 def daily_cross_all_ma(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship screen for one day, as a daily job runs it over a stored bar table."""
-    by_year = inputs.quoted_bars(spark, sf).hint("rebalance", F.year("bar_date")).sortWithinPartitions("bar_date")
-    bars = staged(by_year, "bars")
+    by_year = inputs.quoted_bars(spark, sf).withColumn("_year", F.year("bar_date")).hint("rebalance", "_year")
+    bars = staged(by_year.drop("_year").sortWithinPartitions("bar_date"), "bars")
     sessions = staged(trading_calendar(bars), "calendar")
     bounds = BOUNDS["cross_all_averages"]
     master = inputs.master(spark, sf)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: str = "*", app: str = "tickersift", shuffle_partitions: int = 8) -> SparkSession:
-    spark = (
+def local_session(
+    cores: str = "*", app: str = "tickersift", shuffle_partitions: int = 8, shared_folder: str | None = None
+) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -16,7 +18,9 @@ def local_session(cores: str = "*", app: str = "tickersift", shuffle_partitions:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .getOrCreate()
     )
+    if shared_folder:
+        builder = builder.config("spark.checkpoint.dir", shared_folder)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
