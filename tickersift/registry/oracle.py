@@ -192,7 +192,7 @@ def _resampled(source: str, period: str, name: str) -> str:
 
 
 _PRE = "lag(close) OVER (PARTITION BY symbol ORDER BY bar_date) AS pre_close"
-_DAY = "DATE '2000-01-31'"
+_DAY = "DATE '1997-11-17'"
 _MA_COLUMNS = ", ".join(f"{_ma(n)} AS ma{n}" for n in AVERAGES)
 _LATEST_MA = f"""SELECT symbol, bar_date, {_d("close", "low")}, {", ".join(f"ma{n}" for n in AVERAGES)}
       FROM (SELECT *, {_MA_COLUMNS}, row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) AS age FROM bars)

@@ -48,7 +48,7 @@ from tickersift.sources.schemas import LEDGER_COLUMNS, conform
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-SNAPSHOT_DAY = date(2000, 1, 31)
+SNAPSHOT_DAY = date(1997, 11, 17)
 RANGE_START, RANGE_END = date(1995, 6, 5), date(1998, 12, 28)
 REPORTS_START, REPORTS_END = date(1995, 3, 31), date(2001, 12, 31)
 FORECASTS_START, FORECASTS_END = date(2024, 1, 10), date(2024, 12, 31)
