@@ -140,7 +140,8 @@ def latest_rows(bars: DataFrame, n: int = 1) -> DataFrame:
     shuffle as well as after it.
     """
     newest_first = Window.partitionBy("symbol").orderBy(F.desc("bar_date"))
-    return bars.withColumn("age", F.row_number().over(newest_first)).where(F.col("age") <= n)
+    rows = bars.withColumn("age", F.row_number().over(newest_first)).where(F.col("age") <= n)
+    return rows.withColumn("age", F.col("age").cast("bigint"))
 
 
 def latest_averages(bars: DataFrame, lengths: Sequence[int] = AVERAGES) -> DataFrame:
@@ -168,7 +169,7 @@ def latest_averages(bars: DataFrame, lengths: Sequence[int] = AVERAGES) -> DataF
 def only_survivors(bars: DataFrame, survivors: DataFrame) -> DataFrame:
     """Bars of the symbols that came through a screen.
 
-    Pass a stored table of survivors: it is counted to decide whether it may be
-    broadcast, which spares the bars of all other symbols the shuffle.
+    Pass survivors that are cheap to read, such as a stored table: they are counted to
+    decide whether they may be broadcast, which spares all other bars the shuffle.
     """
     return bars.join(broadcast_if_small(survivors.select("symbol").distinct()), "symbol", "left_semi")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ RANKED_FILM = pattern(
     r'.*?score.*?><i class="integer">(.*?)</i><i.*?fraction.*?>(.*?)</i>.*?</dd>',
     across_lines=True,
 )
+FILM_LITERALS = ("board-index", "releasetime", '<i class="integer">', "fraction")
 FILM_FIELDS = ("Index", "Name", "Actor", "Time", "Score", "Float")
 
 
@@ -31,10 +34,19 @@ def page_links(
 
 
 def page_records(
-    pages: DataFrame, regex: str, names: Sequence[str], keep: Sequence[str] = ("page_id",)
+    pages: DataFrame,
+    regex: str,
+    names: Sequence[str],
+    keep: Sequence[str] = ("page_id",),
+    literals: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per listing entry; the regex may span lines."""
-    return explode_matches(pages, "html", regex, names, keep)
+    """One row per listing entry; the regex may span lines.
+
+    ``literals`` are texts that every match contains. A page without one of them is not
+    searched: a regex with many lazy parts is slowest where it fails.
+    """
+    likely = pages.where(reduce(and_, [F.col("html").contains(t) for t in literals])) if literals else pages
+    return explode_matches(likely, "html", regex, names, keep)
 
 
 def page_first_match(pages: DataFrame, regex: str, name: str, key: str = "page_id") -> DataFrame:

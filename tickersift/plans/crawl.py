@@ -14,6 +14,7 @@ from tickersift.operators.pages import (
     CHAPTER_TEXT,
     CHAPTERS_OF_BOOK,
     FILM_FIELDS,
+    FILM_LITERALS,
     LISTED_BOOK,
     LISTED_CHAPTER,
     RANKED_FILM,
@@ -40,7 +41,8 @@ class Site:
 
 def film_listing(pages: DataFrame, path: str, encoding: str = "GBK") -> None:
     """Append the records of ranked listing pages to a CSV folder."""
-    write_csv(page_records(pages, RANKED_FILM, FILM_FIELDS).select(*FILM_FIELDS), path, "append", encoding)
+    records = page_records(pages, RANKED_FILM, FILM_FIELDS, literals=FILM_LITERALS)
+    write_csv(records.select(*FILM_FIELDS), path, "append", encoding)
 
 
 def by_url(base: Column, href: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,32 +23,40 @@ def by_next_return(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last("pct_n1"), "symbol")
 
 
-def daily_screen(
-    name: str, bars: DataFrame, calendar: DataFrame, master: DataFrame, day: date, since: date, bounds=None
-) -> DataFrame:
-    """One screen of :data:`DAILY` for the newest session up to ``day``, ready to show.
-
-    ``bars`` is a stored table with pre_close, pct_chg and the metric columns. A filter on
-    the date cannot pass below a window ordered by date, so the scans themselves are
-    bounded: the row conditions run on seven sessions around the day. Only for the symbols
-    that meet them is the history from ``since`` on read, cut to the bars that the averages need.
+def daily_screens(
+    bars: DataFrame, calendar: DataFrame, master: DataFrame, day: date, since: date, bounds: Mapping[str, object]
+) -> dict[str, DataFrame]:
+    """Screens of :data:`DAILY` for the newest session up to ``day``, ready to show.
+
+    ``bounds`` maps the names of the wanted screens to their bounds, or to None for the
+    fixed ones. ``bars`` is a stored table with pre_close, pct_chg and the metric columns.
+    A filter on the date cannot pass below a window ordered by date, so the scans
+    themselves are bounded: one panel, made of seven sessions around the day, serves all
+    screens. Only for the symbols that meet the row conditions of some screen is the
+    history from ``since`` on read, once, and cut to the bars that the averages need.
     """
-    screen = DAILY[name]
     first, t, last = sessions_around(calendar, day, BACK)
     panel = session_panel(between_dates(bars, first, last), calendar).where(F.col("bar_date") == F.lit(t))
-    rows = staged(screen.rows(panel.join(master, "symbol"), bounds), "day-rows")
-    conditions = screen.average_conditions()
-    if conditions:
-        past = only_survivors(between_dates(bars, since, t), rows)
-        averages = latest_averages(past, screen.averages).select(
-            "symbol", "scaled_close", "scaled_low", *[f"ma{n}_sum" for n in screen.averages]
+    panel = staged(panel.join(master, "symbol"), "day-panel")
+    found = {name: DAILY[name].rows(panel, b) for name, b in bounds.items()}
+
+    tested = [name for name in found if DAILY[name].average_conditions()]
+    if tested:
+        lengths = sorted({n for name in tested for n in DAILY[name].averages})
+        symbols = reduce(DataFrame.union, [found[name].select("symbol") for name in tested])
+        past = only_survivors(between_dates(bars, since, t), symbols)
+        averages = latest_averages(past, lengths).select(
+            "symbol", "scaled_close", "scaled_low", *[f"ma{n}_sum" for n in lengths]
         )
-        rows = keep(averages, *conditions).join(rows, "symbol").select(*rows.columns)
-    return by_next_return(report(rows))
+        averages = staged(averages, "day-averages") if len(tested) > 1 else averages
+        for name in tested:
+            rows = keep(averages, *DAILY[name].average_conditions()).join(found[name], "symbol")
+            found[name] = rows.select(*panel.columns)
+    return {name: by_next_return(report(rows)) for name, rows in found.items()}
 
 
-def daily_screens(
-    bars: DataFrame, calendar: DataFrame, master: DataFrame, day: date, since: date, bounds: Mapping[str, object]
-) -> dict[str, DataFrame]:
-    """Several screens of one day; ``bounds`` maps screen names to their bounds, or to None."""
-    return {name: daily_screen(name, bars, calendar, master, day, since, b) for name, b in bounds.items()}
+def daily_screen(
+    name: str, bars: DataFrame, calendar: DataFrame, master: DataFrame, day: date, since: date, bounds=None
+) -> DataFrame:
+    """One screen for one day, see :func:`daily_screens`."""
+    return daily_screens(bars, calendar, master, day, since, {name: bounds})[name]

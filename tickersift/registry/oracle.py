@@ -93,10 +93,36 @@ def _screen(where: str) -> str:
     return f"{_with(BARS_W, CALENDAR, MASTER, QUOTED, PANEL)}SELECT {_REPORT} FROM panel JOIN master USING (symbol) WHERE {where}"
 
 
-_SURGE = "close >= 5000 AND ((tor_b1 = 0 AND tor > 0) OR tor / nullif(tor_b1, 0) >= 3) AND close * 5 >= sum5"
-_CROSS = "pe BETWEEN 5 AND 100 AND tor >= 20 AND " + " AND ".join(
-    f"close * {n} > sum{n} AND low * {n} < sum{n}" for n in AVERAGES
-)
+# Conditions of the seven panel screens.
+SCREENS = {
+    "steady_turnover": (
+        "tor BETWEEN 15 AND 60 AND tor_b1 BETWEEN 15 AND 60 AND tor_b2 BETWEEN 15 AND 60 AND tor_b3 BETWEEN 15 AND 60"
+        " AND pe BETWEEN 10 AND 80 AND close BETWEEN 5000 AND 80000"
+    ),
+    "valley_turnover": (
+        "tor >= tor_b1 AND tor_b1 <= tor_b2 AND tor_b2 <= tor_b3 AND tor_b3 <= tor_b4 AND tor >= 20 AND tor_b1 >= 5"
+        " AND close BETWEEN 5000 AND 90000 AND pe BETWEEN 5 AND 90 AND pe_ttm >= 5"
+        " AND close * 20 >= sum20 AND close * 60 >= sum60"
+    ),
+    "v_shape": (
+        "high <= high_b1 AND high_b1 <= high_b2 AND high_b2 <= high_b3 AND pct_chg > -90 AND pct_chg < 300"
+        " AND low <= high_b1 AND tor >= 10 AND tor_b1 >= 10 AND close * 20 >= sum20"
+    ),
+    "rising_lows": (
+        "low >= low_b1 AND low_b1 >= low_b2 AND low_b2 >= low_b3 AND pct_chg <= 400 AND pct_b1 <= 400"
+        " AND pct_b2 <= 400 AND close BETWEEN 5000 AND 100000 AND pe >= 5 AND pe_ttm >= 5 AND close * 5 >= sum5"
+    ),
+    "doji": (
+        "open <= close AND abs(CAST(open AS DOUBLE) - CAST(close AS DOUBLE)) / CAST(open AS DOUBLE) <= 0.05"
+        " AND pct_chg BETWEEN -50 AND 400 AND pct_n1 BETWEEN -90 AND 500 AND regexp_matches(area, 'NATION_1|NATION_2')"
+        " AND tor >= 10 AND tor_b1 >= 5 AND pe BETWEEN 5 AND 90 AND pe_ttm >= 5"
+    ),
+    "cross_all_averages": "pe BETWEEN 5 AND 100 AND tor >= 20 AND "
+    + " AND ".join(f"close * {n} > sum{n} AND low * {n} < sum{n}" for n in AVERAGES),
+    "turnover_surge": (
+        "close >= 5000 AND ((tor_b1 = 0 AND tor > 0) OR tor / nullif(tor_b1, 0) >= 3) AND close * 5 >= sum5"
+    ),
+}
 
 INDICATORS = """indicators AS (
       SELECT l_suppkey AS symbol, CAST(quarter + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS report_end,
@@ -243,32 +269,19 @@ SQL: dict[str, str] = {
       SELECT symbol FROM bars WHERE bar_date = {_DAY} AND CAST(close AS DOUBLE) / {EPS} BETWEEN 10 AND 60)""",
     "rank_by_next_return": f"""{_with(BARS_W, CALENDAR, QUOTED, PANEL)}SELECT symbol, bar_date, {_d("close")}, pct_n1,
       row_number() OVER (PARTITION BY bar_date ORDER BY pct_n1 DESC NULLS LAST, symbol) - 1 AS rank
-      FROM panel WHERE {_SURGE}""",
-    "screen_steady_turnover": _screen(
-        "tor BETWEEN 15 AND 60 AND tor_b1 BETWEEN 15 AND 60 AND tor_b2 BETWEEN 15 AND 60 AND tor_b3 BETWEEN 15 AND 60"
-        " AND pe BETWEEN 10 AND 80 AND close BETWEEN 5000 AND 80000"
-    ),
-    "screen_valley_turnover": _screen(
-        "tor >= tor_b1 AND tor_b1 <= tor_b2 AND tor_b2 <= tor_b3 AND tor_b3 <= tor_b4 AND tor >= 20 AND tor_b1 >= 5"
-        " AND close BETWEEN 5000 AND 90000 AND pe BETWEEN 5 AND 90 AND pe_ttm >= 5"
-        " AND close * 20 >= sum20 AND close * 60 >= sum60"
-    ),
-    "screen_v_shape": _screen(
-        "high <= high_b1 AND high_b1 <= high_b2 AND high_b2 <= high_b3 AND pct_chg > -90 AND pct_chg < 300"
-        " AND low <= high_b1 AND tor >= 10 AND tor_b1 >= 10 AND close * 20 >= sum20"
-    ),
-    "screen_rising_lows": _screen(
-        "low >= low_b1 AND low_b1 >= low_b2 AND low_b2 >= low_b3 AND pct_chg <= 400 AND pct_b1 <= 400"
-        " AND pct_b2 <= 400 AND close BETWEEN 5000 AND 100000 AND pe >= 5 AND pe_ttm >= 5 AND close * 5 >= sum5"
-    ),
-    "screen_doji": _screen(
-        "open <= close AND abs(CAST(open AS DOUBLE) - CAST(close AS DOUBLE)) / CAST(open AS DOUBLE) <= 0.05"
-        " AND pct_chg BETWEEN -50 AND 400 AND pct_n1 BETWEEN -90 AND 500 AND regexp_matches(area, 'NATION_1|NATION_2')"
-        " AND tor >= 10 AND tor_b1 >= 5 AND pe BETWEEN 5 AND 90 AND pe_ttm >= 5"
+      FROM panel WHERE {SCREENS["turnover_surge"]}""",
+    "screen_steady_turnover": _screen(SCREENS["steady_turnover"]),
+    "screen_valley_turnover": _screen(SCREENS["valley_turnover"]),
+    "screen_v_shape": _screen(SCREENS["v_shape"]),
+    "screen_rising_lows": _screen(SCREENS["rising_lows"]),
+    "screen_doji": _screen(SCREENS["doji"]),
+    "screen_cross_all_ma": _screen(SCREENS["cross_all_averages"]),
+    "screen_turnover_surge": _screen(SCREENS["turnover_surge"]),
+    "daily_screens": _with(BARS_W, CALENDAR, MASTER, QUOTED, PANEL)
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS screen, {_REPORT} FROM panel JOIN master USING (symbol) WHERE bar_date = {_DAY} AND {where}"
+        for name, where in SCREENS.items()
     ),
-    "screen_cross_all_ma": _screen(_CROSS),
-    "screen_turnover_surge": _screen(_SURGE),
-    "daily_cross_all_ma": _screen(f"bar_date = {_DAY} AND {_CROSS}"),
     "screen_weekly_rising": f"{_with(BARS_W, _weekly_rising())}SELECT symbol, bar_date, {_OHLC} FROM rising",
     "screen_weekly_rising_now": f"""{_with(BARS_W, _weekly_rising())}SELECT symbol, bar_date, {_OHLC}
       FROM rising WHERE age = 1""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from tickersift.operators.panel import session_panel
 from tickersift.operators.ranking import ranked
 from tickersift.plans import screens as s
 from tickersift.plans.crawl import Site, chapter_texts
-from tickersift.plans.daily import daily_screen
+from tickersift.plans.daily import daily_screens
 from tickersift.plans.fundamentals import (
     HighTransfer,
     SmallCap,
@@ -42,7 +43,7 @@ from tickersift.plans.fundamentals import (
 from tickersift.registry import inputs
 from tickersift.sinks.tables import read_csv, read_text_by_title, write_by_date, write_csv, write_text_by_title
 from tickersift.sources.ledgers import read_sheets
-from tickersift.sources.market import between_dates, first_symbols, listed_instruments, snapshot
+from tickersift.sources.market import between_dates, first_symbols, listed_instruments, read_table, snapshot
 from tickersift.sources.pages import decode_pages, paged_urls
 from tickersift.sources.schemas import LEDGER_COLUMNS, conform
 
@@ -202,14 +203,13 @@ def rank_by_next_return(spark: SparkSession, sf: str) -> DataFrame:
     return plain(ranked(rows, order, by="bar_date").withColumn("rank", F.col("rank") - 1))
 
 
-def daily_cross_all_ma(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship screen for one day, as a daily job runs it over a stored bar table."""
+def daily_job(spark: SparkSession, sf: str) -> DataFrame:
+    """All seven screens for one day over a stored bar table, as one list of findings."""
     by_year = inputs.quoted_bars(spark, sf).withColumn("_year", F.year("bar_date")).hint("rebalance", "_year")
     bars = staged(by_year.drop("_year").sortWithinPartitions("bar_date"), "bars")
     sessions = staged(trading_calendar(bars), "calendar")
-    bounds = BOUNDS["cross_all_averages"]
-    master = inputs.master(spark, sf)
-    return plain(daily_screen("cross_all_averages", bars, sessions, master, SNAPSHOT_DAY, HISTORY_START, bounds))
+    found = daily_screens(bars, sessions, inputs.master(spark, sf), SNAPSHOT_DAY, HISTORY_START, BOUNDS)
+    return plain(reduce(DataFrame.unionByName, [df.withColumn("screen", F.lit(name)) for name, df in found.items()]))
 
 
 # --- weekly and fundamental screens ----------------------------------------------------
@@ -232,7 +232,10 @@ def latest_quotes(spark: SparkSession, sf: str) -> DataFrame:
 
 def screen_high_transfer(spark: SparkSession, sf: str) -> DataFrame:
     bounds = HighTransfer(25, 5, 2.0, None, 140, None)
-    rows = high_transfer(latest_quotes(spark, sf), inputs.indicators(spark, sf), bounds)
+    path = scratch_path(spark, "indicators")
+    inputs.indicators(spark, sf).write.parquet(path)
+    saved = read_table(spark, path, ["symbol", "report_end", "capital_rese_ps", "eps"])
+    rows = high_transfer(latest_quotes(spark, sf), saved, bounds)
     columns = ("symbol", "name", "close", "float_share", "total_share", "circ_mv", "total_mv")
     return plain(rows.select(*columns, "report_end", "capital_rese_ps", "eps"))
 
@@ -394,7 +397,7 @@ QUERIES: dict[str, Query] = {
     "screen_doji": screen_query("doji"),
     "screen_cross_all_ma": screen_query("cross_all_averages"),
     "screen_turnover_surge": screen_query("turnover_surge"),
-    "daily_cross_all_ma": daily_cross_all_ma,
+    "daily_screens": daily_job,
     "screen_weekly_rising": screen_weekly_rising,
     "screen_weekly_rising_now": screen_weekly_rising_now,
     "screen_high_transfer": screen_high_transfer,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,6 +11,11 @@ from pyspark.sql.types import StructType
 from tickersift.functions.charset import allow_legacy_charsets
 
 
+def dated(path: str, day: date) -> str:
+    """A path that carries the day of the report: ``report`` -> ``report_20190813``."""
+    return f"{path}_{day:%Y%m%d}"
+
+
 def write_by_date(df: DataFrame, path: str, on: str = "bar_date", fmt: str = "parquet") -> None:
     """Overwrite a table partitioned by date.
 
