@@ -12,6 +12,7 @@ from tickersift.plans.fundamentals import (
     small_cap,
     snapshot_enrich,
 )
+from tickersift.sources.schemas import DAILY_METRIC
 from tickersift.sources.market import between_dates, first_symbols, listed_instruments, read_table, snapshot
 
 QUOTE = (
@@ -86,6 +87,8 @@ def test_scans(spark, tmp_path):
     table = read_table(spark, path)
     assert table.where("pe is null").count() == 1
     assert read_table(spark, path, ["pe"]).columns == ["pe"]
+    typed = read_table(spark, path, schema=DAILY_METRIC)
+    assert dict(typed.dtypes)["bar_date"] == "date" and typed.where("pe is null").count() == 1
     listed = listed_instruments(table, ("symbol", "pe"))
     assert sorted(r.symbol for r in listed.collect()) == ["a", "b"]
     assert [r.symbol for r in first_symbols(listed, 1).collect()] == ["a"]

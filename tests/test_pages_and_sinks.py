@@ -15,7 +15,14 @@ from tickersift.operators.pages import (
     resolve_url,
 )
 from tickersift.plans.crawl import chapter_texts, film_listing
-from tickersift.sinks.tables import read_csv, read_text_by_title, write_by_date, write_csv, write_text_by_title
+from tickersift.sinks.tables import (
+    dated,
+    read_csv,
+    read_text_by_title,
+    write_by_date,
+    write_csv,
+    write_text_by_title,
+)
 from tickersift.sources.pages import paged_urls, read_page_files
 
 PAGES = "page_id long, url string, html string"
@@ -131,6 +138,25 @@ def test_overwrite_and_partitions(spark, tmp_path):
     assert [p.name for p in (tmp_path / "t").glob("bar_date=*")] == ["bar_date=2020-01-02"]
 
 
+def test_a_hot_date_is_written_by_several_tasks(spark, tmp_path):
+    df = spark.range(0, 200_000, 1, 4).select(
+        F.xxhash64("id").alias("v"), F.when(F.col("id") % 3 == 0, "2020-01-02").otherwise("2020-01-01").alias("bar_date")
+    )
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(size)
+    spark.conf.set(size, "200k")
+    try:
+        write_by_date(df, str(tmp_path / "t"))
+    finally:
+        spark.conf.set(size, old)
+    assert len(list((tmp_path / "t" / "bar_date=2020-01-01").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 200_000
+
+
+def test_dated_path():
+    assert dated("out/report", date(2019, 8, 13)) == "out/report_20190813"
+
+
 def test_csv_keeps_blanks_quotes_and_line_breaks(spark, tmp_path):
     values = [" a ", 'say "hi", b', "two\nlines", "back\\slash"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")

@@ -28,7 +28,8 @@ def bars_from_trades(trades: DataFrame, session: Column, order: Sequence[str]) -
     """Open, high, low, close and volume per symbol and session.
 
     ``trades`` has symbol, price, qty and the ``order`` columns, which together with
-    price and qty decide the first and the last trade of a session.
+    price and qty decide the first and the last trade of a session. Volumes are added up
+    as whole hundredths: exact, and cheaper than a wide decimal.
     """
     sequence = F.struct(*order, "price", "qty")
     return (
@@ -38,7 +39,7 @@ def bars_from_trades(trades: DataFrame, session: Column, order: Sequence[str]) -
             F.max(sequence).alias("_last"),
             F.max("price").alias("high"),
             F.min("price").alias("low"),
-            F.sum(F.col("qty").cast(MONEY)).alias("vol"),
+            F.sum(F.rint(F.col("qty") * 100).cast("bigint")).alias("_hundredths"),
         )
         .select(
             "symbol",
@@ -47,7 +48,7 @@ def bars_from_trades(trades: DataFrame, session: Column, order: Sequence[str]) -
             F.col("high").cast(MONEY).alias("high"),
             F.col("low").cast(MONEY).alias("low"),
             F.col("_last.price").cast(MONEY).alias("close"),
-            F.col("vol").cast(MONEY).alias("vol"),
+            (F.col("_hundredths").cast("decimal(20,0)") / 100).cast(MONEY).alias("vol"),
         )
     )
 

@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickersift.functions.numeric import nan_to_null
+from tickersift.sources.schemas import shaped
 
 LISTED = "L"
 
 
-def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A stored table with NaN turned into NULL."""
+def read_table(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, schema: str | None = None
+) -> DataFrame:
+    """A stored table with NaN turned into NULL; with a logical schema, in its columns and types."""
     df = spark.read.parquet(path)
+    df = shaped(df, schema) if schema else df
     return nan_to_null(df.select(*columns) if columns else df)
 
 

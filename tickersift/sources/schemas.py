@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 MASTER = "symbol string, name string, area string, industry string, list_status string, list_date date"
@@ -52,11 +55,14 @@ LEDGER_HEADER = {
 LEDGER_COLUMNS = tuple(LEDGER_HEADER.values())
 
 
-def conform(df: DataFrame, columns, dtype: str = "string") -> DataFrame:
+def conform(df: DataFrame, columns: Sequence[str], dtype: str = "string") -> DataFrame:
     """Exactly these columns in this order; an absent one is filled with NULL."""
-    present = set(df.columns)
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(dtype).alias(c) for c in columns])
 
-    def pick(name: str) -> Column:
-        return F.col(name) if name in present else F.lit(None).cast(dtype).alias(name)
 
-    return df.select(*[pick(c) for c in columns])
+def shaped(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of a logical schema with their types; an absent one is filled with NULL."""
+    fields = T.StructType.fromDDL(schema).fields
+    return df.select(
+        *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    )
