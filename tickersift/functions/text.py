@@ -38,14 +38,24 @@ def first_match(col: Column, regex: str, group: int = 1) -> Column:
     return F.regexp_extract(F.regexp_substr(col, F.lit(regex)), regex, group)
 
 
+def all_matches(col: Column, regex: str) -> Column:
+    """Every whole match, in order, as an array."""
+    return F.regexp_extract_all(col, F.lit(regex), F.lit(0))
+
+
+def explode_groups(df: DataFrame, matches: Column, regex: str, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """One row per element of a match array, one column per capture group, ``pos`` counting from 0."""
+    rows = df.select(*keep, F.posexplode(matches).alias("pos", "_match"))
+    return rows.select(
+        *keep, "pos", *[F.regexp_extract("_match", regex, i).alias(n) for i, n in enumerate(names, start=1)]
+    )
+
+
 def explode_matches(df: DataFrame, text: str, regex: str, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """One row per match, one column per capture group, ``pos`` counting from 0.
+    """One row per match in a text column.
 
     The text is searched once for whole matches and the groups are cut out of each
     match, so the cost does not grow with the number of groups. This needs a regex
     whose ends do not look at the surrounding text (no look-around, ``^``, ``$``, ``\\b``).
     """
-    matches = df.select(*keep, F.posexplode(F.regexp_extract_all(text, F.lit(regex), F.lit(0))).alias("pos", "_match"))
-    return matches.select(
-        *keep, "pos", *[F.regexp_extract("_match", regex, i).alias(n) for i, n in enumerate(names, start=1)]
-    )
+    return explode_groups(df, all_matches(F.col(text), regex), regex, names, keep)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickersift.functions.scratch import staged
-from tickersift.functions.text import first_match
-from tickersift.operators.joins import lookup, lookup_wide
+from tickersift.functions.text import all_matches, explode_groups, first_match
+from tickersift.operators.joins import broadcast_if_small, lookup, lookup_wide
 from tickersift.operators.pages import (
     CHAPTER_TEXT,
     CHAPTERS_OF_BOOK,
@@ -20,7 +20,6 @@ from tickersift.operators.pages import (
     RANKED_FILM,
     follow_links,
     page_index,
-    page_links,
     page_records,
     resolve_url,
 )
@@ -57,14 +56,26 @@ def chapter_texts(
     ``pages`` has page_id, url and html; ``start`` has the page_id of the list pages.
     ``link_address(base, href)`` gives the address a link stands for and
     ``page_address`` the address of a page (its url by default).
-    Returns one row per (book, chapter) with the chapter's text.
+    Returns one row per (book, chapter) with the chapter's text. The pages are read twice:
+    once for all links, which are written out, and once for the texts of the chapters found.
     """
-    index = staged(page_index(pages, F.col("url") if page_address is None else page_address), "page-index")
+    extracted = staged(
+        pages.select(
+            "page_id",
+            "url",
+            (F.col("url") if page_address is None else page_address).alias("own_address"),
+            all_matches(F.col("html"), site.book).alias("books"),
+            first_match(F.col("html"), site.chapters).alias("href"),
+            all_matches(F.col("html"), site.chapter).alias("chapters"),
+        ),
+        "page-links",
+    )
+    index = page_index(extracted, F.col("own_address"))
     address = link_address(F.col("url"), F.col("href"))
     origin = ("page_id", "url")
 
-    lists = pages.join(start.select("page_id"), "page_id", "left_semi")
-    listed = page_links(lists, site.book, site.book_groups, origin)
+    lists = extracted.join(start.select("page_id"), "page_id", "left_semi")
+    listed = explode_groups(lists, F.col("books"), site.book, site.book_groups, origin)
     books = follow_links(listed, index, address, ["page_id", "pos"]).select(
         F.col("page_id").alias("list_id"),
         F.col("pos").alias("book_pos"),
@@ -72,20 +83,23 @@ def chapter_texts(
         F.col("target_id").alias("book_id"),
     )
 
-    first_links = pages.select(*origin, first_match(F.col("html"), site.chapters).alias("href"))
-    onward = follow_links(first_links.where(F.col("href").isNotNull()), index, address, ["page_id"]).select(
+    first_links = extracted.select(*origin, "href").where(F.col("href").isNotNull())
+    onward = follow_links(first_links, index, address, ["page_id"]).select(
         F.col("page_id").alias("book_id"), F.col("target_id").alias("chapters_id")
     )
-    books = lookup(books, onward, ["book_id"], ["list_id", "book_pos"], how="inner")
+    books = staged(lookup(books, onward, ["book_id"], ["list_id", "book_pos"], how="inner"), "books")
 
-    listed = page_links(pages, site.chapter, site.chapter_groups, origin)
+    listed = explode_groups(extracted, F.col("chapters"), site.chapter, site.chapter_groups, origin)
     chapters = follow_links(listed, index, address, ["page_id", "pos"]).select(
         F.col("page_id").alias("chapters_id"),
         F.col("pos").alias("chapter_pos"),
         F.col("title").alias("chapter"),
         F.col("target_id").alias("chapter_id"),
     )
-    found = staged(lookup(books, chapters, ["chapters_id"], ["list_id", "book_pos"], how="inner"), "chapters")
+    found = staged(lookup_wide(books, chapters, ["chapters_id"], ["list_id", "book_pos"]), "chapters")
 
-    texts = pages.select(F.col("page_id").alias("chapter_id"), first_match(F.col("html"), site.body).alias("text"))
+    ids = broadcast_if_small(found.select(F.col("chapter_id").alias("page_id")).distinct())
+    texts = pages.join(ids, "page_id", "left_semi").select(
+        F.col("page_id").alias("chapter_id"), first_match(F.col("html"), site.body).alias("text")
+    )
     return lookup_wide(found, texts, ["chapter_id"], ["list_id", "book_pos", "chapter_pos"])
