@@ -18,13 +18,13 @@ def ranked(df: DataFrame, order: Sequence[Column], by: str | None = None, name:
 
     A window would send a whole group to one task. Here the rows are range-partitioned
     and sorted, numbered inside each partition, and shifted by the number of rows that
-    earlier partitions hold for the same group. The numbered rows are written out
-    before they are counted, so rows and counts cannot disagree. ``by`` should have
-    few distinct values (dates): the counts, one row per partition and value met in
-    it, are broadcast.
+    earlier partitions hold for the same group. The rows are written out once before
+    they are sampled for the ranges, so they are not computed twice, and once more when
+    numbered, so rows and counts cannot disagree. ``by`` should have few distinct values
+    (dates): the counts, one row per partition and value met in it, are broadcast.
     """
     group = [F.col(by)] if by else []
-    ordered = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    ordered = staged(df, "unranked").repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
     numbered = staged(ordered.withColumn("_pos", F.monotonically_increasing_id()), "ranked")
     numbered = numbered.withColumn("_part", F.shiftright("_pos", ROW_BITS))
     keys = [by, "_part"] if by else ["_part"]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickersift.functions.dates import week_start
+from tickersift.functions.numeric import nan_to_null
 from tickersift.operators.bars import MONEY, bars_from_trades, percent_change
 from tickersift.operators.calendar import trading_calendar, with_session
 from tickersift.operators.joins import lookup
@@ -38,7 +39,7 @@ SCHEMAS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    return nan_to_null(spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def trades(spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None) -> DataFrame:

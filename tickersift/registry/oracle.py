@@ -283,6 +283,8 @@ SQL: dict[str, str] = {
         for name, where in SCREENS.items()
     ),
     "screen_weekly_rising": f"{_with(BARS_W, _weekly_rising())}SELECT symbol, bar_date, {_OHLC} FROM rising",
+    "screen_weekly_rising_qfq": _with(BARS_D, _adjusted("days"), _resampled("adjusted", "week", "bars"), _weekly_rising())
+    + f"SELECT symbol, bar_date, {_OHLC} FROM rising",
     "screen_weekly_rising_now": f"""{_with(BARS_W, _weekly_rising())}SELECT symbol, bar_date, {_OHLC}
       FROM rising WHERE age = 1""",
     "screen_high_transfer": f"""{_with(BARS_W, MASTER, LATEST, INDICATORS)}SELECT symbol, name, {_d("close")},

@@ -220,6 +220,12 @@ def screen_weekly_rising(spark: SparkSession, sf: str) -> DataFrame:
     return plain(rows.select("symbol", "bar_date", "open", "high", "low", "close"))
 
 
+def screen_weekly_rising_qfq(spark: SparkSession, sf: str) -> DataFrame:
+    """The same screen on weekly bars of adjusted daily prices."""
+    weekly = resample(forward_adjusted(inputs.with_factor(inputs.daily_bars(spark, sf))), "week")
+    return plain(s.weekly_rising(weekly).select("symbol", "bar_date", "open", "high", "low", "close"))
+
+
 def screen_weekly_rising_now(spark: SparkSession, sf: str) -> DataFrame:
     return plain(s.weekly_rising_now(inputs.weekly_bars(spark, sf)))
 
@@ -399,6 +405,7 @@ QUERIES: dict[str, Query] = {
     "screen_turnover_surge": screen_query("turnover_surge"),
     "daily_screens": daily_job,
     "screen_weekly_rising": screen_weekly_rising,
+    "screen_weekly_rising_qfq": screen_weekly_rising_qfq,
     "screen_weekly_rising_now": screen_weekly_rising_now,
     "screen_high_transfer": screen_high_transfer,
     "screen_small_cap": screen_small_cap,
