@@ -67,8 +67,8 @@ def test_broadcast_only_below_the_bound(spark):
 def test_ranks_equal_a_window(spark):
     from pyspark.sql import Window
 
-    df = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).alias("g"),
+    df = spark.range(3000).select(  # one large group, and one without a name
+        F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 13 != 0, F.col("id") % 7).alias("g"),
         F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 11).alias("v"),
         "id",
     )

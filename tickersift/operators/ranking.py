@@ -27,12 +27,14 @@ def ranked(df: DataFrame, order: Sequence[Column], by: str | None = None, name:
     ordered = staged(df, "unranked").repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
     numbered = staged(ordered.withColumn("_pos", F.monotonically_increasing_id()), "ranked")
     numbered = numbered.withColumn("_part", F.shiftright("_pos", ROW_BITS))
-    keys = [by, "_part"] if by else ["_part"]
-    earlier = Window.partitionBy(by or F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_group").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        numbered.groupBy(*keys)
+        numbered.groupBy((F.col(by) if by else F.lit(0)).alias("_group"), F.col("_part").alias("_run"))
         .agg(F.min("_pos").alias("_start"), F.count("*").alias("_rows"))
-        .select(*keys, "_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+        .select("_group", "_run", "_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     )
+    same_run = F.col("_part") == F.col("_run")
+    if by:
+        same_run &= F.col(by).eqNullSafe(F.col("_group"))
     rank = F.col("_before") + F.col("_pos") - F.col("_start") + 1
-    return numbered.join(F.broadcast(offsets), keys).select(*df.columns, rank.cast("bigint").alias(name))
+    return numbered.join(F.broadcast(offsets), same_run).select(*df.columns, rank.cast("bigint").alias(name))
