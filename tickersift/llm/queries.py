@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickersift.llm.adaptive_search import approximate_top_k
 from tickersift.llm.language import fit_languages, held_out, predict_languages
+from tickersift.llm.line_templates import drop_recurring_lines
 from tickersift.llm.mixing import mix_sources
 from tickersift.llm.packing import pack_documents
+from tickersift.llm.pivot_search import exact_top_k
 from tickersift.llm.sharding import shuffled_shards, text_bytes
 from tickersift.llm.simhash import near_duplicates
 
@@ -41,6 +44,19 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("row.doc_id", "n_lines", "n_dropped", "text")
+
+
+def op7_adaptive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return approximate_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op8_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
@@ -56,6 +72,9 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
     "op3_shards": op3_shards,
+    "op4_line_templates": op4_line_templates,
+    "op7_adaptive_search": op7_adaptive_search,
+    "op8_pivot_search": op8_pivot_search,
     "op9_mix_sources": op9_mix_sources,
     "op10_pack": op10_pack,
 }
@@ -93,6 +112,74 @@ WITH rows AS (
 SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies FROM taken
 """
 
+LINES_SQL = r"""
+WITH documents_once AS (
+  SELECT DISTINCT doc_id, text FROM documents
+), exploded AS (
+  SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no, unnest(string_split(text, chr(10))) AS line
+  FROM documents_once WHERE text IS NOT NULL
+), tokenised AS (
+  SELECT doc_id, text, no,
+         list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
+                        lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+  FROM exploded
+), lines AS (
+  SELECT doc_id, text, no, len(tokens) AS n, tokens, list_slice(tokens, 1, 3) AS lead, array_to_string(tokens, ' ') AS template
+  FROM tokenised WHERE len(tokens) > 0
+), kinds AS (
+  SELECT n, lead, template, any_value(tokens) AS tokens, count(*) AS lines FROM lines WHERE n > 3 GROUP BY ALL
+), leaves AS (
+  SELECT n, lead, sum(lines) AS every FROM kinds GROUP BY ALL HAVING count(*) > 1 AND sum(lines) >= 10
+), places AS (
+  SELECT k.n, k.lead, k.template, k.lines, l.every, generate_subscripts(k.tokens, 1) AS spot, unnest(k.tokens) AS token
+  FROM kinds k JOIN leaves l USING (n, lead)
+), fixed AS (
+  SELECT n, lead, spot, token FROM places WHERE token <> '<*>' GROUP BY n, lead, spot, token, every HAVING 2 * sum(lines) > every
+), general AS (
+  SELECT n, lead, count(*) AS constants FROM fixed GROUP BY ALL HAVING count(*) >= 0.7 * n
+), covered AS (
+  SELECT p.n, p.lead, p.template
+  FROM places p JOIN fixed USING (n, lead, spot, token) JOIN general g USING (n, lead)
+  GROUP BY p.n, p.lead, p.template, g.constants HAVING count(*) = g.constants
+), placed AS (
+  SELECT l.doc_id, l.text, l.no, l.n,
+         CASE WHEN c.template IS NULL THEN 'line ' || l.template ELSE 'leaf ' || l.n || ' ' || array_to_string(l.lead, ' ') END AS place
+  FROM lines l LEFT JOIN covered c ON l.n = c.n AND l.lead = c.lead AND l.template = c.template
+), firsts AS (
+  SELECT place, n, doc_id, text FROM placed
+  QUALIFY row_number() OVER (PARTITION BY place, n ORDER BY doc_id NULLS FIRST) = 1
+), recurring AS (
+  SELECT place, n FROM (SELECT DISTINCT place, n, doc_id, text FROM placed)
+  GROUP BY place, n HAVING count(*) >= CASE WHEN n >= 20 THEN 3 ELSE 10 END
+), drops AS (
+  SELECT p.doc_id, p.text, list(DISTINCT p.no) AS drop_no
+  FROM placed p JOIN recurring r USING (place, n) JOIN firsts f USING (place, n)
+  WHERE p.doc_id IS DISTINCT FROM f.doc_id OR p.text <> f.text
+  GROUP BY p.doc_id, p.text
+)
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS INTEGER) AS n_lines,
+       CAST(coalesce(len(x.drop_no), 0) AS INTEGER) AS n_dropped,
+       CASE WHEN x.drop_no IS NULL THEN d.text
+            ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda t, i: NOT list_contains(x.drop_no, i - 1)), chr(10)) END AS text
+FROM documents d LEFT JOIN drops x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.text = x.text
+"""
+
+TOP_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
 SQL = {
+    "op8_pivot_search": TOP_SQL,
+    "op4_line_templates": LINES_SQL,
     "op9_mix_sources": MIX_SQL,
 }
