@@ -11,6 +11,7 @@ from tickersift.llm.line_templates import drop_recurring_lines
 from tickersift.llm.mixing import mix_sources
 from tickersift.llm.packing import pack_documents
 from tickersift.llm.pivot_search import exact_top_k
+from tickersift.llm.pseudonyms import pseudonymised
 from tickersift.llm.sharding import shuffled_shards, text_bytes
 from tickersift.llm.simhash import near_duplicates
 
@@ -49,6 +50,15 @@ def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("row.doc_id", "n_lines", "n_dropped", "text")
 
 
+# A key of a test; a real one comes from a secret store.
+TEST_KEY = b"not a secret"
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), TEST_KEY)
+    return found.select("doc_id", "text", F.size("pii").alias("n_pii"), "pii")
+
+
 def op7_adaptive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return approximate_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -73,6 +83,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_shards": op3_shards,
     "op4_line_templates": op4_line_templates,
+    "op6_pseudonyms": op6_pseudonyms,
     "op7_adaptive_search": op7_adaptive_search,
     "op8_pivot_search": op8_pivot_search,
     "op9_mix_sources": op9_mix_sources,
