@@ -9,11 +9,13 @@ Within a probed list vectors are rotated at random and scanned in blocks of colu
 each block the partial distance, scaled up to all dimensions, is held against the k-th
 best distance known: where a hypothesis test says that the full distance will exceed it,
 the row is abandoned. Rows that survive are scored on the original vectors in double
-precision. The first threshold is the k-th best distance among a list's first rows, and it
+precision. The first threshold is the k-th best distance among the first rows, and it
 falls with every step. A query whose nearest lists hold fewer than k rows probes more.
 
-Lists are split into chunks, and the queries of a list into parts, so neither a hot list
-nor a popular one makes a group that grows with the table.
+Neighbouring lists form groups of about ``group_rows`` rows; a query scans its lists of a
+group nearest first, with one threshold, and returns k rows per group, not per list.
+Groups are split into chunks of rows, and their queries into parts, so neither a hot list
+nor a popular one makes a task that grows with the table.
 
 Defined results: vectors that are NULL, zero, or hold NULL, NaN or infinite components,
 and rows without an id, take no part; shorter vectors are padded with zeros; the rows of
@@ -49,6 +51,7 @@ class Index:
     longest: float
     rotation: np.ndarray
     centroids: np.ndarray
+    groups: np.ndarray
     probes: int
 
     def lifted(self, vectors: np.ndarray, candidates: bool) -> np.ndarray:
@@ -77,12 +80,14 @@ def k_means(rows: np.ndarray, count: int, rounds: int = 10, seed: int = 3) -> np
     return centroids
 
 
-def fit_index(vectors: np.ndarray, longest: float, lists: int, k: int, recall: float, trials: int = 256, seed: int = 3) -> Index:
+def fit_index(vectors: np.ndarray, longest: float, lists: int, groups: int, k: int, recall: float, trials: int = 256, seed: int = 3) -> Index:
     size = vectors.shape[1]
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((size + 1, size + 1)))[0]
-    bare = Index(size, longest, rotation, np.zeros((1, size + 1), np.float32), 1)
+    bare = Index(size, longest, rotation, np.zeros((1, size + 1), np.float32), np.zeros(1, np.int32), 1)
     sample = bare.lifted(vectors, candidates=True)
-    fitted = Index(size, longest, rotation, k_means(sample, min(lists, len(sample))), 1)
+    centroids = k_means(sample, min(lists, len(sample)))
+    group = squared_distances(centroids, k_means(centroids, min(groups, len(centroids)))).argmin(1).astype(np.int32)
+    fitted = Index(size, longest, rotation, centroids, group, 1)
     own = fitted.nearest_lists(sample)[:, 0]
     tried = np.unique(np.linspace(0, len(sample) - 1, min(trials, len(sample))).astype(int))
     asked = bare.lifted(vectors[tried], candidates=False)
@@ -94,17 +99,18 @@ def fit_index(vectors: np.ndarray, longest: float, lists: int, k: int, recall: f
     np.put_along_axis(place, order, np.arange(order.shape[1], dtype=np.int32)[None, :].repeat(len(tried), 0), 1)
     found_by = np.take_along_axis(place, own[near], 1) + 1
     probes = int(np.quantile(found_by, recall, method="higher")) if found_by.size else 1
-    return Index(size, longest, rotation, fitted.centroids, probes)
+    return Index(size, longest, rotation, centroids, group, probes)
 
 
-def adaptive_scan(query: np.ndarray, rows: np.ndarray, k: int, step: int = 1024) -> np.ndarray:
-    """Positions of the k nearest rows and of those as near as the last, but for rounding; some may be missed."""
+def adaptive_scan(query: np.ndarray, rows: np.ndarray, positions: np.ndarray, k: int, step: int = 1024) -> np.ndarray:
+    """Which of ``positions`` are the k nearest rows, or as near as the last but for rounding; some may be missed."""
     dims = rows.shape[1]
     found, gaps = np.empty(0, np.int64), np.empty(0, np.float32)
-    begin, end = 0, min(len(rows), max(64, 4 * k))
-    while begin < len(rows):
+    begin, end = 0, max(64, 4 * k)
+    while begin < len(positions):
         limit = np.partition(gaps, k - 1)[k - 1] if len(gaps) >= k else np.inf
-        alive, partial = np.arange(begin, end), np.zeros(end - begin, np.float32)
+        alive = positions[begin:end]
+        partial = np.zeros(len(alive), np.float32)
         for column in range(0, dims, COLUMN_BLOCK):
             upto = min(dims, column + COLUMN_BLOCK)
             part = rows[alive, column:upto] - query[column:upto]
@@ -117,7 +123,7 @@ def adaptive_scan(query: np.ndarray, rows: np.ndarray, k: int, step: int = 1024)
             # Ties and rounding are settled on the original vectors.
             near = gaps <= np.partition(gaps, k - 1)[k - 1] * (1 + 1e-4) + 1e-6
             found, gaps = found[near], gaps[near]
-        begin, end = end, min(len(rows), end + step)
+        begin, end = end, end + step
     return found
 
 
@@ -129,7 +135,8 @@ def approximate_top_k(
     max_lists: int = 4096,
     sample_rows: int = 10_000,
     recall: float = 0.97,
-    chunk_rows: int = 8192,
+    group_rows: int = 8192,
+    chunk_rows: int = 16384,
     part_queries: int = 2048,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
@@ -151,7 +158,7 @@ def approximate_top_k(
     drawn.sort(key=lambda r: (r["vec_id"], r["v"]))
     if not drawn:
         drawn = kept.limit(1).collect()
-    fitted = fit_index(np.array([r["v"] for r in drawn], np.float64), math.sqrt(longest), lists, k, recall)
+    fitted = fit_index(np.array([r["v"] for r in drawn], np.float64), math.sqrt(longest), lists, max(1, -(-total // group_rows)), k, recall)
     parts = tuple(getattr(fitted, f) for f in Index.__dataclass_fields__)
     sent = spark.sparkContext.broadcast(parts)  # a rotation and at most max_lists centroids
 
@@ -159,9 +166,10 @@ def approximate_top_k(
         index = Index(*sent.value)
         for batch in batches:
             cell = index.nearest_lists(index.lifted(matrix(batch.column(1), size, np.float64), True))[:, 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], ["vec_id", "v", "list"])
+            columns = [*batch.columns, pa.array(cell), pa.array(index.groups[cell])]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "list", "group"])
 
-    index = staged(kept.mapInArrow(assign, "vec_id long, v array<double>, list int"), "lists")
+    index = staged(kept.mapInArrow(assign, "vec_id long, v array<double>, list int, group int"), "lists")
     filled = np.zeros(len(fitted.centroids), np.int64)
     for r in index.groupBy("list").count().collect():  # one row per list
         filled[r["list"]] = r["count"]
@@ -172,23 +180,29 @@ def approximate_top_k(
             cells = index.nearest_lists(index.lifted(matrix(batch.column(1), size, np.float64), False))
             short = (np.cumsum(filled[cells], axis=1) <= k).sum(1) + 1  # one row may be the query's own
             probes = np.minimum(np.maximum(short, index.probes), cells.shape[1])
-            at = np.repeat(np.arange(len(cells)), probes)
-            cell = np.concatenate([c[:n] for c, n in zip(cells, probes, strict=True)]) if len(cells) else np.empty(0, np.int32)
-            arrays = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(cell, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, ["vec_id", "v", "list"])
+            at, group, own = [], [], []
+            for i, n in enumerate(probes.tolist()):
+                among = index.groups[cells[i, :n]]
+                for g in np.unique(among):
+                    at.append(i)
+                    group.append(g)
+                    own.append(cells[i, :n][among == g])
+            asking = pa.array(at, pa.int64())
+            arrays = [batch.column(0).take(asking), batch.column(1).take(asking), pa.array(group, pa.int32()), pa.array(own, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["vec_id", "v", "group", "lists"])
 
     queries = kept.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = staged(queries.mapInArrow(probe, "vec_id long, v array<double>, list int"), "probes")
-    # One row per list, so at most max_lists.
-    chunks = index.groupBy("list").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
-    askers = asked.groupBy("list").agg(F.ceil(F.count("*") / part_queries).cast("int").alias("parts"))
-    plan = staged(chunks.join(askers, "list"), "list-plan")
+    asked = staged(queries.mapInArrow(probe, "vec_id long, v array<double>, group int, lists array<int>"), "probes")
+    # One row per group, so at most max_lists.
+    chunks = index.groupBy("group").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
+    askers = asked.groupBy("group").agg(F.ceil(F.count("*") / part_queries).cast("int").alias("parts"))
+    plan = staged(chunks.join(askers, "group"), "group-plan")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = F.xxhash64(F.monotonically_increasing_id())
-    left = index.withColumn("place", place).join(F.broadcast(plan), "list")
-    left = left.select("list", F.pmod("place", "chunks").cast("int").alias("chunk"), every("parts").alias("part"), "vec_id", "v")
-    right = asked.withColumn("place", place).join(F.broadcast(plan), "list")
-    right = right.select("list", every("chunks").alias("chunk"), F.pmod("place", "parts").cast("int").alias("part"), "vec_id", "v")
+    left = index.withColumn("place", place).join(F.broadcast(plan), "group")
+    left = left.select("group", F.pmod("place", "chunks").cast("int").alias("chunk"), every("parts").alias("part"), "vec_id", "v", "list")
+    right = asked.withColumn("place", place).join(F.broadcast(plan), "group")
+    right = right.select("group", every("chunks").alias("chunk"), F.pmod("place", "parts").cast("int").alias("part"), "vec_id", "v", "lists")
 
     def search(table: pa.Table, asked: pa.Table) -> pa.Table:
         index, out = Index(*sent.value), []
@@ -196,10 +210,12 @@ def approximate_top_k(
             ids, own = table.column("vec_id").to_numpy(), asked.column("vec_id").to_numpy()
             v, q = matrix(table.column("v"), size, np.float64), matrix(asked.column("v"), size, np.float64)
             turned, turned_q = index.lifted(v, True), index.lifted(q, False)
-            for i in range(len(q)):
-                others = np.flatnonzero(ids != own[i])
-                among = turned if len(others) == len(ids) else turned[others]
-                found = others[adaptive_scan(turned_q[i], among, k)]
+            cell = table.column("list").to_numpy()
+            by_list = np.argsort(cell, kind="stable")
+            starts = np.searchsorted(cell[by_list], np.arange(len(index.centroids) + 1))
+            for i, lists in enumerate(asked.column("lists")):
+                positions = np.concatenate([by_list[starts[c] : starts[c + 1]] for c in lists.as_py()])
+                found = adaptive_scan(turned_q[i], turned, positions[ids[positions] != own[i]], k)
                 scores = (v[found] * q[i]).sum(1)  # row by row, so equal vectors get equal scores
                 found = found[np.lexsort((ids[found], -scores))[:k]]
                 out.append((np.full(len(found), own[i]), ids[found], (v[found] * q[i]).sum(1)))
@@ -207,6 +223,6 @@ def approximate_top_k(
         columns = [np.concatenate([o[c] for o in out]) if out else np.empty(0, kinds[c]) for c in range(3)]
         return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
 
-    key = ("list", "chunk", "part")
+    key = ("group", "chunk", "part")
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
     return best(found, k)
