@@ -130,7 +130,8 @@ class Pseudonyms:
         return self.feistel.string(kind, text, alphabet, self.undo)
 
     def secret(self, text: str) -> str:
-        return refill(text, HEX, self._part("secret", only(text, HEX), HEX))
+        new = self._part("secret", text.lower(), HEX)
+        return new.upper() if text.isupper() else new
 
     def email(self, text: str) -> str:
         local, at, domain = text.rpartition("@")

@@ -12,6 +12,7 @@ from tickersift.llm.mixing import mix_sources
 from tickersift.llm.packing import pack_documents
 from tickersift.llm.pivot_search import exact_top_k
 from tickersift.llm.pseudonyms import pseudonymised
+from tickersift.llm.repeats import repeated_bytes
 from tickersift.llm.sharding import shuffled_shards, text_bytes
 from tickersift.llm.simhash import near_duplicates
 
@@ -50,6 +51,10 @@ def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("row.doc_id", "n_lines", "n_dropped", "text")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 # A key of a test; a real one comes from a secret store.
 TEST_KEY = b"not a secret"
 
@@ -83,6 +88,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_shards": op3_shards,
     "op4_line_templates": op4_line_templates,
+    "op5_repeats": op5_repeats,
     "op6_pseudonyms": op6_pseudonyms,
     "op7_adaptive_search": op7_adaptive_search,
     "op8_pivot_search": op8_pivot_search,
