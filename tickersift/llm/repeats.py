@@ -223,21 +223,24 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marks(texts: DataFrame, length: int) -> DataFrame:
+    """One row per distinct text: (k1, k2, copies, marks)."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rows = [], []
-            for i, text in enumerate(batch.column(2)):
-                own = text_marks((text.as_py() or "").encode("utf-8", "surrogatepass"), length)
-                rows += own
-                at += [i] * len(own)
-            table = np.array([(k, c) for k, c, _, _ in rows], np.uint64).reshape(-1, 2).view(np.int64)
-            # Long marks (of a constant stretch) cannot occur: a representative serves at most ``length`` windows.
+            counts, rows = [0], []
+            for text in batch.column(2):
+                rows += text_marks((text.as_py() or "").encode("utf-8", "surrogatepass"), length)
+                counts.append(len(rows))
+            hashes = np.array([(k, c) for k, c, _, _ in rows], np.uint64).reshape(-1, 2).view(np.int64)
+            # A representative serves at most ``length`` windows, so their number fits beside the place.
             place = np.array([(lo << COUNT_BITS) | n for _, _, lo, n in rows], np.int64)
-            index = pa.array(at, pa.int64())
-            columns = [pa.array(np.ascontiguousarray(table[:, 0])), pa.array(np.ascontiguousarray(table[:, 1])), batch.column(0).take(index), batch.column(1).take(index), pa.array(place)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "c", "k1", "k2", "at"])
+            parts = [pa.array(np.ascontiguousarray(x)) for x in (hashes[:, 0], hashes[:, 1], place)]
+            marks = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(parts, ["key", "c", "at"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), marks], ["k1", "k2", "marks"])
 
-    return texts.mapInArrow(work, "key long, c long, k1 long, k2 long, at long")
+    found = texts.mapInArrow(work, "k1 long, k2 long, marks array<struct<key:long,c:long,at:long>>")
+    # Copies merge before the shuffle: a group of copies is one row for each task that met it.
+    return found.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("marks").alias("marks"))
 
 
 def _routes(marks: DataFrame, hot_marks: int) -> DataFrame:
@@ -250,10 +253,10 @@ def _routes(marks: DataFrame, hot_marks: int) -> DataFrame:
     some = marks.where(F.pmod(F.xxhash64("k1", "at"), F.lit(64)) == 0).groupBy("key").agg(F.count("*").alias("n"))
     hot = staged(some.where(64 * F.col("n") > max(hot_marks, total // 10_000)).orderBy(F.desc("n")).limit(20_000).select("key"), "hot-keys")
     by_key, by_kind = Window.partitionBy("key"), Window.partitionBy("key", "c")
-    cold = marks.join(F.broadcast(hot), "key", "left_anti").withColumn("marks", F.count("*").over(by_key)).where(F.col("marks") > 1)
-    cold = cold.withColumn("copies", F.count("*").over(by_kind)).withColumn("nth", F.row_number().over(by_kind.orderBy("k1", "k2", "at")))
+    cold = marks.join(F.broadcast(hot), "key", "left_anti").withColumn("marks", F.sum("copies").over(by_key)).where(F.col("marks") > 1)
+    cold = cold.withColumn("same", F.sum("copies").over(by_kind)).withColumn("nth", F.row_number().over(by_kind.orderBy("k1", "k2", "at")))
     cold = cold.withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(by_key))
-    whole = F.when(F.col("copies") > 1, F.lit(WHOLE))
+    whole = F.when(F.col("same") > 1, F.lit(WHOLE))
     sent = F.when((F.col("kinds") > 1) & (F.col("nth") == 1), F.when(F.col("kinds") > hot_marks, F.lit(SINGLE)).otherwise(F.lit(BUCKET)))
     routed = cold.select("k1", "k2", "at", "key", F.explode(F.array(whole, sent)).alias("route")).where(F.col("route").isNotNull())
     singles = marks.join(F.broadcast(hot), "key", "left_semi").select("k1", "k2", "at", "key", F.lit(SINGLE).alias("route"))
@@ -367,14 +370,14 @@ def repeated_bytes(docs: DataFrame, length: int = 400, hot_marks: int = 2000, id
     text = F.col(text_column)
     keyed = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
     long = keyed.where(F.octet_length("text") >= length)
-    marks = staged(_marks(long.select("k1", "k2", "text"), length), "marks")
+    by_text = staged(_marks(long.select("k1", "k2", "text"), length), "marks")
+    marks = by_text.select("k1", "k2", "copies", F.explode("marks").alias("m")).select("k1", "k2", "copies", "m.*")
     routes = staged(_routes(marks, hot_marks), "routes")
     n = F.col("at").bitwiseAND((1 << COUNT_BITS) - 1)
     weight = routes.where(F.col("route") == BUCKET).agg(F.sum(n + length)).first()[0] or 0
-    # A text's own marks; a set, since copies of a text have equal marks.
-    by_text = routes.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "key", "route")).alias("marks"))
+    routed = routes.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "key", "route")).alias("marks"))
     texts = long.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    carriers = staged(texts.join(by_text, ["k1", "k2"]), "carriers")
+    carriers = staged(texts.join(routed, ["k1", "k2"]), "carriers")
     whole = carriers.select("k1", "k2", F.explode(F.filter("marks", lambda m: m["route"] == WHOLE)).alias("m"))
     lo, count = F.shiftright("m.at", COUNT_BITS), F.col("m.at").bitwiseAND((1 << COUNT_BITS) - 1)
     found = whole.select("k1", "k2", lo.alias("begin"), (lo + count).alias("end"))
