@@ -365,7 +365,7 @@ def _cut(carriers: DataFrame, length: int) -> DataFrame:
     return carriers.mapInArrow(work, schema)
 
 
-def repeated_bytes(docs: DataFrame, length: int = 400, hot_marks: int = 2000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 400, hot_marks: int = 20_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and spans (begin, end) of removed bytes."""
     text = F.col(text_column)
     keyed = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
