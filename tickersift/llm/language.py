@@ -6,8 +6,10 @@ through a linear softmax. Embeddings and weights are trained together by stochas
 gradient descent in numpy, on a bounded sample of labelled rows (``rows_per_language``
 for each of the ``max_languages`` most frequent labels; both are parameters). A part of
 the sample is kept from training: it sets the temperature, which makes the score a
-probability, and the score below which a prediction is rejected. Buckets without an
-example have zero embeddings, so a text in an unknown script scores like a guess.
+probability, and the share of known subwords (buckets with an example) below which a
+prediction is rejected, as is one hardly better than a guess. Unknown buckets have zero
+embeddings, so a text in an unknown script fails both tests, while one in two known
+languages passes both.
 
 Defined results: a text that is NULL or has no letter is ``und`` with score 0, rejected;
 without any labelled row all are; a NULL id is not learned from and not held out;
@@ -29,6 +31,8 @@ UNKNOWN = "und"
 BUCKET_BITS = 15
 DIMENSIONS = 16
 BOUNDARY = 32
+# How far from a guess to certainty an accepted score lies at least.
+GUESS_MARGIN = 0.05
 _letters: np.ndarray | None = None
 
 
@@ -71,26 +75,27 @@ def subwords(text: str | None) -> np.ndarray | None:
 
 @dataclass(frozen=True)
 class Model:
-    """Logits of each bucket (the product of embeddings and weights), and the calibration."""
+    """Logits of each bucket (the product of embeddings and weights) and, in a last column, whether it is known; the calibration."""
 
     languages: tuple[str, ...]
     table: np.ndarray
-    bias: np.ndarray
     temperature: float
-    reject_below: float
+    least_known: float
 
-    def scores(self, counts: np.ndarray) -> np.ndarray:
-        logits = (counts @ self.table / counts.sum() + self.bias) / self.temperature
+    def scores(self, counts: np.ndarray) -> tuple[np.ndarray, float]:
+        mean = counts @ self.table / counts.sum()
+        logits = mean[:-1] / self.temperature
         e = np.exp(logits - logits.max())
-        return e / e.sum()
+        return e / e.sum(), float(mean[-1])
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         buckets = subwords(text)
         if buckets is None or not len(buckets) or not self.languages:
             return UNKNOWN, 0.0, True
-        p = self.scores(np.bincount(buckets, minlength=1 << BUCKET_BITS).astype(np.float32))
-        best = int(p.argmax())
-        return self.languages[best], float(p[best]), bool(p[best] < self.reject_below)
+        p, known = self.scores(np.bincount(buckets, minlength=1 << BUCKET_BITS).astype(np.float32))
+        best, guess = int(p.argmax()), 1 / len(p)
+        hardly = len(p) > 1 and p[best] < guess + GUESS_MARGIN * (1 - guess)
+        return self.languages[best], min(1.0, float(p[best])), bool(hardly or known < self.least_known)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -138,12 +143,12 @@ def labelled_sample(
 
 
 def train(
-    languages: list[str], rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 1.0, wrong_rejects: float = 0.002, seed: int = 1
+    languages: list[str], rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 1.0, wrong_rejects: float = 0.001, seed: int = 1
 ) -> Model:
     """Stochastic gradient descent, one text a step; every fifth row of the sample calibrates."""
     size, n = 1 << BUCKET_BITS, len(languages)
     if not rows:
-        return Model((), np.zeros((size, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)
+        return Model((), np.zeros((size, 1), np.float32), 1.0, 1.0)
     random = np.random.default_rng(seed)
     order = random.permutation(len(rows))
     kept = [rows[i] for i in order[::5]] if len(rows) >= 50 else [rows[i] for i in order]
@@ -170,12 +175,12 @@ def train(
     logits = np.stack([(c / c.sum()).astype(np.float32) @ table[b] for _, b, c in kept])
     truth = np.array([label for label, _, _ in kept])
     temperature = min(np.geomspace(0.05, 20, 60), key=lambda t: _loss(logits / t, truth))
-    scores = _softmax(logits / temperature)
-    right = scores.argmax(1) == truth
-    # Reject as little as the sample allows, but never accept what is hardly better than a guess.
-    low = float(np.quantile(scores.max(1)[right], wrong_rejects)) if right.any() else 1.0
-    guess = 1.2 / n if n > 1 else 0.0
-    return Model(tuple(languages), table, np.zeros(n, np.float32), float(temperature), max(guess, min(low, 0.5)))
+    known = np.zeros((size, 1), np.float32)
+    known[seen] = 1
+    shares = [float((c / c.sum()) @ known[b, 0]) for _, b, c in kept]
+    # Well below what the sample's own texts reach.
+    least = 0.75 * float(np.quantile(shares, wrong_rejects))
+    return Model(tuple(languages), np.hstack([table, known]), float(temperature), least)
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -200,7 +205,7 @@ def fit_languages(
 
 def predict_languages(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """``docs`` with a last column, a struct of lang_pred, score and rejected, named as ``prediction_column`` says."""
-    parts = (model.languages, model.table, model.bias, model.temperature, model.reject_below)
+    parts = (model.languages, model.table, model.temperature, model.least_known)
     sent = docs.sparkSession.sparkContext.broadcast(parts)  # 128 KB per language, at most max_languages of them
     name = prediction_column(docs)
     at = docs.columns.index(text_column)
