@@ -54,7 +54,7 @@ class WordIds:
 
     def word(self, word: str) -> bytes:
         body = word.rstrip(PUNCTUATION)
-        if len(body) < len(word) and body.isalpha():
+        if len(body) < len(word) and body.lower().isalpha():  # letters in lower case too, as one with a dot above is not
             tail = word[len(body) :]
             return self._part(body) + self._part(tail)
         return self._part(word)
@@ -65,6 +65,8 @@ class WordIds:
         return self._keep(key, self._fresh(key)) if ids is None else ids
 
     def encode(self, text: str) -> bytes:
+        if text.isascii() and "<|" not in text:  # a special token's case counts
+            text = text.lower()
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         known, out = self.known, []
         for w in words:
