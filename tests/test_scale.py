@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tickersift.operators.joins import SALTS, broadcast_if_small, lookup, lookup_wide
+from tickersift.operators.joins import SALTS, lookup, lookup_wide
 from tickersift.operators.ranking import ranked
 from tickersift.registry import inputs
 from tickersift.registry.queries import QUERIES
@@ -58,12 +58,6 @@ def test_a_hot_key_is_spread_over_tasks(spark, no_adaptive, join):
     assert SALTS >= 8
 
 
-def test_broadcast_only_below_the_bound(spark):
-    df = spark.range(100)
-    assert "strategy=broadcast" in broadcast_if_small(df, 100)._jdf.queryExecution().toString()
-    assert "strategy=broadcast" not in broadcast_if_small(df, 99)._jdf.queryExecution().toString()
-
-
 def test_ranks_equal_a_window(spark):
     from pyspark.sql import Window
 
@@ -114,18 +108,19 @@ def test_stored_bars_push_the_date_range_down(spark, tmp_path):
     assert len(snapshot(bars, date(1996, 1, 1)).inputFiles()) >= 1
 
 
-def test_panel_takes_one_shuffle_by_symbol(spark):
+def test_panel_shuffles_bars_once_after_their_aggregate(spark):
+    """One exchange by (symbol, session) of partial bars, one by symbol for all windows."""
     bars = inputs.quoted_bars(spark, SF)
     from tickersift.operators.bars import moving_averages
     from tickersift.operators.panel import session_panel
 
     df = session_panel(moving_averages(bars), inputs.calendar(spark, SF))
     text = plan(df)
-    assert text.count("Exchange hashpartitioning(symbol") == 1
+    assert text.count("Exchange hashpartitioning(symbol") == 2
 
 
 def test_partial_aggregates_run_before_the_shuffle(spark, no_adaptive):
-    """With enough splits nothing is spread beforehand, and trades shrink before they travel."""
+    """Trades shrink before they travel."""
     from tickersift.functions.dates import week_start
     from tickersift.operators.bars import bars_from_trades
 

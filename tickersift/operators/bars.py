@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tickersift.operators.joins import broadcast_if_small
 
 MONEY = "decimal(18,2)"
 AVERAGES = (5, 10, 20, 30, 60)
@@ -173,4 +172,4 @@ def only_survivors(bars: DataFrame, survivors: DataFrame) -> DataFrame:
     Pass survivors that are cheap to read, such as a stored table: they are counted to
     decide whether they may be broadcast, which spares all other bars the shuffle.
     """
-    return bars.join(broadcast_if_small(survivors.select("symbol").distinct()), "symbol", "left_semi")
+    return bars.join(survivors.select("symbol").distinct(), "symbol", "left_semi")

@@ -8,13 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 8
-# A broadcast table of a few narrow columns stays far below executor memory up to here.
-BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow table for broadcast if a count proves it small; otherwise leave it to a shuffle join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def lookup(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickersift.functions.scratch import staged
 from tickersift.functions.text import all_matches, explode_groups, first_match
-from tickersift.operators.joins import broadcast_if_small, lookup, lookup_wide
+from tickersift.operators.joins import lookup, lookup_wide
 from tickersift.operators.pages import (
     CHAPTER_TEXT,
     CHAPTERS_OF_BOOK,
@@ -98,7 +98,7 @@ def chapter_texts(
     )
     found = staged(lookup_wide(books, chapters, ["chapters_id"], ["list_id", "book_pos"]), "chapters")
 
-    ids = broadcast_if_small(found.select(F.col("chapter_id").alias("page_id")).distinct())
+    ids = found.select(F.col("chapter_id").alias("page_id")).distinct()
     texts = pages.join(ids, "page_id", "left_semi").select(
         F.col("page_id").alias("chapter_id"), first_match(F.col("html"), site.body).alias("text")
     )

@@ -12,7 +12,7 @@ from tickersift.functions.numeric import nan_to_null
 from tickersift.operators.bars import MONEY, bars_from_trades, percent_change
 from tickersift.operators.calendar import trading_calendar, with_session
 from tickersift.operators.joins import lookup
-from tickersift.sources.market import spread_small
+from tickersift.sources.market import listed_instruments
 
 TRADE_ORDER = ("ts", "l_orderkey", "l_linenumber")
 DAYS_PER_WEEK = 7
@@ -50,7 +50,7 @@ def trades(spark: SparkSession, sf_dir: str, start: date | None = None, end: dat
     if end:
         after = end + timedelta(days=DAYS_PER_WEEK)
         rows = rows.where(F.col("l_shipdate") < F.lit(after).cast("timestamp_ntz"))
-    columns = rows.select(
+    return rows.select(
         F.col("l_suppkey").alias("symbol"),
         F.col("l_shipdate").alias("ts"),
         "l_orderkey",
@@ -58,7 +58,6 @@ def trades(spark: SparkSession, sf_dir: str, start: date | None = None, end: dat
         F.col("l_extendedprice").alias("price"),
         F.col("l_quantity").alias("qty"),
     )
-    return spread_small(columns, "symbol")
 
 
 def weekly_bars(spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None) -> DataFrame:
@@ -126,12 +125,17 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small(table(spark, sf_dir, "pages"), "page_id")
+    return table(spark, sf_dir, "pages")
 
 
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every instrument, listed or not."""
-    return listing(spark, sf_dir).drop("list_status")
+    """The listed instruments; screens and reports take no others."""
+    return listed_instruments(listing(spark, sf_dir))
+
+
+def listed(bars: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of listed instruments."""
+    return bars.join(master(spark, sf_dir).select("symbol"), "symbol", "left_semi")
 
 
 def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:

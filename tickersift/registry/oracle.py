@@ -33,7 +33,9 @@ CALENDAR = f"""calendar AS (
 
 MASTER = """master AS (
       SELECT s_suppkey AS symbol, s_name AS name, n_name AS area, r_name AS industry
-      FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey)"""
+      FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
+      WHERE NOT coalesce(s_acctbal < 0, false))"""
+LISTED = "symbol IN (SELECT symbol FROM master)"
 
 SHARES = "CAST(100 + (symbol % 5) * 20 AS DOUBLE)"
 EPS = "CAST(1000 + (symbol % 20) * 50 AS DOUBLE)"
@@ -242,7 +244,7 @@ SQL: dict[str, str] = {
     "bars_range": f"""{_with(BARS_W)}SELECT symbol, bar_date, {_OHLC}, {_d("vol")} FROM bars
       WHERE bar_date BETWEEN DATE '1995-06-05' AND DATE '1998-12-28'""",
     "limit_symbols": f"""{_with(MASTER)}SELECT symbol, name, area, industry FROM master
-      JOIN supplier ON s_suppkey = symbol WHERE NOT (s_acctbal < 0) ORDER BY symbol LIMIT 500""",
+      JOIN supplier ON s_suppkey = symbol WHERE NOT (s_acctbal < 0) ORDER BY symbol LIMIT 4""",
     "bars_weekly": f"""{_with(BARS_W)}SELECT symbol, bar_date, {_OHLC}, {_d("vol")} FROM bars""",
     "bars_monthly": f"""{_with(BARS_D, _resampled("days", "month", "months"))}
       SELECT symbol, bar_date, {_OHLC}, {_d("vol", "pre_close")}, {CHANGE} AS pct_chg
@@ -255,7 +257,7 @@ SQL: dict[str, str] = {
     "moving_averages": f"""{_with(BARS_W)}SELECT symbol, bar_date, {_d("close")}, {_MA_COLUMNS} FROM bars""",
     "moving_averages_qfq": f"""{_with(BARS_W, _SCALED)}SELECT symbol, bar_date, {_d("close")},
       {", ".join(f"{_ma(n, 'px')} / factor AS ma{n}" for n in AVERAGES)} FROM scaled""",
-    "latest_ma": f"{_with(BARS_W)}{_LATEST_MA}",
+    "latest_ma": f"{_with(BARS_W, MASTER)}{_LATEST_MA} AND {LISTED}",
     "latest3_weekly": f"""{_with(BARS_D, _resampled("days", "week", "weeks"))}
       SELECT symbol, bar_date, {_OHLC}, age FROM (
         SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) AS age FROM weeks) WHERE age <= 3""",
@@ -282,18 +284,18 @@ SQL: dict[str, str] = {
         f"SELECT '{name}' AS screen, {_REPORT} FROM panel JOIN master USING (symbol) WHERE bar_date = {_DAY} AND {where}"
         for name, where in SCREENS.items()
     ),
-    "screen_weekly_rising": f"{_with(BARS_W, _weekly_rising())}SELECT symbol, bar_date, {_OHLC} FROM rising",
-    "screen_weekly_rising_qfq": _with(BARS_D, _adjusted("days"), _resampled("adjusted", "week", "bars"), _weekly_rising())
-    + f"SELECT symbol, bar_date, {_OHLC} FROM rising",
-    "screen_weekly_rising_now": f"""{_with(BARS_W, _weekly_rising())}SELECT symbol, bar_date, {_OHLC}
-      FROM rising WHERE age = 1""",
+    "screen_weekly_rising": f"{_with(BARS_W, MASTER, _weekly_rising())}SELECT symbol, bar_date, {_OHLC} FROM rising WHERE {LISTED}",
+    "screen_weekly_rising_qfq": _with(BARS_D, MASTER, _adjusted("days"), _resampled("adjusted", "week", "bars"), _weekly_rising())
+    + f"SELECT symbol, bar_date, {_OHLC} FROM rising WHERE {LISTED}",
+    "screen_weekly_rising_now": f"""{_with(BARS_W, MASTER, _weekly_rising())}SELECT symbol, bar_date, {_OHLC}
+      FROM rising WHERE age = 1 AND {LISTED}""",
     "screen_high_transfer": f"""{_with(BARS_W, MASTER, LATEST, INDICATORS)}SELECT symbol, name, {_d("close")},
       float_share, total_share, circ_mv, total_mv, report_end, capital_rese_ps, eps
       FROM latest JOIN indicators USING (symbol)
       WHERE close >= 25 AND capital_rese_ps >= 5 AND eps >= 2.0 AND float_share <= 140""",
-    "screen_small_cap": f"""{_with(BARS_W)}SELECT symbol, bar_date, {_d("close")}, pe, float_share, total_mv
+    "screen_small_cap": f"""{_with(BARS_W, MASTER)}SELECT symbol, bar_date, {_d("close")}, pe, float_share, total_mv
       FROM (SELECT *, {METRICS} FROM bars)
-      WHERE float_share <= 140 AND total_mv <= 300 AND close <= 60000 AND pe > 0 AND pe <= 60""",
+      WHERE float_share <= 140 AND total_mv <= 300 AND close <= 60000 AND pe > 0 AND pe <= 60 AND {LISTED}""",
     "snapshot_enrich": f"""{_with(BARS_W, MASTER)}SELECT symbol, name, area, industry, bar_date, {_OHLC}, pe, pe_ttm, tor
       FROM master LEFT JOIN (SELECT *, {METRICS} FROM bars WHERE bar_date = {_DAY}) USING (symbol)""",
     "fundamentals_join": f"""{_with(BARS_W, MASTER, LATEST, INDICATORS)}

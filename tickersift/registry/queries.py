@@ -54,7 +54,7 @@ RANGE_START, RANGE_END = date(1995, 6, 5), date(1998, 12, 28)
 REPORTS_START, REPORTS_END = date(1995, 3, 31), date(2001, 12, 31)
 FORECASTS_START, FORECASTS_END = date(2024, 1, 10), date(2024, 12, 31)
 HISTORY_START = date(1995, 1, 2)
-SYMBOL_LIMIT = 500
+SYMBOL_LIMIT = 4
 
 NAV_LINK = pattern(r'<li><a href="(.*?)">(.*?)</a></li>')
 NAV_TARGET = pattern(r'<li><a href="(.*?)">')
@@ -143,7 +143,7 @@ def moving_averages_qfq(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latest_ma(spark: SparkSession, sf: str) -> DataFrame:
-    found = latest_averages(inputs.weekly_bars(spark, sf))
+    found = latest_averages(inputs.listed(inputs.weekly_bars(spark, sf), spark, sf))
     return plain(found.select("symbol", "bar_date", "close", "low", *[f"ma{n}" for n in s.AVERAGES]))
 
 
@@ -216,18 +216,18 @@ def daily_job(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def screen_weekly_rising(spark: SparkSession, sf: str) -> DataFrame:
-    rows = s.weekly_rising(inputs.weekly_bars(spark, sf))
+    rows = s.weekly_rising(inputs.listed(inputs.weekly_bars(spark, sf), spark, sf))
     return plain(rows.select("symbol", "bar_date", "open", "high", "low", "close"))
 
 
 def screen_weekly_rising_qfq(spark: SparkSession, sf: str) -> DataFrame:
     """The same screen on weekly bars of adjusted daily prices."""
-    weekly = resample(forward_adjusted(inputs.with_factor(inputs.daily_bars(spark, sf))), "week")
+    weekly = resample(forward_adjusted(inputs.with_factor(inputs.listed(inputs.daily_bars(spark, sf), spark, sf))), "week")
     return plain(s.weekly_rising(weekly).select("symbol", "bar_date", "open", "high", "low", "close"))
 
 
 def screen_weekly_rising_now(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(s.weekly_rising_now(inputs.weekly_bars(spark, sf)))
+    return plain(s.weekly_rising_now(inputs.listed(inputs.weekly_bars(spark, sf), spark, sf)))
 
 
 def latest_quotes(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,7 +247,7 @@ def screen_high_transfer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def screen_small_cap(spark: SparkSession, sf: str) -> DataFrame:
-    metrics = inputs.with_metrics(inputs.weekly_bars(spark, sf))
+    metrics = inputs.with_metrics(inputs.listed(inputs.weekly_bars(spark, sf), spark, sf))
     rows = small_cap(metrics, SmallCap(140, 300, 60000, 0, 60))
     return plain(rows.select("symbol", "bar_date", "close", "pe", "float_share", "total_mv"))
 

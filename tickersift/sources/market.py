@@ -23,25 +23,6 @@ def read_table(
     return nan_to_null(df.select(*columns) if columns else df)
 
 
-# Up to this many splits (1 GB at Spark's usual split size) a table counts as small.
-SMALL_SPLITS = 8
-
-
-def spread_small(df: DataFrame, *by: str) -> DataFrame:
-    """Spread the scan of a small table over the cores.
-
-    A file of one row group is read by a single task, which would then do the work of
-    the next operators alone. Spreading by the key of the next aggregate or window also
-    saves its shuffle. Any larger table is left as it is, so that a hot key is never
-    gathered before the map-side part of an aggregate has shrunk it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    if splits >= cores or splits > SMALL_SPLITS:
-        return df
-    return df.repartition(min(cores, 8 * max(splits, 1)), *by)
-
-
 def listed_instruments(master: DataFrame, columns: Sequence[str] = ("symbol", "name", "area", "industry")) -> DataFrame:
     return master.where(F.col("list_status") == LISTED).select(*columns)
 
