@@ -108,3 +108,8 @@ def test_staged_table_is_below_the_shared_folder(spark):
     df = staged(spark.range(5).withColumn("v", F.rand()), "rows")
     assert df.collect() == df.collect()
     assert all(shared in f for f in df.inputFiles())
+
+
+def test_large_amounts_and_small_digits_survive(spark):
+    text = "1234567890123456.1234567891"
+    assert str(one(spark, "t string", [(text,)], n=lenient_decimal(F.col("t")))[0]["n"]) == text

@@ -27,7 +27,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def lenient_decimal(col: Column, precision: int = 20, scale: int = 6) -> Column:
+def lenient_decimal(col: Column, precision: int = 38, scale: int = 10) -> Column:
     """Parse text as a number; text that is not a number becomes NULL."""
     return F.trim(col).try_cast(f"decimal({precision},{scale})")
 

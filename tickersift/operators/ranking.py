@@ -21,7 +21,7 @@ def ranked(df: DataFrame, order: Sequence[Column], by: str | None = None, name:
     earlier partitions hold for the same group. The rows are written out once before
     they are sampled for the ranges, so they are not computed twice, and once more when
     numbered, so rows and counts cannot disagree. ``by`` should have few distinct values
-    (dates): the counts, one row per partition and value met in it, are broadcast.
+    (dates): the counts have one row per partition and value met in it.
     """
     group = [F.col(by)] if by else []
     ordered = staged(df, "unranked").repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
@@ -37,4 +37,4 @@ def ranked(df: DataFrame, order: Sequence[Column], by: str | None = None, name:
     if by:
         same_run &= F.col(by).eqNullSafe(F.col("_group"))
     rank = F.col("_before") + F.col("_pos") - F.col("_start") + 1
-    return numbered.join(F.broadcast(offsets), same_run).select(*df.columns, rank.cast("bigint").alias(name))
+    return numbered.join(offsets, same_run).select(*df.columns, rank.cast("bigint").alias(name))

@@ -148,8 +148,8 @@ LEDGER = """ledger AS (
     clean AS (
       SELECT security, business, contract_no,
         CAST(try_strptime(trade_date, '%y/%m/%d') AS DATE) AS trade_date,
-        TRY_CAST(amount AS DECIMAL(20,6)) AS amount, TRY_CAST(fee AS DECIMAL(20,6)) AS fee,
-        TRY_CAST(stamp_duty AS DECIMAL(20,6)) AS stamp_duty, TRY_CAST(transfer_fee AS DECIMAL(20,6)) AS transfer_fee
+        TRY_CAST(amount AS DECIMAL(38,10)) AS amount, TRY_CAST(fee AS DECIMAL(38,10)) AS fee,
+        TRY_CAST(stamp_duty AS DECIMAL(38,10)) AS stamp_duty, TRY_CAST(transfer_fee AS DECIMAL(38,10)) AS transfer_fee
       FROM ledger WHERE NOT regexp_matches(business, 'NOT SPECIFIED')),
     profit AS (
       SELECT security, round(coalesce(sum(amount), 0), 2) AS profit
