@@ -269,9 +269,9 @@ SQL: dict[str, str] = {
     "session_panel": f"{_with(BARS_W, CALENDAR, QUOTED, PANEL)}SELECT {_PANEL_COLUMNS} FROM panel",
     "ma_survivors": f"""{_with(BARS_W)}SELECT * FROM ({_LATEST_MA}) WHERE symbol IN (
       SELECT symbol FROM bars WHERE bar_date = {_DAY} AND CAST(close AS DOUBLE) / {EPS} BETWEEN 10 AND 60)""",
-    "rank_by_next_return": f"""{_with(BARS_W, CALENDAR, QUOTED, PANEL)}SELECT symbol, bar_date, {_d("close")}, pct_n1,
+    "rank_by_next_return": f"""{_with(BARS_W, CALENDAR, MASTER, QUOTED, PANEL)}SELECT symbol, bar_date, {_d("close")}, pct_n1,
       row_number() OVER (PARTITION BY bar_date ORDER BY pct_n1 DESC NULLS LAST, symbol) - 1 AS rank
-      FROM panel WHERE {SCREENS["turnover_surge"]}""",
+      FROM panel WHERE {SCREENS["turnover_surge"]} AND {LISTED}""",
     "screen_steady_turnover": _screen(SCREENS["steady_turnover"]),
     "screen_valley_turnover": _screen(SCREENS["valley_turnover"]),
     "screen_v_shape": _screen(SCREENS["v_shape"]),
