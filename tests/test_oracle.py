@@ -9,23 +9,25 @@ from tickersift.registry.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
-# The smallest tables have no symbol rising in its last weeks and no three-step link path.
-EMPTY_WHEN_TINY = {"screen_weekly_rising_now", "page_chapters"}
+# The smallest tables have no symbol rising in its last weeks.
+EMPTY_WHEN_TINY = {"screen_weekly_rising_now"}
 
 COUNTS = {
     "session_panel": 975,
     "screen_steady_turnover": 114,
-    "screen_valley_turnover": 6,
-    "screen_v_shape": 2,
+    "screen_valley_turnover": 7,
+    "screen_v_shape": 3,
     "screen_rising_lows": 22,
     "screen_doji": 110,
-    "screen_cross_all_ma": 112,
-    "screen_turnover_surge": 77,
+    "screen_cross_all_ma": 104,
+    "screen_turnover_surge": 78,
     "screen_weekly_rising": 120,
-    "screen_small_cap": 185,
-    "screen_high_transfer": 99,
+    "screen_small_cap": 3,
+    "screen_high_transfer": 23,
     "forecast_enrich": 274,
     "page_links": 281,
+    "page_link_follow": 258,
+    "page_chapters": 80,
 }
 
 

@@ -3,6 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from tickersift.functions.charset import representable
 from tickersift.operators.pages import (
     CHAPTER_TEXT,
     RANKED_FILM,
@@ -166,6 +167,14 @@ def test_csv_keeps_blanks_quotes_and_line_breaks(spark, tmp_path):
     assert [r.v for r in rows] == values
 
 
+def test_unencodable_text_fails_the_job(spark, tmp_path):
+    rows = spark.createDataFrame([("a\u00f4b",)], "t string")
+    with pytest.raises(Exception, match="cannot hold"):
+        write_csv(rows, str(tmp_path / "strict"), encoding="GBK")
+    write_csv(rows.select(representable(spark, F.col("t")).alias("t")), str(tmp_path / "lossy"), encoding="GBK")
+    assert read_csv(spark, str(tmp_path / "lossy"), "t string", "GBK").first().t == "a?b"
+
+
 def test_text_by_title(spark, tmp_path):
     df = spark.createDataFrame([("a/b: c", "x\ny"), ("1997", "z"), (None, "n")], "title string, text string")
     path = str(tmp_path / "texts")

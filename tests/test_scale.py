@@ -142,3 +142,32 @@ def test_newest_rows_are_cut_before_the_shuffle(spark):
 def test_no_python_workers_and_no_cross_joins(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert not re.search("Python|Pandas|CartesianProduct|BroadcastNestedLoopJoin", text)
+
+
+@pytest.mark.parametrize("name", ["session_panel", "screen_v_shape", "screen_small_cap", "snapshot_enrich"])
+def test_trades_are_scanned_once(spark, name, monkeypatch):
+    """By the query and all the tables it stores on the way."""
+    from pyspark.sql import DataFrame
+
+    from tickersift.functions import scratch
+    from tickersift.registry import queries
+
+    plans = []
+
+    def staged(df: DataFrame, label: str) -> DataFrame:
+        plans.append(plan(df))
+        return scratch.staged(df, label)
+
+    monkeypatch.setattr(queries, "staged", staged)
+    plans.append(plan(QUERIES[name](spark, SF)))
+    assert sum(len(re.findall(r"FileScan parquet [^\n]*l_shipdate", p)) for p in plans) == 1
+
+
+def test_the_day_is_read_by_partition(spark, tmp_path):
+    from tickersift.sinks.tables import write_by_date
+    from tickersift.sources.market import between_dates
+
+    quoted = inputs.with_factor(inputs.quoted_bars(spark, SF))
+    write_by_date(quoted, str(tmp_path / "bars"))
+    bars = spark.read.schema(quoted.schema).parquet(str(tmp_path / "bars"))
+    assert re.search(r"PartitionFilters: \[[^\]]*bar_date", plan(between_dates(bars, date(1996, 1, 1), date(1996, 2, 1))))

@@ -20,3 +20,8 @@ def decode_bytes(spark: SparkSession, content: Column, charset: str = "GBK") ->
 def encode_text(spark: SparkSession, text: Column, charset: str = "GBK") -> Column:
     allow_legacy_charsets(spark)
     return F.encode(text, charset)
+
+
+def representable(spark: SparkSession, text: Column, charset: str = "GBK") -> Column:
+    """The text with '?' for each character that the charset lacks."""
+    return decode_bytes(spark, encode_text(spark, text, charset), charset)

@@ -33,7 +33,3 @@ def lenient_short_date(col: Column) -> Column:
 
 def week_start(col: Column) -> Column:
     return F.trunc(col.cast("date"), "week")
-
-
-def month_start(col: Column) -> Column:
-    return F.trunc(col.cast("date"), "month")

@@ -14,6 +14,7 @@ from tickersift.functions.scratch import staged
 from tickersift.operators.bars import latest_averages, only_survivors
 from tickersift.operators.calendar import BACK, sessions_around
 from tickersift.operators.panel import session_panel
+from tickersift.operators.ranking import ranked
 from tickersift.plans.screens import DAILY, report
 from tickersift.sources.market import between_dates
 
@@ -28,6 +29,25 @@ def daily_screens(
 ) -> dict[str, DataFrame]:
     """Screens of :data:`DAILY` for the newest session up to ``day``, ready to show.
 
+    See :func:`day_reports` for the arguments.
+    """
+    return {name: by_next_return(rows) for name, rows in day_reports(bars, calendar, master, day, since, bounds).items()}
+
+
+def daily_findings(
+    bars: DataFrame, calendar: DataFrame, master: DataFrame, day: date, since: date, bounds: Mapping[str, object]
+) -> DataFrame:
+    """The same screens as one table: ``screen``, the report columns and each row's ``rank`` in its screen from 1."""
+    found = day_reports(bars, calendar, master, day, since, bounds)
+    rows = reduce(DataFrame.unionByName, [df.withColumn("screen", F.lit(name)) for name, df in found.items()])
+    return ranked(rows, [F.desc_nulls_last("pct_n1"), F.asc("symbol")], by="screen")
+
+
+def day_reports(
+    bars: DataFrame, calendar: DataFrame, master: DataFrame, day: date, since: date, bounds: Mapping[str, object]
+) -> dict[str, DataFrame]:
+    """The reports of some screens for the newest session up to ``day``, in no order.
+
     ``bounds`` maps the names of the wanted screens to their bounds, or to None for the
     fixed ones. ``bars`` is a stored table with pre_close, pct_chg and the metric columns.
     A filter on the date cannot pass below a window ordered by date, so the scans
@@ -52,7 +72,7 @@ def daily_screens(
         for name in tested:
             rows = keep(averages, *DAILY[name].average_conditions()).join(found[name], "symbol")
             found[name] = rows.select(*panel.columns)
-    return {name: by_next_return(report(rows)) for name, rows in found.items()}
+    return {name: report(rows) for name, rows in found.items()}
 
 
 def daily_screen(

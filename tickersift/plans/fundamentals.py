@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickersift.functions.numeric import keep, to_hundred_millions, within
-from tickersift.operators.joins import lookup
 
 SHARES_AND_VALUES = ("float_share", "total_share", "total_mv", "circ_mv")
 
 
+# The bounds of both screens, in hundred-millions, prices and per-share amounts.
 @dataclass(frozen=True)
 class HighTransfer:
     close_min: float = 25
@@ -81,4 +81,4 @@ def fundamentals_join(indicators: DataFrame, quotes: DataFrame) -> DataFrame:
 
 def forecast_enrich(forecasts: DataFrame, quotes: DataFrame) -> DataFrame:
     """Every earnings forecast with the enriched snapshot of its stock, if there is one."""
-    return lookup(forecasts, quotes, ["symbol"], ["ann_date", "end_date", "type", "p_change_min", "p_change_max"])
+    return forecasts.join(quotes, "symbol", "left")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickersift.functions.charset import representable
 from tickersift.functions.dates import week_start
 from tickersift.functions.numeric import nan_to_null
 from tickersift.operators.bars import MONEY, bars_from_trades, percent_change
-from tickersift.operators.calendar import trading_calendar, with_session
+from tickersift.operators.calendar import trading_calendar
 from tickersift.operators.joins import lookup
 from tickersift.sources.market import listed_instruments
 
@@ -78,6 +79,7 @@ def with_metrics(bars: DataFrame) -> DataFrame:
     """Daily metrics of a bar; shares and market values in ten-thousands."""
     close = F.col("close").cast("double")
     shares = (F.lit(100) + F.col("symbol") % 5 * 20).cast("double")
+    issued = (F.lit(2) + F.col("symbol") % 3).cast("double")
     eps = (F.lit(1000) + F.col("symbol") % 20 * 50).cast("double")
     return bars.withColumns(
         {
@@ -85,8 +87,8 @@ def with_metrics(bars: DataFrame) -> DataFrame:
             "pe_ttm": close / (eps + 200),
             "pb": F.lit(None).cast("double"),
             "float_share": shares * 10000,
-            "total_share": shares * 2 * 10000,
-            "total_mv": close * shares * 2,
+            "total_share": shares * issued * 10000,
+            "total_mv": close * shares * issued,
             "circ_mv": close * shares,
             "tor": F.lit(100.0) * F.col("vol").cast("double") / shares,
         }
@@ -98,10 +100,6 @@ def quoted_bars(spark: SparkSession, sf_dir: str, start: date | None = None, end
     return with_metrics(percent_change(weekly_bars(spark, sf_dir, start, end)))
 
 
-def sessions(bars: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_session(bars, calendar(spark, sf_dir))
-
-
 def with_factor(bars: DataFrame) -> DataFrame:
     """A price adjustment factor that grows by a tenth every year."""
     factor = (F.lit(1) + (F.year("bar_date") - 1995).cast("decimal(10,1)") / 10).cast("decimal(10,2)")
@@ -128,6 +126,43 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
+SITE = "https://pages.example"
+LINK_START = '<li><a href="'
+
+
+def site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with an address of their own, and links to the pages around them.
+
+    The n-th link of page p names page p + 3n - 8, in turn as an absolute address, by
+    host, by path and relative to the page's folder; some lead to no page.
+    """
+
+    def linked(piece: Column, n: Column) -> Column:
+        target = (F.col("page_id") + n * 3 - 8).cast("string")
+        form = F.element_at(
+            F.array(F.lit(""), F.lit(f"{SITE}/pages/"), F.lit("//pages.example/pages/"), F.lit("/pages/")), n % 4 + 1
+        )
+        href = F.concat(form, target)
+        return F.when(n == 0, piece).otherwise(F.concat(F.lit(LINK_START), href, F.regexp_replace(piece, '^[^"]*', "")))
+
+    html = F.array_join(F.transform(F.split("html", LINK_START), linked), "")
+    address = F.concat(F.lit(f"{SITE}/pages/"), F.col("page_id").cast("string"))
+    return pages(spark, sf_dir).select("page_id", address.alias("url"), html.alias("html"))
+
+
+def ranked_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ranked listing for each page that has a title: its first word, language and number as a film."""
+    name = representable(spark, F.regexp_extract("html", "<title>([^ <]+)", 1))
+    entry = F.concat(
+        F.lit('<dd>\n<i class="board-index">'), F.col("page_id"), F.lit('</i>\n<p class="name"><a href="#">'), name,
+        F.lit('</a></p>\n<p class="star">'), F.regexp_extract("html", '<html lang="([^"]*)"', 1),
+        F.lit('</p>\n<p class="releasetime">'), F.col("page_id") % 30 + 1990,
+        F.lit('</p>\n<p class="score"><i class="integer">'), F.col("page_id") % 10,
+        F.lit('.</i><i class="fraction">'), F.col("page_id") % 7, F.lit("</i></p>\n</dd>"),
+    )
+    return pages(spark, sf_dir).where(F.col("html").rlike("<title>[^ <]")).select("page_id", "url", entry.alias("html"))
+
+
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listed instruments; screens and reports take no others."""
     return listed_instruments(listing(spark, sf_dir))

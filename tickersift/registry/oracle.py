@@ -38,10 +38,11 @@ MASTER = """master AS (
 LISTED = "symbol IN (SELECT symbol FROM master)"
 
 SHARES = "CAST(100 + (symbol % 5) * 20 AS DOUBLE)"
+ISSUED = "CAST(2 + symbol % 3 AS DOUBLE)"
 EPS = "CAST(1000 + (symbol % 20) * 50 AS DOUBLE)"
 METRICS = f"""CAST(close AS DOUBLE) / {EPS} AS pe, CAST(close AS DOUBLE) / ({EPS} + 200) AS pe_ttm,
-        {SHARES} AS float_share, {SHARES} * 2 AS total_share,
-        CAST(close AS DOUBLE) * {SHARES} * 2 / 10000 AS total_mv,
+        {SHARES} AS float_share, {SHARES} * {ISSUED} AS total_share,
+        CAST(close AS DOUBLE) * {SHARES} * {ISSUED} / 10000 AS total_mv,
         CAST(close AS DOUBLE) * {SHARES} / 10000 AS circ_mv,
         100.0::DOUBLE * CAST(vol AS DOUBLE) / {SHARES} AS tor"""
 
@@ -61,12 +62,15 @@ def _ma(n: int, price: str = "close") -> str:
     return f"CAST({_sum(n, price)} AS DOUBLE) / {n}::DOUBLE"
 
 
+# The adjustment factor of a bar; averages are compared on prices times factor.
+_RATE = "CAST(1 + (year(bar_date) - 1995) / 10.0 AS DECIMAL(10,2))"
+
 # The panel through five equality joins on (symbol, session - k).
 _PAST = "\n".join(f"      JOIN s b{k} ON b{k}.symbol = s.symbol AND b{k}.sess = s.sess - {k}" for k in range(1, 6))
 _WIDE = ", ".join(f"b{k}.{c} AS {c}_b{k}" for c in ("tor", "high", "low") for k in range(1, 6))
 PANEL = f"""s AS (
-      SELECT q.*, sess, {", ".join(f"{_sum(n)} AS sum{n}" for n in AVERAGES)}
-      FROM quoted q JOIN calendar USING (bar_date)),
+      SELECT q.*, sess, {", ".join(f"{_sum(n, 'px')} AS sum{n}" for n in AVERAGES)}
+      FROM (SELECT *, close * {_RATE} AS px, low * {_RATE} AS low_px FROM quoted) q JOIN calendar USING (bar_date)),
     panel AS (
       SELECT s.*, {_WIDE}, b1.pct_chg AS pct_b1, b2.pct_chg AS pct_b2, n1.pct_chg AS pct_n1
       FROM s
@@ -104,25 +108,25 @@ SCREENS = {
     "valley_turnover": (
         "tor >= tor_b1 AND tor_b1 <= tor_b2 AND tor_b2 <= tor_b3 AND tor_b3 <= tor_b4 AND tor >= 20 AND tor_b1 >= 5"
         " AND close BETWEEN 5000 AND 90000 AND pe BETWEEN 5 AND 90 AND pe_ttm >= 5"
-        " AND close * 20 >= sum20 AND close * 60 >= sum60"
+        " AND px * 20 >= sum20 AND px * 60 >= sum60"
     ),
     "v_shape": (
         "high <= high_b1 AND high_b1 <= high_b2 AND high_b2 <= high_b3 AND pct_chg > -90 AND pct_chg < 300"
-        " AND low <= high_b1 AND tor >= 10 AND tor_b1 >= 10 AND close * 20 >= sum20"
+        " AND low <= high_b1 AND tor >= 10 AND tor_b1 >= 10 AND px * 20 >= sum20"
     ),
     "rising_lows": (
         "low >= low_b1 AND low_b1 >= low_b2 AND low_b2 >= low_b3 AND pct_chg <= 400 AND pct_b1 <= 400"
-        " AND pct_b2 <= 400 AND close BETWEEN 5000 AND 100000 AND pe >= 5 AND pe_ttm >= 5 AND close * 5 >= sum5"
+        " AND pct_b2 <= 400 AND close BETWEEN 5000 AND 100000 AND pe >= 5 AND pe_ttm >= 5 AND px * 5 >= sum5"
     ),
     "doji": (
         "open <= close AND abs(CAST(open AS DOUBLE) - CAST(close AS DOUBLE)) / CAST(open AS DOUBLE) <= 0.05"
         " AND pct_chg BETWEEN -50 AND 400 AND pct_n1 BETWEEN -90 AND 500 AND regexp_matches(area, 'NATION_1|NATION_2')"
         " AND tor >= 10 AND tor_b1 >= 5 AND pe BETWEEN 5 AND 90 AND pe_ttm >= 5"
     ),
-    "cross_all_averages": "pe BETWEEN 5 AND 100 AND tor >= 20 AND "
-    + " AND ".join(f"close * {n} > sum{n} AND low * {n} < sum{n}" for n in AVERAGES),
+    "cross_all_averages": "close BETWEEN 55000 AND 104000 AND pe BETWEEN 38 AND 90 AND pe_ttm >= 34 AND tor >= 20 AND "
+    + " AND ".join(f"px * {n} > sum{n} AND low_px * {n} < sum{n}" for n in AVERAGES),
     "turnover_surge": (
-        "close >= 5000 AND ((tor_b1 = 0 AND tor > 0) OR tor / nullif(tor_b1, 0) >= 3) AND close * 5 >= sum5"
+        "close >= 5000 AND ((tor_b1 = 0 AND tor > 0) OR tor / nullif(tor_b1, 0) >= 3) AND px * 5 >= sum5"
     ),
 }
 
@@ -162,9 +166,24 @@ LINKS = f"""links AS (
       FROM (SELECT page_id, regexp_extract_all(html, '{LINK}', 1) AS hrefs,
               regexp_extract_all(html, '{LINK}', 2) AS titles FROM pages))"""
 TITLE_WORD = "CASE WHEN regexp_matches(html, '<title>([^ <]+)') THEN regexp_extract(html, '<title>([^ <]+)', 1) END"
-INDEX = f"""idx AS (
-      SELECT address, min(page_id) AS target_id FROM (SELECT {TITLE_WORD} AS address, page_id FROM pages)
-      WHERE address IS NOT NULL GROUP BY address)"""
+# The pages at addresses of their own, with links to the pages around them in four forms.
+_START = '<li><a href="'
+SITE = f"""site AS (
+      SELECT page_id, array_to_string(list_transform(string_split(html, '{_START}'), lambda x, i: CASE WHEN i = 1 THEN x
+        ELSE '{_START}' || ['https://pages.example/pages/', '//pages.example/pages/', '/pages/', ''][(i - 2) % 4 + 1]
+          || CAST(page_id + (i - 1) * 3 - 8 AS VARCHAR) || regexp_replace(x, '^[^"]*', '') END), '') AS html FROM pages)"""
+
+
+def _followed(name: str, regex: str, title: bool = True) -> str:
+    """Links of a kind with the page that they name, whatever the form of the address."""
+    titles = f"regexp_extract_all(html, '{regex}', 2)" if title else "NULL"
+    return f"""{name} AS (
+      SELECT l.page_id, pos, href, title, t.page_id AS target_id
+      FROM (SELECT page_id, unnest(range(len(hrefs))) AS pos, unnest(hrefs) AS href, unnest(titles) AS title
+            FROM (SELECT page_id, regexp_extract_all(html, '{regex}', 1) AS hrefs, {titles} AS titles FROM site)) l
+      JOIN pages t ON regexp_extract(href, '[^/]*$') = CAST(t.page_id AS VARCHAR))"""
+
+
 _BODY = "(?s)</script>(.*?)<footer>"
 BODY = f"CASE WHEN regexp_matches(html, '{_BODY}') THEN regexp_extract(html, '{_BODY}', 1) END"
 _RECORD = r'(?s)<html lang="(.*?)">.*?<title>(.*?)</title>.*?<h1>(.*?)</h1>.*?&copy; (.*?) &middot; (.*?)</footer>'
@@ -222,11 +241,13 @@ def _resampled(source: str, period: str, name: str) -> str:
 _PRE = "lag(close) OVER (PARTITION BY symbol ORDER BY bar_date) AS pre_close"
 _DAY = "DATE '1997-11-17'"
 _MA_COLUMNS = ", ".join(f"{_ma(n)} AS ma{n}" for n in AVERAGES)
-_LATEST_MA = f"""SELECT symbol, bar_date, {_d("close", "low")}, {", ".join(f"ma{n}" for n in AVERAGES)}
-      FROM (SELECT *, {_MA_COLUMNS}, row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) AS age FROM bars)
-      WHERE age = 1"""
 _SCALED = f"""scaled AS (SELECT *, {_FACTOR} AS factor,
-        close * CAST(1 + (year(bar_date) - 1995) / 10.0 AS DECIMAL(10,2)) AS px FROM bars)"""
+        close * {_RATE} AS px FROM bars)"""
+
+_MA_ADJUSTED = ", ".join(f"{_ma(n, 'px')} / factor AS ma{n}" for n in AVERAGES)
+_LATEST_MA = f"""SELECT symbol, bar_date, {_d("close", "low")}, {", ".join(f"ma{n}" for n in AVERAGES)}
+      FROM (SELECT *, {_MA_ADJUSTED}, row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) AS age FROM scaled)
+      WHERE age = 1 AND {LISTED}"""
 
 _PANEL_COLUMNS = f"""symbol, bar_date, sess, {_d("open", "high", "low", "close", "pre_close")}, tor, pct_chg,
       {", ".join(f"tor_b{k}" for k in range(1, 6))},
@@ -239,7 +260,7 @@ SQL: dict[str, str] = {
       JOIN supplier ON s_suppkey = symbol WHERE NOT (s_acctbal < 0)""",
     "scan_snapshot": f"""{_with(BARS_W)}SELECT symbol, bar_date, {_OHLC}, pe, pe_ttm, tor, total_mv
       FROM (SELECT *, CAST(close AS DOUBLE) / {EPS} AS pe, CAST(close AS DOUBLE) / ({EPS} + 200) AS pe_ttm,
-        CAST(close AS DOUBLE) * {SHARES} * 2 AS total_mv,
+        CAST(close AS DOUBLE) * {SHARES} * {ISSUED} AS total_mv,
         100.0::DOUBLE * CAST(vol AS DOUBLE) / {SHARES} AS tor FROM bars) WHERE bar_date = {_DAY}""",
     "bars_range": f"""{_with(BARS_W)}SELECT symbol, bar_date, {_OHLC}, {_d("vol")} FROM bars
       WHERE bar_date BETWEEN DATE '1995-06-05' AND DATE '1998-12-28'""",
@@ -256,8 +277,8 @@ SQL: dict[str, str] = {
       SELECT symbol, bar_date, open, high, low, close, {CHANGE} AS pct_chg FROM (SELECT *, {_PRE} FROM months)""",
     "moving_averages": f"""{_with(BARS_W)}SELECT symbol, bar_date, {_d("close")}, {_MA_COLUMNS} FROM bars""",
     "moving_averages_qfq": f"""{_with(BARS_W, _SCALED)}SELECT symbol, bar_date, {_d("close")},
-      {", ".join(f"{_ma(n, 'px')} / factor AS ma{n}" for n in AVERAGES)} FROM scaled""",
-    "latest_ma": f"{_with(BARS_W, MASTER)}{_LATEST_MA} AND {LISTED}",
+      {_MA_ADJUSTED} FROM scaled""",
+    "latest_ma": f"{_with(BARS_W, MASTER, _SCALED)}{_LATEST_MA}",
     "latest3_weekly": f"""{_with(BARS_D, _resampled("days", "week", "weeks"))}
       SELECT symbol, bar_date, {_OHLC}, age FROM (
         SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) AS age FROM weeks) WHERE age <= 3""",
@@ -267,7 +288,7 @@ SQL: dict[str, str] = {
       strftime(bar_date - INTERVAL 1 DAY, '%Y%m%d') AS day_before,
       strftime(bar_date + INTERVAL 1 DAY, '%Y%m%d') AS day_after FROM calendar""",
     "session_panel": f"{_with(BARS_W, CALENDAR, QUOTED, PANEL)}SELECT {_PANEL_COLUMNS} FROM panel",
-    "ma_survivors": f"""{_with(BARS_W)}SELECT * FROM ({_LATEST_MA}) WHERE symbol IN (
+    "ma_survivors": f"""{_with(BARS_W, MASTER, _SCALED)}SELECT * FROM ({_LATEST_MA}) WHERE symbol IN (
       SELECT symbol FROM bars WHERE bar_date = {_DAY} AND CAST(close AS DOUBLE) / {EPS} BETWEEN 10 AND 60)""",
     "rank_by_next_return": f"""{_with(BARS_W, CALENDAR, MASTER, QUOTED, PANEL)}SELECT symbol, bar_date, {_d("close")}, pct_n1,
       row_number() OVER (PARTITION BY bar_date ORDER BY pct_n1 DESC NULLS LAST, symbol) - 1 AS rank
@@ -281,7 +302,7 @@ SQL: dict[str, str] = {
     "screen_turnover_surge": _screen(SCREENS["turnover_surge"]),
     "daily_screens": _with(BARS_W, CALENDAR, MASTER, QUOTED, PANEL)
     + " UNION ALL ".join(
-        f"SELECT '{name}' AS screen, {_REPORT} FROM panel JOIN master USING (symbol) WHERE bar_date = {_DAY} AND {where}"
+        f"SELECT '{name}' AS screen, {_REPORT}, row_number() OVER (ORDER BY pct_n1 DESC NULLS LAST, symbol) AS rank FROM panel JOIN master USING (symbol) WHERE bar_date = {_DAY} AND {where}"
         for name, where in SCREENS.items()
     ),
     "screen_weekly_rising": f"{_with(BARS_W, MASTER, _weekly_rising())}SELECT symbol, bar_date, {_OHLC} FROM rising WHERE {LISTED}",
@@ -292,10 +313,12 @@ SQL: dict[str, str] = {
     "screen_high_transfer": f"""{_with(BARS_W, MASTER, LATEST, INDICATORS)}SELECT symbol, name, {_d("close")},
       float_share, total_share, circ_mv, total_mv, report_end, capital_rese_ps, eps
       FROM latest JOIN indicators USING (symbol)
-      WHERE close >= 25 AND capital_rese_ps >= 5 AND eps >= 2.0 AND float_share <= 140""",
-    "screen_small_cap": f"""{_with(BARS_W, MASTER)}SELECT symbol, bar_date, {_d("close")}, pe, float_share, total_mv
-      FROM (SELECT *, {METRICS} FROM bars)
-      WHERE float_share <= 140 AND total_mv <= 300 AND close <= 60000 AND pe > 0 AND pe <= 60 AND {LISTED}""",
+      WHERE close >= 9000 AND capital_rese_ps >= 6 AND eps >= 2.5
+        AND total_share <= 500 AND float_share <= 150 AND total_mv <= 3000""",
+    "screen_small_cap": f"""{_with(BARS_W, MASTER, QUOTED)}
+      SELECT symbol, name, bar_date, {_d("close")}, pct_chg, pe, float_share, total_mv
+      FROM master LEFT JOIN (SELECT * FROM quoted WHERE bar_date = {_DAY}) USING (symbol)
+      WHERE float_share <= 160 AND total_mv <= 1500 AND close <= 45000 AND pe > 8 AND pe <= 35""",
     "snapshot_enrich": f"""{_with(BARS_W, MASTER)}SELECT symbol, name, area, industry, bar_date, {_OHLC}, pe, pe_ttm, tor
       FROM master LEFT JOIN (SELECT *, {METRICS} FROM bars WHERE bar_date = {_DAY}) USING (symbol)""",
     "fundamentals_join": f"""{_with(BARS_W, MASTER, LATEST, INDICATORS)}
@@ -331,20 +354,29 @@ SQL: dict[str, str] = {
       THEN regexp_extract(html, '<li><a href="(.*?)">', 1) END AS href FROM pages""",
     "page_body": f"SELECT page_id, {BODY} AS body FROM pages",
     "page_records": f"{_with(RECORDS)}SELECT page_id, CAST(pos AS INTEGER) AS pos, {', '.join(RECORD_FIELDS)} FROM records",
-    "page_link_follow": f"""{_with(LINKS, INDEX)}SELECT page_id, CAST(pos AS INTEGER) AS pos, href, title, target_id
-      FROM links JOIN idx ON address = title""",
-    "page_chapters": f"""{_with(LINKS, INDEX, f"edges AS (SELECT page_id, pos, title, target_id FROM links JOIN idx ON address = ltrim(href, '/'))")}
+    "page_link_follow": f"""{_with(SITE, _followed("links", LINK))}
+      SELECT page_id, CAST(pos AS INTEGER) AS pos, href, title, target_id FROM links""",
+    "page_chapters": f"""{_with(
+        SITE,
+        _followed("books", '<li><a href="(https://.*?)">(.*?)</a></li>'),
+        _followed("onward", '<li><a href="(//.*?)">', title=False),
+        _followed("chapters", '<li><a href="(/pages/.*?)">(.*?)</a></li>'),
+    )}
       SELECT b.page_id AS list_id, CAST(b.pos AS INTEGER) AS book_pos, b.title AS book, b.target_id AS book_id,
         c.page_id AS chapters_id, CAST(c.pos AS INTEGER) AS chapter_pos, c.title AS chapter, c.target_id AS chapter_id,
         {BODY} AS text
-      FROM edges b JOIN edges f ON f.page_id = b.target_id AND f.pos = 0
-      JOIN edges c ON c.page_id = f.target_id JOIN pages t ON t.page_id = c.target_id""",
+      FROM books b JOIN onward f ON f.page_id = b.target_id AND f.pos = 0
+      JOIN chapters c ON c.page_id = f.target_id JOIN site t ON t.page_id = c.target_id""",
     "page_offsets": r"""SELECT page_id, CAST(o AS INTEGER) AS "offset",
       regexp_replace(url, '[?#].*$', '') || '?offset=' || CAST(o AS VARCHAR) AS page_url
       FROM pages, unnest(range(0, 100, 10)) AS r(o)""",
     "pages_decode": f"SELECT page_id, {_gbk('html')} AS html FROM pages",
     "sink_roundtrip": f"{_with(BARS_W)}SELECT symbol, bar_date, {_OHLC}, {_d('vol')} FROM bars",
     "sink_csv_gbk": f"{_with(RECORDS)}SELECT page_id, {', '.join(f'{_gbk(n)} AS {n}' for n in RECORD_FIELDS)} FROM records",
+    "film_records": f"""SELECT CAST(page_id AS VARCHAR) AS "Index", {_gbk(f"({TITLE_WORD})")} AS "Name",
+      regexp_extract(html, '<html lang="([^"]*)"', 1) AS "Actor", CAST(page_id % 30 + 1990 AS VARCHAR) AS "Time",
+      CAST(page_id % 10 AS VARCHAR) || '.' AS "Score", CAST(page_id % 7 AS VARCHAR) AS "Float"
+      FROM pages WHERE regexp_matches(html, '<title>[^ <]')""",
     "sink_text_by_title": f"""SELECT {TITLE_WORD} AS title, unnest(string_split({BODY}, chr(10))) AS line FROM pages""",
 }
 SQL = {name: dedent(text).strip() for name, text in SQL.items()}

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickersift.functions.charset import encode_text
+from tickersift.functions.charset import encode_text, representable
 from tickersift.functions.dates import days_after, days_before, yyyymmdd
 from tickersift.functions.scratch import scratch_path, staged
 from tickersift.functions.text import first_match, pattern
@@ -25,12 +24,12 @@ from tickersift.operators.bars import (
 )
 from tickersift.operators.calendar import session_offsets, trading_calendar
 from tickersift.operators.ledger import cash_flow, clean_ledger, cleared_profit, profit_list, ranked_profit
-from tickersift.operators.pages import follow_links, page_first_match, page_index, page_links, page_records
+from tickersift.operators.pages import FILM_FIELDS, follow_links, page_first_match, page_index, page_links, page_records
 from tickersift.operators.panel import session_panel
 from tickersift.operators.ranking import ranked
 from tickersift.plans import screens as s
-from tickersift.plans.crawl import Site, chapter_texts
-from tickersift.plans.daily import daily_screens
+from tickersift.plans.crawl import Site, by_url, chapter_texts, film_listing
+from tickersift.plans.daily import daily_findings
 from tickersift.plans.fundamentals import (
     HighTransfer,
     SmallCap,
@@ -58,6 +57,9 @@ SYMBOL_LIMIT = 4
 
 NAV_LINK = pattern(r'<li><a href="(.*?)">(.*?)</a></li>')
 NAV_TARGET = pattern(r'<li><a href="(.*?)">')
+BOOK_LINK = pattern(r'<li><a href="(https://.*?)">(.*?)</a></li>')
+ONWARD_LINK = pattern(r'<li><a href="(//.*?)">')
+CHAPTER_LINK = pattern(r'<li><a href="(/pages/.*?)">(.*?)</a></li>')
 TITLE_WORD = pattern(r"<title>([^ <]+)")
 BODY = pattern(r"</script>(.*?)<footer>", across_lines=True)
 RECORD = pattern(
@@ -73,7 +75,7 @@ BOUNDS = {
     "v_shape": s.VShape(-90, 300, 10),
     "rising_lows": s.RisingLows(400, 5000, 100000, 5, 5),
     "doji": s.Doji(0.05, -50, 400, -90, 500, True, ("NATION_1", "NATION_2"), 10, 5, 5, 90, 5),
-    "cross_all_averages": s.CrossAllAverages(None, None, 5, 100, None, 20),
+    "cross_all_averages": s.CrossAllAverages(55000, 104000, 38, 90, 34, 20),
     "turnover_surge": s.TurnoverSurge(5000, 3),
 }
 
@@ -143,7 +145,7 @@ def moving_averages_qfq(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latest_ma(spark: SparkSession, sf: str) -> DataFrame:
-    found = latest_averages(inputs.listed(inputs.weekly_bars(spark, sf), spark, sf))
+    found = latest_averages(inputs.with_factor(inputs.listed(inputs.weekly_bars(spark, sf), spark, sf)))
     return plain(found.select("symbol", "bar_date", "close", "low", *[f"ma{n}" for n in s.AVERAGES]))
 
 
@@ -166,8 +168,10 @@ def calendar_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def full_panel(spark: SparkSession, sf: str, averages=()) -> DataFrame:
-    bars = inputs.quoted_bars(spark, sf)
-    return session_panel(moving_averages(bars, averages) if averages else bars, inputs.calendar(spark, sf))
+    """The panel over adjusted bars. The bars are stored first, so that they and the calendar cost one scan of the trades."""
+    bars = staged(inputs.weekly_bars(spark, sf), "bars")
+    quoted = inputs.with_factor(inputs.with_metrics(percent_change(bars)))
+    return session_panel(moving_averages(quoted, averages) if averages else quoted, trading_calendar(bars))
 
 
 def panel_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,7 +194,7 @@ def screen_query(name: str) -> Query:
 
 
 def ma_survivors(spark: SparkSession, sf: str) -> DataFrame:
-    bars = inputs.weekly_bars(spark, sf)
+    bars = inputs.with_factor(inputs.listed(inputs.weekly_bars(spark, sf), spark, sf))
     today = snapshot(inputs.weekly_bars(spark, sf, SNAPSHOT_DAY, SNAPSHOT_DAY), SNAPSHOT_DAY)
     screened = s.keep(inputs.with_metrics(today), *s.within(F.col("pe"), 10, 60))
     found = latest_averages(only_survivors(bars, staged(screened, "screened")))
@@ -204,12 +208,13 @@ def rank_by_next_return(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily_job(spark: SparkSession, sf: str) -> DataFrame:
-    """All seven screens for one day over a stored bar table, as one list of findings."""
-    by_year = inputs.quoted_bars(spark, sf).withColumn("_year", F.year("bar_date")).hint("rebalance", "_year")
-    bars = staged(by_year.drop("_year").sortWithinPartitions("bar_date"), "bars")
+    """All seven screens for one day over bars stored by date, as one ranked list of findings."""
+    quoted = inputs.with_factor(inputs.quoted_bars(spark, sf))
+    path = scratch_path(spark, "bars")
+    write_by_date(quoted, path)
+    bars = spark.read.schema(quoted.schema).parquet(path)
     sessions = staged(trading_calendar(bars), "calendar")
-    found = daily_screens(bars, sessions, inputs.master(spark, sf), SNAPSHOT_DAY, HISTORY_START, BOUNDS)
-    return plain(reduce(DataFrame.unionByName, [df.withColumn("screen", F.lit(name)) for name, df in found.items()]))
+    return plain(daily_findings(bars, sessions, inputs.master(spark, sf), SNAPSHOT_DAY, HISTORY_START, BOUNDS))
 
 
 # --- weekly and fundamental screens ----------------------------------------------------
@@ -237,7 +242,7 @@ def latest_quotes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def screen_high_transfer(spark: SparkSession, sf: str) -> DataFrame:
-    bounds = HighTransfer(25, 5, 2.0, None, 140, None)
+    bounds = HighTransfer(9000, 6, 2.5, 500, 150, 3000)
     path = scratch_path(spark, "indicators")
     inputs.indicators(spark, sf).write.parquet(path)
     saved = read_table(spark, path, ["symbol", "report_end", "capital_rese_ps", "eps"])
@@ -247,13 +252,16 @@ def screen_high_transfer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def screen_small_cap(spark: SparkSession, sf: str) -> DataFrame:
-    metrics = inputs.with_metrics(inputs.listed(inputs.weekly_bars(spark, sf), spark, sf))
-    rows = small_cap(metrics, SmallCap(140, 300, 60000, 0, 60))
-    return plain(rows.select("symbol", "bar_date", "close", "pe", "float_share", "total_mv"))
+    """Listed instruments with one day's metrics and that day's change."""
+    day = staged(snapshot(inputs.quoted_bars(spark, sf, end=SNAPSHOT_DAY), SNAPSHOT_DAY), "quotes")
+    metrics = day.select("symbol", "bar_date", "close", "pe", "float_share", "total_mv")
+    rows = snapshot_enrich(inputs.master(spark, sf), metrics, day.select("symbol", "bar_date", "pct_chg"))
+    columns = ("symbol", "name", "bar_date", "close", "pct_chg", "pe", "float_share", "total_mv")
+    return plain(small_cap(rows, SmallCap(160, 1500, 45000, 8, 35)).select(*columns))
 
 
 def snapshot_enriched(spark: SparkSession, sf: str) -> DataFrame:
-    bars = snapshot(inputs.weekly_bars(spark, sf, SNAPSHOT_DAY, SNAPSHOT_DAY), SNAPSHOT_DAY)
+    bars = staged(snapshot(inputs.weekly_bars(spark, sf, SNAPSHOT_DAY, SNAPSHOT_DAY), SNAPSHOT_DAY), "quotes")
     metrics = inputs.with_metrics(bars).select("symbol", "bar_date", "close", "pe", "pe_ttm", "tor")
     prices = bars.select("symbol", "bar_date", "open", "high", "low")
     return plain(snapshot_enrich(inputs.master(spark, sf), metrics, prices))
@@ -332,15 +340,18 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def link_follow(spark: SparkSession, sf: str) -> DataFrame:
-    return follow_links(links(spark, sf), page_index(pages(spark, sf), title_word()), F.col("title"), ["page_id", "pos"])
+    """Links of every page, resolved against its address and followed to the page they name."""
+    site = inputs.site(spark, sf)
+    found = page_links(site, NAV_LINK, keep=("page_id", "url"))
+    followed = follow_links(found, page_index(site, F.col("url")), by_url(F.col("url"), F.col("href")), ["page_id", "pos"])
+    return followed.select("page_id", "pos", "href", "title", "target_id")
 
 
 def chapters(spark: SparkSession, sf: str) -> DataFrame:
-    site = Site(NAV_LINK, ("href", "title"), NAV_TARGET, NAV_LINK, ("href", "title"), BODY)
-    table = pages(spark, sf)
-    return chapter_texts(
-        table, table, site, page_address=title_word(), link_address=lambda base, href: F.ltrim(href, F.lit("/"))
-    )
+    """Every page as a book list: its absolute links are books, a book's link by host leads to its chapters."""
+    site = Site(BOOK_LINK, ("href", "title"), ONWARD_LINK, CHAPTER_LINK, ("href", "title"), BODY)
+    table = inputs.site(spark, sf)
+    return chapter_texts(table, table, site)
 
 
 def page_offsets(spark: SparkSession, sf: str) -> DataFrame:
@@ -365,13 +376,23 @@ def sink_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 def sink_csv_gbk(spark: SparkSession, sf: str) -> DataFrame:
     """Listing records appended as GBK text in two runs, then read back."""
-    rows = records(spark, sf).select("page_id", *RECORD_FIELDS)
+    found = records(spark, sf)
+    rows = staged(found.select("page_id", *[representable(spark, F.col(c)).alias(c) for c in RECORD_FIELDS]), "found")
     path = scratch_path(spark, "records")
     write_csv(rows.where(F.col("lang") == "en"), path, "append", "GBK")
     write_csv(rows.where(F.col("lang") != "en"), path, "append", "GBK")
     return read_csv(spark, path, rows.schema, "GBK", line_breaks=True)
 
 
+def film_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranked listings, one per page, extracted and appended as GBK text in two runs, then read back."""
+    listings = inputs.ranked_listings(spark, sf)
+    path = scratch_path(spark, "films")
+    for odd in (0, 1):
+        film_listing(listings.where(F.pmod("page_id", F.lit(2)) == odd), path)
+    return read_csv(spark, path, ", ".join(f"{c} string" for c in FILM_FIELDS), "GBK")
+
+
 def sink_text_by_title(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "texts")
     write_text_by_title(pages(spark, sf).select(title_word().alias("title"), first_match(F.col("html"), BODY).alias("text")), path)
@@ -427,5 +448,6 @@ QUERIES: dict[str, Query] = {
     "pages_decode": pages_decode,
     "sink_roundtrip": sink_roundtrip,
     "sink_csv_gbk": sink_csv_gbk,
+    "film_records": film_records,
     "sink_text_by_title": sink_text_by_title,
 }

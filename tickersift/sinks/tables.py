@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
-from tickersift.functions.charset import allow_legacy_charsets
+from tickersift.functions.charset import allow_legacy_charsets, representable
 
 
 def dated(path: str, day: date) -> str:
@@ -31,12 +31,22 @@ CSV_FORM = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ig
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", encoding: str = "UTF-8") -> None:
-    """Write CSV files with a header row; ``mode='append'`` adds to the folder."""
+    """Write CSV files with a header row; ``mode='append'`` adds to the folder.
+
+    A text that the encoding cannot hold fails the job (see ``representable`` for a lossy form).
+    """
     if encoding.upper() != "UTF-8":
-        allow_legacy_charsets(df.sparkSession)
+        texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+        df = df.withColumns({c: _held(df.sparkSession, c, encoding) for c in texts})
     df.write.mode(mode).options(**CSV_FORM, encoding=encoding).csv(path)
 
 
+def _held(spark: SparkSession, column: str, encoding: str) -> Column:
+    text = F.col(column)
+    lost = F.raise_error(F.concat(F.lit(f"{column}: {encoding} cannot hold "), text))
+    return F.when(text.isNull() | (representable(spark, text, encoding) == text), text).otherwise(lost)
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: str | StructType, encoding: str = "UTF-8", line_breaks: bool = False
 ) -> DataFrame:
