@@ -14,7 +14,7 @@ from tickersift.llm.language import fit_languages, predict_languages, prediction
 from tickersift.llm.line_templates import drop_recurring_lines
 from tickersift.llm.mixing import mixed_documents
 from tickersift.llm.packing import pack_documents
-from tickersift.llm.simhash import near_duplicates
+from tickersift.llm.simhash import verified_near_duplicates
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +35,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, on shingles of five words: the smallest id, then the first row."""
+    """One document of each group of near duplicates, the smallest id, then the first row: texts that share 0.8 of their five-word shingles."""
     placed = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("place"))
     rows = staged(placed, "placed-documents")  # written, so that a row's place stays the same
     keys = rows.select(F.struct(F.col("row.doc_id").alias("doc_id"), "place").alias("id"), F.col("row.text").alias("text"))
-    groups = near_duplicates(keys, words=5, id_column="id")
+    groups = verified_near_duplicates(keys, words=5, id_column="id")
     stay = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id.place")
     return rows.join(stay, "place", "left_semi").select("row.*")
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickersift.llm import repeats
+from tickersift.llm import repeats, simhash
 from tickersift.llm.adaptive_search import approximate_top_k
 from tickersift.llm.components import connected_components
 from tickersift.llm.language import fit_languages, predict_languages
@@ -78,6 +78,45 @@ def test_near_duplicates_equal_brute_force(docs, rows):
     assert all(text_fingerprint(r[1], 4) == p for r, p in zip(rows, prints, strict=True))
 
 
+def test_near_duplicates_of_the_pipeline_are_verified(spark):
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    texts = []
+    for n in (30, 200, 300):
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        for changes in range(0, 16):  # similarities from 1 down to about a half
+            words = list(base)
+            for at in rng.sample(range(n), changes * n // 300 + changes % 2):
+                words[at] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(words))
+    # A repeated phrase decides the fingerprint, but not the set of shingles.
+    texts += ["one two three four five " * 60 + " ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    prints = [fingerprint(t, 5) for t in texts]
+    similar = lambda i, j: 5 * len(shingles[i] & shingles[j]) >= 4 * len(shingles[i] | shingles[j])
+    near = lambda i, j, radius: (prints[i] ^ prints[j]).bit_count() <= radius
+    group = list(range(len(texts)))
+    for _ in texts:
+        group = [min(group[j] for j in range(len(texts)) if near(i, j, 10) and similar(i, j)) for i in range(len(texts))]
+    ids = range(len(texts))
+    assert any(near(i, j, 4) and not similar(i, j) for i in ids for j in ids) and any(similar(i, j) and near(i, j, 10) and not near(i, j, 4) for i in ids for j in ids)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, table, "").collect()) == sorted(set(group))
+
+
+def test_large_buckets_are_split_by_later_blocks(monkeypatch):
+    monkeypatch.setattr(simhash, "DIRECT", 3)
+    rng, cut = random.Random(6), simhash.blocks(10)
+    assert sum(w for _, w in cut) == 64
+    base = [rng.getrandbits(64) for _ in range(5)]
+    fp = [b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(12)]
+    agree = lambda x, y: any((x ^ y) >> s & ((1 << w) - 1) == 0 for s, w in cut[2:])
+    want = {(i, j) for j in range(60) for i in range(j) if i % 7 != j % 7 and (fp[i] ^ fp[j]).bit_count() <= 10 and agree(fp[i], fp[j])}
+    found = simhash.close_pairs(np.array(fp, np.uint64), np.arange(60) % 7, cut[2:], 10)
+    assert {tuple(sorted(x)) for i, j in found for x in zip(i.tolist(), j.tolist(), strict=True)} == want != set()
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     found = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())

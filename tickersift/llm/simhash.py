@@ -36,11 +36,15 @@ BITS = 64
 STEP_VARIANTS = 1 << 21
 
 
+def text_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII letters and white space only
+
+
 def text_fingerprint(text: str | None, words: int) -> int:
     """The majority of the XXH64 bits of all shingles; long texts go through in slices."""
     import xxhash
 
-    split = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII letters and white space only
+    split = text_words(text)
     if not split:
         return 0
     joined = b" ".join(split)
@@ -171,3 +175,142 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_column:
     labels = of_fp.join(smallest, "component").select(F.col("fp").alias("label_fp"), "component_id")
     joined = marked.join(labels, marked["fp"] == labels["label_fp"])
     return joined.select("id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# Verified near duplicates. Fingerprints within ``radius`` bits that are cut into
+# ``radius + 3`` blocks agree on three blocks at least. Two of them choose the bucket that
+# a text is sent to, the third one splits large buckets.
+AGREEING = 3
+# Rows that a task holds at once, on average; their buckets lie together.
+PART_ROWS = 1 << 18
+# Texts of a bucket that are compared with each other at once.
+DIRECT = 2048
+
+
+def blocks(radius: int) -> list[tuple[int, int]]:
+    """(shift, width) of each block of a fingerprint."""
+    ends = [BITS * i // (radius + AGREEING) for i in range(radius + AGREEING + 1)]
+    return [(b, e - b) for b, e in zip(ends, ends[1:], strict=False)]
+
+
+def close_pairs(fp: np.ndarray, component: np.ndarray, later: list[tuple[int, int]], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all texts within ``radius`` bits that are in different components and agree on one of the ``later`` blocks."""
+    if len(fp) > DIRECT and later:
+        for shift, width in later:
+            value = (fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+            order = np.argsort(value, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
+                for i, j in close_pairs(fp[own], component[own], [], radius):
+                    yield own[i], own[j]
+        return
+    step = max(1, STEP_VARIANTS // max(1, len(fp)))
+    for at in range(0, len(fp), step):
+        near = np.bitwise_count(fp[at : at + step, None] ^ fp[at:]) <= radius
+        i, j = np.nonzero(near & (component[at : at + step, None] != component[at:]))
+        yield i[i < j] + at, j[i < j] + at
+
+
+def candidate_pairs(nodes: DataFrame, radius: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of nodes within ``radius`` bits; ``nodes`` has node, fp and component.
+
+    With ``every``, all pairs of different components. Else only two for each text of a
+    bucket, the least and the next smaller fingerprint, which is enough to join most
+    copies of a text without listing all their pairs.
+    """
+    cut = blocks(radius)
+    pairs = list(itertools.combinations(range(len(cut) - 1), AGREEING - 1))
+
+    def value(i: int) -> Column:
+        shift, width = cut[i]
+        return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+
+    widest = max(width for _, width in cut)
+    keys = [F.lit(n << (2 * widest)).cast("bigint") + F.shiftleft(value(i), widest) + value(j) for n, (i, j) in enumerate(pairs)]
+    parts = max(64, math.ceil(nodes.count() * len(pairs) / PART_ROWS))
+    sent = nodes.select(F.explode(F.array(*keys)).alias("bucket"), "node", "fp", "component")
+
+    def meet(table: pa.Table) -> pa.Table:
+        bucket, node, component, fp = (table.column(c).to_numpy() for c in ("bucket", "node", "component", "fp"))
+        order = np.lexsort((node, fp, bucket))
+        bucket, node, component, fp = bucket[order], node[order], component[order], fp[order].view(np.uint64)
+        begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        sizes = np.diff(np.append(begins, len(fp)))
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        if every:
+            for at, n in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+                if (component[at : at + n] != component[at]).any():
+                    later = cut[pairs[int(bucket[at]) >> (2 * widest)][1] + 1 :]
+                    found += [(i + at, j + at) for i, j in close_pairs(fp[at : at + n], component[at : at + n], later, radius)]
+        else:
+            least = np.repeat(begins, sizes)
+            own = np.flatnonzero(np.arange(len(fp)) != least)
+            for other in (own - 1, least[own]):
+                near = np.bitwise_count(fp[own] ^ fp[other]) <= radius
+                found.append((own[near], other[near]))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        both = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
+        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+
+    part = F.pmod(F.xxhash64("bucket"), F.lit(parts))
+    return sent.groupBy(part.alias("part")).applyInArrow(meet, "a long, b long").distinct()
+
+
+def text_shingles(text: str | None, words: int) -> set[bytes]:
+    split = text_words(text)
+    span = max(1, min(words, len(split)))
+    return {b" ".join(split[i : i + span]) for i in range(len(split) - span + 1)}
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = text_shingles(x.as_py(), words), text_shingles(y.as_py(), words)
+                common = len(x & y)
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def verified_near_duplicates(
+    docs: DataFrame, words: int = 5, radius: int = 10, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """Rows (id, component_id): components over pairs within ``radius`` bits whose shingles were compared.
+
+    A node is a text without regard to ASCII case and white space. Copies are joined over
+    few verified pairs first; then all pairs of nodes that are still apart are verified.
+    """
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(1)]
+            fp = np.array([text_fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+            node = np.array([xxhash.xxh64_intdigest(b" ".join(text_words(t)), 7) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(fp, pa.int64())], ["id", "node", "fp"])
+
+    id_type = docs.schema[id_column].dataType.simpleString()
+    narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    marked = staged(narrow.mapInArrow(compute, f"id {id_type}, node long, fp long"), "marked")
+    nodes = staged(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("least")), "nodes")
+    owners = nodes.select("node", F.col("least").alias("id"))
+    texts = narrow.join(owners, narrow["id"].eqNullSafe(owners["id"])).select("node", "text")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        found = connected_components(links).select("node", "component")
+        return staged(nodes.join(found, "node", "left").select("node", "fp", "least", F.coalesce("component", "node").alias("component")), "labelled")
+
+    first = staged(candidate_pairs(nodes.withColumn("component", F.col("node")), radius, False), "first-pairs")
+    links = staged(verified(first, texts, words, similarity), "first-links")
+    rest = staged(candidate_pairs(labelled(links), radius, True).join(first, ["a", "b"], "left_anti"), "other-pairs")
+    labels = labelled(links.unionByName(staged(verified(rest, texts, words, similarity), "other-links")))
+    smallest = labels.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_node = labels.join(smallest, "component").select("node", "component_id")
+    return marked.join(of_node, "node").select("id", "component_id")
