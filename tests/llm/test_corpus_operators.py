@@ -160,6 +160,20 @@ def test_variable_words_are_generalised(spark):
     assert found == {i: (f"user named {chr(97)} has now logged in\n" if i == 0 else "") + f"own {chr(97 + i)} text" for i in range(12)}
 
 
+def kept_lines(spark, texts):
+    import corpus_pipeline
+
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, table, "").collect()}
+
+
+def test_a_leaf_has_several_general_templates(spark):
+    name = [chr(97 + i) * 3 for i in range(12)]
+    first, second = "2020-01-01 10:00 INFO user {} has logged in again today now", "2020-01-01 10:00 INFO disk {} was found full on some machine"
+    texts = [f"{first.format(x)}\n{second.format(x)}\nown {x}" for x in name]
+    assert kept_lines(spark, texts) == {i: texts[0] if i == 0 else f"own {x}" for i, x in enumerate(name)}
+
+
 @pytest.mark.parametrize("length, hot", [(40, 20_000), (40, 3), (400, 20_000)])
 def test_repeated_bytes_equal_brute_force(docs, rows, length, hot):
     data = [(r[1] or "").encode() for r in rows]

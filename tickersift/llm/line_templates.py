@@ -57,9 +57,11 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def _generalised(lines: DataFrame, docs: DataFrame, depth: int, min_docs: int, constant: float) -> DataFrame:
-    """Rows (t1, t2, leaf): templates that their leaf's general template covers.
+def _generalised(lines: DataFrame, docs: DataFrame, depth: int, min_docs: int, constant: float, several: bool) -> DataFrame:
+    """Rows (t1, t2, general): templates that a general template of their leaf covers.
 
+    With ``several``, templates that the leaf's main one does not cover are grouped by
+    those of their tokens that at least ``min_docs`` lines of the leaf have at that place.
     Only leaves with several templates and enough documents are looked at, and only their
     lines' tokens are counted, by position.
     """
@@ -74,7 +76,16 @@ def _generalised(lines: DataFrame, docs: DataFrame, depth: int, min_docs: int, c
     general = fixed.groupBy("leaf", "n").agg(F.count("*").alias("constants"))
     general = general.where(F.col("constants") >= constant * F.col("n")).select("leaf", "constants")
     agreeing = places.join(fixed.drop("n"), ["leaf", "at", "token"]).groupBy("leaf", "t1", "t2").agg(F.count("*").alias("agree"))
-    return agreeing.join(general, "leaf").where(F.col("agree") == F.col("constants")).select("t1", "t2", F.col("leaf").alias("general"))
+    main = agreeing.join(general, "leaf").where(F.col("agree") == F.col("constants")).select("t1", "t2", F.col("leaf").alias("general"))
+    if not several:
+        return main
+    main = staged(main, "main-templates")
+    others = places.where(F.col("token") != FIELD).join(main, ["t1", "t2"], "left_anti")
+    frequent = others.groupBy("leaf", "at", "token").agg(F.sum("lines").alias("found")).where(F.col("found") >= min_docs)
+    kept = others.join(frequent.drop("found"), ["leaf", "at", "token"])
+    grouped = kept.groupBy("leaf", "t1", "t2", "n").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("tokens"))
+    grouped = grouped.where(F.size("tokens") >= constant * F.col("n"))
+    return main.unionByName(grouped.select("t1", "t2", F.xxhash64("leaf", "tokens").alias("general")))
 
 
 def drop_recurring_lines(
@@ -84,18 +95,20 @@ def drop_recurring_lines(
     long_tokens: int = 20,
     depth: int = 3,
     constant: float = 0.7,
+    several: bool = False,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
     """``row`` (a struct of all columns), text, n_lines and n_dropped.
 
     A template recurs if it is in ``min_docs`` documents, or in ``min_docs_long`` if it
-    has ``long_tokens`` tokens or more.
+    has ``long_tokens`` tokens or more. With ``several``, a leaf may have more than one
+    general template.
     """
     doc_id, text = F.col(id_column), F.col(text_column)
     narrow = docs.select(doc_id.alias("id"), text.alias("text"), *document_key(doc_id, text))
     lines = staged(_lines(narrow, depth).drop("tokens"), "lines")
-    general = staged(_generalised(lines, narrow, depth, min_docs, constant), "general-templates")
+    general = staged(_generalised(lines, narrow, depth, min_docs, constant, several), "general-templates")
     placed = lines.join(general, ["t1", "t2"], "left").select(
         *KEY, "id", "no", "n", F.coalesce("general", "t1").alias("p1"), F.when(F.col("general").isNull(), F.col("t2")).otherwise(F.col("n")).alias("p2")
     )
