@@ -174,6 +174,13 @@ def test_a_leaf_has_several_general_templates(spark):
     assert kept_lines(spark, texts) == {i: texts[0] if i == 0 else f"own {x}" for i, x in enumerate(name)}
 
 
+def test_long_lines_are_dropped_from_the_second_document_on(spark):
+    long = " ".join(f"{c}{d}" for c in "abcde" for d in "vwxyz")
+    varied = "one two three " + long.replace("av", "{}")
+    texts = [f"{long}\nown x", f"{long}\nown y", f"{varied.format('p')}\nown z", f"{varied.format('q')}\nown u", "short line\nown v", "short line\nown w"]
+    assert kept_lines(spark, texts) == dict(enumerate(texts)) | {1: "own y", 3: "own u"}
+
+
 @pytest.mark.parametrize("length, hot", [(40, 20_000), (40, 3), (400, 20_000)])
 def test_repeated_bytes_equal_brute_force(docs, rows, length, hot):
     data = [(r[1] or "").encode() for r in rows]

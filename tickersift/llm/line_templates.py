@@ -57,17 +57,17 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def _generalised(lines: DataFrame, docs: DataFrame, depth: int, min_docs: int, constant: float, several: bool) -> DataFrame:
+def _generalised(lines: DataFrame, docs: DataFrame, depth: int, enough: Column, constant: float, several: bool) -> DataFrame:
     """Rows (t1, t2, general): templates that a general template of their leaf covers.
 
     With ``several``, templates that the leaf's main one does not cover are grouped by
-    those of their tokens that at least ``min_docs`` lines of the leaf have at that place.
+    those of their tokens that ``enough`` lines of the leaf have at that place.
     Only leaves with several templates and enough documents are looked at, and only their
     lines' tokens are counted, by position.
     """
-    templates = lines.where(F.col("n") > depth).groupBy("leaf", "t1", "t2").agg(F.count("*").alias("lines"))
-    leaves = templates.groupBy("leaf").agg(F.sum("lines").alias("all"), F.count("*").alias("kinds"))
-    leaves = staged(leaves.where((F.col("kinds") > 1) & (F.col("all") >= min_docs)), "leaves")
+    templates = lines.where(F.col("n") > depth).groupBy("leaf", "n", "t1", "t2").agg(F.count("*").alias("lines"))
+    leaves = templates.groupBy("leaf", "n").agg(F.sum("lines").alias("all"), F.count("*").alias("kinds"))
+    leaves = staged(leaves.where((F.col("kinds") > 1) & (F.col("all") >= enough)).drop("n"), "leaves")
     members = _lines(docs, depth).where(F.col("n") > depth).join(leaves, "leaf")
     kinds = staged(members.groupBy("leaf", "all", "t1", "t2", "n").agg(F.first("tokens").alias("tokens"), F.count("*").alias("lines")), "leaf-lines")
     places = kinds.select("leaf", "all", "t1", "t2", "n", "lines", F.posexplode("tokens").alias("at", "token"))
@@ -81,8 +81,8 @@ def _generalised(lines: DataFrame, docs: DataFrame, depth: int, min_docs: int, c
         return main
     main = staged(main, "main-templates")
     others = places.where(F.col("token") != FIELD).join(main, ["t1", "t2"], "left_anti")
-    frequent = others.groupBy("leaf", "at", "token").agg(F.sum("lines").alias("found")).where(F.col("found") >= min_docs)
-    kept = others.join(frequent.drop("found"), ["leaf", "at", "token"])
+    frequent = others.groupBy("leaf", "n", "at", "token").agg(F.sum("lines").alias("found")).where(F.col("found") >= enough)
+    kept = others.join(frequent.drop("found", "n"), ["leaf", "at", "token"])
     grouped = kept.groupBy("leaf", "t1", "t2", "n").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("tokens"))
     grouped = grouped.where(F.size("tokens") >= constant * F.col("n"))
     return main.unionByName(grouped.select("t1", "t2", F.xxhash64("leaf", "tokens").alias("general")))
@@ -96,6 +96,7 @@ def drop_recurring_lines(
     depth: int = 3,
     constant: float = 0.7,
     several: bool = False,
+    leaf_lines_long: int | None = None,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -103,12 +104,14 @@ def drop_recurring_lines(
 
     A template recurs if it is in ``min_docs`` documents, or in ``min_docs_long`` if it
     has ``long_tokens`` tokens or more. With ``several``, a leaf may have more than one
-    general template.
+    general template. A leaf is generalised from ``min_docs`` lines on, or from
+    ``leaf_lines_long`` if it is given and the lines are long.
     """
     doc_id, text = F.col(id_column), F.col(text_column)
     narrow = docs.select(doc_id.alias("id"), text.alias("text"), *document_key(doc_id, text))
     lines = staged(_lines(narrow, depth).drop("tokens"), "lines")
-    general = staged(_generalised(lines, narrow, depth, min_docs, constant, several), "general-templates")
+    leaf_lines = F.when(F.col("n") >= long_tokens, min_docs if leaf_lines_long is None else leaf_lines_long).otherwise(min_docs)
+    general = staged(_generalised(lines, narrow, depth, leaf_lines, constant, several), "general-templates")
     placed = lines.join(general, ["t1", "t2"], "left").select(
         *KEY, "id", "no", "n", F.coalesce("general", "t1").alias("p1"), F.when(F.col("general").isNull(), F.col("t2")).otherwise(F.col("n")).alias("p2")
     )
