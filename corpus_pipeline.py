@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     One that had nothing else goes; the first document with a line keeps it.
     """
-    cleaned = drop_recurring_lines(docs, min_docs_long=2, leaf_lines_long=2, several=True)
+    cleaned = drop_recurring_lines(docs, min_docs_long=2, leaf_lines_long=2, several=True, words=0.7)
     emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     changed = F.col("n_dropped") > 0
     columns = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}

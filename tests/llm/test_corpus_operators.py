@@ -181,6 +181,12 @@ def test_long_lines_are_dropped_from_the_second_document_on(spark):
     assert kept_lines(spark, texts) == dict(enumerate(texts)) | {1: "own y", 3: "own u"}
 
 
+def test_lines_of_fields_alone_are_compared_by_their_text(spark):
+    texts = [f"{i} {i * i} {i + 7}\n{i}\nhttp://x.org/{i}\n1 2 3\nmail number {i} from us" for i in range(12)]
+    own = [f"{i} {i * i} {i + 7}\n{i}\nhttp://x.org/{i}" for i in range(12)]
+    assert kept_lines(spark, texts) == {i: texts[0] if i == 0 else own[i] for i in range(12)}
+
+
 @pytest.mark.parametrize("length, hot", [(40, 20_000), (40, 3), (400, 20_000)])
 def test_repeated_bytes_equal_brute_force(docs, rows, length, hot):
     data = [(r[1] or "").encode() for r in rows]

@@ -5,8 +5,9 @@ tokens, to a leaf. Tokens with a digit are variable fields and become ``<*>``. W
 leaf the other variable fields are generalised too: a position keeps its token only if
 half of the leaf's occurrences have it there, and lines that agree with a mostly constant
 template on all its constants belong to it. A template that recurs in enough documents
-is dropped from all of them but the first (smallest id), so no content is lost and a group
-of copies keeps one whole member. Short lines recur by chance, so they need more documents.
+is dropped from all of them but the first (smallest id), so a group of copies keeps one
+whole member; what is lost are the other values of variable fields. By default a template
+may have no constant at all; see ``words``. Short lines recur by chance, so they need more documents.
 
 A document is an id with a text, so repeated rows are one document, and all get the same
 result. Only hashes and counts of lines are shuffled, and texts once, to be rewritten.
@@ -28,21 +29,23 @@ FIELD = "<*>"
 KEY = ("k1", "k2")
 
 
-def line_tokens(line: Column) -> Column:
-    """Tokens between ASCII white space, those with a digit as variable fields."""
+def line_tokens(line: Column, words: float = 0.0) -> Column:
+    """Tokens between ASCII white space; those with a digit are variable fields if at least the share ``words`` has none."""
     tokens = F.filter(F.split(line, SPACES), lambda t: t != "")
     masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
-    return F.when(line.rlike("[0-9]"), masked).otherwise(tokens)
+    plain = F.filter(masked, lambda t: t != FIELD)
+    enough = line.rlike("[0-9]") if not words else line.rlike("[0-9]") & (F.size(plain) >= words * F.size(tokens))
+    return F.when(enough, masked).otherwise(tokens)
 
 
 def document_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(text, doc_id, F.lit(1)).alias("k2")]
 
 
-def _lines(docs: DataFrame, depth: int) -> DataFrame:
+def _lines(docs: DataFrame, depth: int, words: float) -> DataFrame:
     """One row per line that is not blank, with the hashes of its leaf and of its template."""
     exploded = docs.select(*KEY, "id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    tokens = exploded.select(*KEY, "id", "no", line_tokens(F.col("line")).alias("tokens"))
+    tokens = exploded.select(*KEY, "id", "no", line_tokens(F.col("line"), words).alias("tokens"))
     n = F.size("tokens")
     template = F.array_join("tokens", " ")
     return tokens.where(n > 0).select(
@@ -57,7 +60,7 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def _generalised(lines: DataFrame, docs: DataFrame, depth: int, enough: Column, constant: float, several: bool) -> DataFrame:
+def _generalised(lines: DataFrame, docs: DataFrame, depth: int, enough: Column, constant: float, several: bool, words: float) -> DataFrame:
     """Rows (t1, t2, general): templates that a general template of their leaf covers.
 
     With ``several``, templates that the leaf's main one does not cover are grouped by
@@ -68,7 +71,7 @@ def _generalised(lines: DataFrame, docs: DataFrame, depth: int, enough: Column,
     templates = lines.where(F.col("n") > depth).groupBy("leaf", "n", "t1", "t2").agg(F.count("*").alias("lines"))
     leaves = templates.groupBy("leaf", "n").agg(F.sum("lines").alias("all"), F.count("*").alias("kinds"))
     leaves = staged(leaves.where((F.col("kinds") > 1) & (F.col("all") >= enough)).drop("n"), "leaves")
-    members = _lines(docs, depth).where(F.col("n") > depth).join(leaves, "leaf")
+    members = _lines(docs, depth, words).where(F.col("n") > depth).join(leaves, "leaf")
     kinds = staged(members.groupBy("leaf", "all", "t1", "t2", "n").agg(F.first("tokens").alias("tokens"), F.count("*").alias("lines")), "leaf-lines")
     places = kinds.select("leaf", "all", "t1", "t2", "n", "lines", F.posexplode("tokens").alias("at", "token"))
     fixed = places.where(F.col("token") != FIELD).groupBy("leaf", "all", "n", "at", "token").agg(F.sum("lines").alias("lines"))
@@ -97,6 +100,7 @@ def drop_recurring_lines(
     constant: float = 0.7,
     several: bool = False,
     leaf_lines_long: int | None = None,
+    words: float = 0.0,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -105,13 +109,14 @@ def drop_recurring_lines(
     A template recurs if it is in ``min_docs`` documents, or in ``min_docs_long`` if it
     has ``long_tokens`` tokens or more. With ``several``, a leaf may have more than one
     general template. A leaf is generalised from ``min_docs`` lines on, or from
-    ``leaf_lines_long`` if it is given and the lines are long.
+    ``leaf_lines_long`` if it is given and the lines are long. A line with a smaller share
+    of tokens without digits than ``words`` is compared by its own text.
     """
     doc_id, text = F.col(id_column), F.col(text_column)
     narrow = docs.select(doc_id.alias("id"), text.alias("text"), *document_key(doc_id, text))
-    lines = staged(_lines(narrow, depth).drop("tokens"), "lines")
+    lines = staged(_lines(narrow, depth, words).drop("tokens"), "lines")
     leaf_lines = F.when(F.col("n") >= long_tokens, min_docs if leaf_lines_long is None else leaf_lines_long).otherwise(min_docs)
-    general = staged(_generalised(lines, narrow, depth, leaf_lines, constant, several), "general-templates")
+    general = staged(_generalised(lines, narrow, depth, leaf_lines, constant, several, words), "general-templates")
     placed = lines.join(general, ["t1", "t2"], "left").select(
         *KEY, "id", "no", "n", F.coalesce("general", "t1").alias("p1"), F.when(F.col("general").isNull(), F.col("t2")).otherwise(F.col("n")).alias("p2")
     )
