@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tickersift.llm import repeats, simhash
 from tickersift.llm.adaptive_search import approximate_top_k
 from tickersift.llm.components import connected_components
-from tickersift.llm.language import fit_languages, predict_languages
+from tickersift.llm.language import fit_languages, predict_languages, subwords
 from tickersift.llm.line_templates import drop_recurring_lines
 from tickersift.llm.mixing import mix_sources, mixed_documents
 from tickersift.llm.packing import WordIds, best_fit_decreasing, pack_documents
@@ -136,6 +136,20 @@ def test_languages_are_learned_and_others_rejected(spark, docs):
     assert predict_languages(docs, fit_languages(docs)).count() == docs.count()
 
 
+def test_unlearned_languages_are_rejected_by_a_large_vocabulary(spark):
+    rng = random.Random(3)
+    made = lambda letters, n: ["".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(n)]
+    # Related languages share letters and a part of their words; the third one is not learned.
+    shared = made("abcdefghijklmnop", 600)
+    words = [made("abcdefghijklmnop", 6000) + shared for _ in range(3)] + [made("qrstuvwxyzabcd", 3000)]
+    prose = lambda i: " ".join(rng.choices(words[i], k=60))
+    table = spark.createDataFrame([(i, prose(i % 2), "xy"[i % 2]) for i in range(1200)], "doc_id long, text string, lang string")
+    model = fit_languages(table)
+    assert len(np.unique(np.concatenate([subwords(r["text"]) for r in table.collect()]))) > 1 << 15  # more than there are buckets
+    rejected = [sum(model.predict(prose(i))[2] for _ in range(50)) for i in range(4)]
+    assert max(rejected[:2]) <= 5 and min(rejected[2:]) >= 45, rejected
+
+
 def test_shards_hold_every_row_once(docs, tmp_path):
     sharded = shuffled_shards(docs, 8, bucket_bytes=4096)
     assert Counter(map(tuple, sharded.select("record.*").collect())) == Counter(map(tuple, docs.collect()))

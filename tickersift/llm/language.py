@@ -6,10 +6,11 @@ through a linear softmax. Embeddings and weights are trained together by stochas
 gradient descent in numpy, on a bounded sample of labelled rows (``rows_per_language``
 for each of the ``max_languages`` most frequent labels; both are parameters). A part of
 the sample is kept from training: it sets the temperature, which makes the score a
-probability, and the share of known subwords (buckets with an example) below which a
-prediction is rejected, as is one hardly better than a guess. Unknown buckets have zero
-embeddings, so a text in an unknown script fails both tests, while one in two known
-languages passes both.
+probability, and the share of known subwords below which a prediction is rejected, as is
+one hardly better than a guess. Whether a subword is known is kept in a space much larger
+than the buckets, where unseen ones seldom meet a seen one. The least share lies between
+those of the sample's own texts and those that each language's texts have without their
+language, so a text in an unlearned language fails, while one in two known languages passes.
 
 Defined results: a text that is NULL or has no letter is ``und`` with score 0, rejected;
 without any labelled row all are; a NULL id is not learned from and not held out;
@@ -29,6 +30,9 @@ from pyspark.sql import types as T
 
 UNKNOWN = "und"
 BUCKET_BITS = 15
+KNOWN_BITS = 24
+# Known subwords that every text is given, since a few unknown ones prove little.
+GIVEN = 10
 DIMENSIONS = 16
 BOUNDARY = 32
 # How far from a guess to certainty an accepted score lies at least.
@@ -45,7 +49,7 @@ def letters() -> np.ndarray:
 
 
 def subwords(text: str | None) -> np.ndarray | None:
-    """Buckets of all 1- to 4-grams within words, boundaries included; None without a letter."""
+    """Hashes of KNOWN_BITS bits of all 1- to 4-grams within words, boundaries included; None without a letter. The leading bits are the bucket."""
     if not text:
         return None
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -69,30 +73,39 @@ def subwords(text: str | None) -> np.ndarray | None:
             for middle in range(1, n - 1):
                 valid = valid & inside[middle : middle + len(gram)]
         mixed = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x85EBCA6B) + np.uint32(n)
-        found.append((mixed[valid] * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BUCKET_BITS))
+        found.append((mixed[valid] * np.uint32(0xC2B2AE35)) >> np.uint32(32 - KNOWN_BITS))
     return np.concatenate(found)
 
 
+def bucket_of(grams: np.ndarray) -> np.ndarray:
+    return grams >> np.uint32(KNOWN_BITS - BUCKET_BITS)
+
+
+def known_share(known: np.ndarray, counts: np.ndarray) -> float:
+    return float((known @ counts + GIVEN) / (counts.sum() + GIVEN))
+
+
 @dataclass(frozen=True)
 class Model:
-    """Logits of each bucket (the product of embeddings and weights) and, in a last column, whether it is known; the calibration."""
+    """Logits of each bucket (the product of embeddings and weights); the calibration; a bit for each known subword."""
 
     languages: tuple[str, ...]
     table: np.ndarray
     temperature: float
     least_known: float
+    known: np.ndarray
 
-    def scores(self, counts: np.ndarray) -> tuple[np.ndarray, float]:
-        mean = counts @ self.table / counts.sum()
-        logits = mean[:-1] / self.temperature
+    def scores(self, counts: np.ndarray) -> np.ndarray:
+        logits = counts @ self.table / counts.sum() / self.temperature
         e = np.exp(logits - logits.max())
-        return e / e.sum(), float(mean[-1])
+        return e / e.sum()
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        buckets = subwords(text)
-        if buckets is None or not len(buckets) or not self.languages:
+        grams = subwords(text)
+        if grams is None or not len(grams) or not self.languages:
             return UNKNOWN, 0.0, True
-        p, known = self.scores(np.bincount(buckets, minlength=1 << BUCKET_BITS).astype(np.float32))
+        p = self.scores(np.bincount(bucket_of(grams), minlength=1 << BUCKET_BITS).astype(np.float32))
+        known = known_share(self.known[grams >> np.uint32(3)] >> (grams & np.uint32(7)).astype(np.uint8) & 1, np.ones(len(grams)))
         best, guess = int(p.argmax()), 1 / len(p)
         hardly = len(p) > 1 and p[best] < guess + GUESS_MARGIN * (1 - guess)
         return self.languages[best], min(1.0, float(p[best])), bool(hardly or known < self.least_known)
@@ -105,7 +118,7 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(
     docs: DataFrame, rows_per_language: int, max_languages: int, id_column: str, text_column: str, label_column: str
 ) -> tuple[list[str], list[tuple[int, np.ndarray, np.ndarray]]]:
-    """Bucket counts of a bounded sample; texts stay with the executors.
+    """Subword counts of a bounded sample; texts stay with the executors.
 
     A language's share of rows is set from its count, by a hash of the id, so the sample is
     the same whenever it is drawn.
@@ -128,18 +141,18 @@ def labelled_sample(
         for batch in batches:
             which, values, counts = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                buckets = subwords(t.as_py())
-                if buckets is not None:
-                    value, n = np.unique(buckets, return_counts=True)
+                grams = subwords(t.as_py())
+                if grams is not None:
+                    value, n = np.unique(grams, return_counts=True)
                     which.append(i)
-                    values.append(value.astype(np.uint16).tobytes())
+                    values.append(value.astype(np.uint32).tobytes())
                     counts.append(n.astype(np.uint32).tobytes())
             arrays = [pa.array(which, pa.int32()), pa.array(values, pa.binary()), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["i", "buckets", "counts"])
+            yield pa.RecordBatch.from_arrays(arrays, ["i", "grams", "counts"])
 
-    rows = chosen.mapInArrow(count, "i int, buckets binary, counts binary").collect()
-    rows.sort(key=lambda r: (r["i"], bytes(r["buckets"]), bytes(r["counts"])))
-    return languages, [(r["i"], np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["counts"], np.uint32)) for r in rows]
+    rows = chosen.mapInArrow(count, "i int, grams binary, counts binary").collect()
+    rows.sort(key=lambda r: (r["i"], bytes(r["grams"]), bytes(r["counts"])))
+    return languages, [(r["i"], np.frombuffer(r["grams"], np.uint32), np.frombuffer(r["counts"], np.uint32)) for r in rows]
 
 
 def train(
@@ -148,11 +161,13 @@ def train(
     """Stochastic gradient descent, one text a step; every fifth row of the sample calibrates."""
     size, n = 1 << BUCKET_BITS, len(languages)
     if not rows:
-        return Model((), np.zeros((size, 1), np.float32), 1.0, 1.0)
+        return Model((), np.zeros((size, 1), np.float32), 1.0, 1.0, np.zeros(1 << (KNOWN_BITS - 3), np.uint8))
+    sample, rows = rows, [(i, *_bucket_counts(g, c)) for i, g, c in rows]
     random = np.random.default_rng(seed)
     order = random.permutation(len(rows))
-    kept = [rows[i] for i in order[::5]] if len(rows) >= 50 else [rows[i] for i in order]
-    learn = [rows[i] for j, i in enumerate(order) if j % 5] if len(rows) >= 50 else kept
+    first = order[::5] if len(rows) >= 50 else order
+    others = [i for j, i in enumerate(order) if j % 5] if len(rows) >= 50 else order
+    kept, learn = [rows[i] for i in first], [rows[i] for i in others]
     embed = np.zeros((size, DIMENSIONS), np.float32)
     seen = np.unique(np.concatenate([b for _, b, _ in learn]))
     embed[seen] = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (len(seen), DIMENSIONS))
@@ -175,12 +190,32 @@ def train(
     logits = np.stack([(c / c.sum()).astype(np.float32) @ table[b] for _, b, c in kept])
     truth = np.array([label for label, _, _ in kept])
     temperature = min(np.geomspace(0.05, 20, 60), key=lambda t: _loss(logits / t, truth))
-    known = np.zeros((size, 1), np.float32)
-    known[seen] = 1
-    shares = [float((c / c.sum()) @ known[b, 0]) for _, b, c in kept]
-    # Well below what the sample's own texts reach.
-    least = 0.75 * float(np.quantile(shares, wrong_rejects))
-    return Model(tuple(languages), np.hstack([table, known]), float(temperature), least)
+    bits, least = _known_subwords([sample[i] for i in others], [sample[i] for i in first], n, wrong_rejects)
+    return Model(tuple(languages), table, float(temperature), least, bits)
+
+
+def _bucket_counts(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted buckets and their counts, from sorted grams."""
+    buckets, begins = np.unique(bucket_of(grams), return_index=True)
+    return buckets, np.add.reduceat(counts, begins)
+
+
+def _known_subwords(
+    learn: list[tuple[int, np.ndarray, np.ndarray]], kept: list[tuple[int, np.ndarray, np.ndarray]], n: int, wrong_rejects: float
+) -> tuple[np.ndarray, float]:
+    """Bits of the known subwords, and the least share: each language's kept texts without their language should fail, with it pass."""
+    holders = np.zeros(1 << KNOWN_BITS, np.uint16)  # languages that have a subword
+    of_language = [np.unique(np.concatenate([g for i, g, _ in learn if i == label] or [np.empty(0, np.uint32)])) for label in range(n)]
+    for grams in of_language:
+        holders[grams] += 1
+    own = [known_share(holders[g] > 0, c) for _, g, c in kept]
+    # Well below what the sample's own texts reach, if there is nothing to compare them with.
+    least = float(np.quantile(own, wrong_rejects, method="lower"))
+    # The median, since a text may be mostly in another language than its label says.
+    foreign = [[known_share(holders[g] > np.isin(g, of_language[i]), c) for i, g, c in kept if i == label] for label in range(n)]
+    typical = max((float(np.median(x)) for x in foreign if x), default=0.0) if n > 1 else least / 2
+    least = (least + min(least, typical)) / 2
+    return np.packbits(holders > 0, bitorder="little"), least
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -205,8 +240,8 @@ def fit_languages(
 
 def predict_languages(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """``docs`` with a last column, a struct of lang_pred, score and rejected, named as ``prediction_column`` says."""
-    parts = (model.languages, model.table, model.temperature, model.least_known)
-    sent = docs.sparkSession.sparkContext.broadcast(parts)  # 128 KB per language, at most max_languages of them
+    parts = (model.languages, model.table, model.temperature, model.least_known, model.known)
+    sent = docs.sparkSession.sparkContext.broadcast(parts)  # 2 MB, and 128 KB per language, at most max_languages of them
     name = prediction_column(docs)
     at = docs.columns.index(text_column)
     result = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
