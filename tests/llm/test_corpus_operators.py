@@ -245,6 +245,13 @@ def test_pseudonyms_keep_format_links_and_can_be_undone(spark, docs):
     assert pseudonymised(docs, b"key").count() == docs.count()
 
 
+def test_numbers_with_neighbours_are_found(spark):
+    texts = ["4111 1111 1111 1111 12/27", "4111111111111111 123", "ES91 2100 0418 4502 0005 1332 FROM", "7536784127813050 4845168114407329", "123456 4111 1111 1111 1111"]
+    found = pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b"key")
+    cut = {r["doc_id"]: [texts[r["doc_id"]][f["start"] : f["start"] + f["length"]] for f in r["pii"]] for r in found.collect()}
+    assert cut == {0: ["4111 1111 1111 1111"], 1: ["4111111111111111"], 2: ["ES91 2100 0418 4502 0005 1332"], 3: ["7536784127813050", "4845168114407329"], 4: ["4111 1111 1111 1111"]}
+
+
 @pytest.fixture(scope="module")
 def vectors(spark, tmp_path_factory):
     rng = np.random.default_rng(2)

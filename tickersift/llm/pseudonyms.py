@@ -4,7 +4,8 @@ Numbers and dates that look personal are validated (check digits, octets, calend
 valid ones are permuted within their format: a card number becomes another valid card
 number with the same separators, a date another date. The permutation depends on the key
 and the kind alone, so equal values get equal pseudonyms in every document and different
-values stay different; with the key it can be undone. What does not validate is left
+values stay different; with the key it can be undone, but where a card or IBAN
+and a neighbour behind a blank happen to validate together afterwards. What does not validate is left
 as it is.
 
 | kind | checked | permuted |
@@ -200,21 +201,31 @@ PATTERNS = {
     "ip": r"(?<![0-9A-Za-z.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9A-Za-z]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?P<phone>\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){1,6})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z]|-[0-9])",
-    "card": r"(?<![0-9A-Za-z.,-])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![0-9A-Za-z]|[ -][0-9])",
+    "card": r"(?<![0-9A-Za-z.,-])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![0-9A-Za-z])",
 }
 
 
+def ends(kind: str, text: str, begin: int, end: int) -> list[int]:
+    """Ends of the candidates of a match, longest first. Blanks may join a card or an IBAN to a neighbour, so they may end behind any group."""
+    if kind not in ("card", "iban"):
+        return [end]
+    return [m.end() for m in re.compile("[^ -]+").finditer(text, begin, end)][::-1]
+
+
 def replaced(text: str, finder: re.Pattern, numbers: re.Pattern, names: Pseudonyms) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, length) of each in the original text."""
-    out, findings, at = [], [], 0
-    for match in (finder if "@" in text or _LEADS.search(text) else numbers).finditer(text):
+    out, findings, at, pos = [], [], 0, 0
+    pattern = finder if "@" in text or _LEADS.search(text) else numbers
+    while match := pattern.search(text, pos):
         kind = next(k for k in PATTERNS if k in match.re.groupindex and match[k] is not None)
-        new = names.of(kind, match[kind])
-        if new is not None:
-            begin, end = match.span(kind)
-            out += [text[at:begin], new]
-            findings.append((kind, begin, end - begin))
-            at = end
+        begin, pos = match.span(kind)
+        for end in ends(kind, text, begin, pos):
+            pos = end  # without a valid candidate, the search goes on behind the first group
+            if (new := names.of(kind, text[begin:end])) is not None:
+                out += [text[at:begin], new]
+                findings.append((kind, begin, end - begin))
+                at = end
+                break
     return "".join([*out, text[at:]]) if findings else text, findings
 
 
