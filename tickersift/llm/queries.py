@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickersift.functions.scratch import staged
+from tickersift.llm import quality
 from tickersift.llm.adaptive_search import approximate_top_k
 from tickersift.llm.language import fit_languages, held_out, predict_languages
+from tickersift.llm.lexical_search import ranked_documents
 from tickersift.llm.line_templates import drop_recurring_lines
 from tickersift.llm.mixing import mix_sources
 from tickersift.llm.packing import pack_documents
@@ -15,6 +18,7 @@ from tickersift.llm.pseudonyms import pseudonymised
 from tickersift.llm.repeats import repeated_bytes
 from tickersift.llm.sharding import shuffled_shards, text_bytes
 from tickersift.llm.simhash import near_duplicates
+from tickersift.llm.spelling import spelling_variants, vocabulary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +87,22 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = vocabulary(table(spark, sf_dir, "documents"), min_letters=6, min_count=5, every=199)
+    return spelling_variants(staged(words, "vocabulary"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
@@ -94,6 +114,9 @@ QUERIES = {
     "op8_pivot_search": op8_pivot_search,
     "op9_mix_sources": op9_mix_sources,
     "op10_pack": op10_pack,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_spelling": op12_spelling,
+    "op13_quality": op13_quality,
 }
 
 MIX_SQL = r"""
@@ -195,7 +218,39 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY rank <= 10
 """
 
+RANKED_SQL = r"""
+WITH numbered AS (
+  SELECT row_number() OVER () AS row_no, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), terms AS (
+  SELECT row_no, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM numbered
+), lengths AS (
+  SELECT row_no, doc_id, count(*) AS n FROM terms GROUP BY ALL
+), totals AS (
+  SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths
+), items AS (
+  SELECT item_id, translate(min(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL GROUP BY item_id
+), asked AS (
+  SELECT item_id, term, count(*) AS repeats
+  FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items) GROUP BY ALL
+), occurrences AS (
+  SELECT row_no, term, count(*) AS tf FROM terms WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM occurrences GROUP BY term), totals
+), impacts AS (
+  SELECT o.row_no, l.doc_id, o.term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))) AS impact
+  FROM occurrences o JOIN weights USING (term) JOIN lengths l USING (row_no), totals
+), scored AS (
+  SELECT item_id, row_no, doc_id, CAST(sum(repeats * impact) AS BIGINT) AS score
+  FROM asked JOIN impacts USING (term) GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
 SQL = {
+    "op11_lexical_search": RANKED_SQL,
     "op8_pivot_search": TOP_SQL,
     "op4_line_templates": LINES_SQL,
     "op9_mix_sources": MIX_SQL,
