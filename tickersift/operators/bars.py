@@ -12,9 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import DecimalType
 
 MONEY = "decimal(18,2)"
+PRICE = "decimal(18,4)"
 AVERAGES = (5, 10, 20, 30, 60)
 
 
@@ -23,31 +24,53 @@ def history() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("bar_date")
 
 
-def bars_from_trades(trades: DataFrame, session: Column, order: Sequence[str]) -> DataFrame:
-    """Open, high, low, close and volume per symbol and session.
+def own_scale(df: DataFrame, column: str) -> Column:
+    """A decimal column as it is, any other number with four decimals."""
+    return F.col(column) if isinstance(df.schema[column].dataType, DecimalType) else F.col(column).cast(PRICE)
+
+
+def bars_from_trades(trades: DataFrame, session: Column, order: Sequence[str], hashed: bool = False) -> DataFrame:
+    """Open, high, low, close and volume per symbol and session, in the scale of the prices.
 
-    ``trades`` has symbol, price, qty and the ``order`` columns, which together with
-    price and qty decide the first and the last trade of a session. Volumes are added up
-    as whole hundredths: exact, and cheaper than a wide decimal.
+    ``trades`` has symbol, price, qty and the ``order`` columns, time first, which together
+    with price and qty decide the first and the last trade of a session. Trades without a
+    symbol or a time are in no bar. Volumes that are not decimal are added up as whole
+    ten-thousandths: exact, and cheaper than a wide decimal.
+
+    By default the trades are read once; a least and a greatest row make Spark sort each
+    task's trades before they are reduced. With ``hashed`` they are read twice and never
+    sorted: numbers of fixed width are hashed to the span of time of each session, then
+    only the trades at both ends of a span meet it again, and ties among them are settled.
     """
+    exact = isinstance(trades.schema["qty"].dataType, DecimalType)
+    volume = F.sum("qty") if exact else F.sum(F.rint(F.col("qty") * 10_000).cast("bigint"))
+    totals = {"high": F.max("price"), "low": F.min("price"), "vol": volume}
+    dated = trades.where(F.col("symbol").isNotNull() & F.col(order[0]).isNotNull()).select("symbol", session.alias("bar_date"), *order, "price", "qty")
+    bars = _hashed(dated, order, totals) if hashed else _sorted(dated, order, totals)
+    bars = bars.select("symbol", "bar_date", F.col("_first.price").alias("open"), "high", "low", F.col("_last.price").alias("close"), "vol")
+    prices = {c: own_scale(bars, c) for c in ("open", "high", "low", "close")}
+    return bars.withColumns(prices | ({} if exact else {"vol": (F.col("vol").cast("decimal(20,0)") / 10_000).cast(PRICE)}))
+
+
+def _sorted(dated: DataFrame, order: Sequence[str], totals: dict[str, Column]) -> DataFrame:
     sequence = F.struct(*order, "price", "qty")
+    ends = (F.min(sequence).alias("_first"), F.max(sequence).alias("_last"))
+    return dated.groupBy("symbol", "bar_date").agg(*ends, *[v.alias(c) for c, v in totals.items()])
+
+
+def _hashed(dated: DataFrame, order: Sequence[str], totals: dict[str, Column]) -> DataFrame:
+    time, *ties = order
+    span = (F.min(time).alias("_begin"), F.max(time).alias("_end"))
+    spans = dated.groupBy("symbol", "bar_date").agg(*span, *[v.alias(c) for c, v in totals.items()])
+    ends = spans.withColumn(time, F.explode(F.array_distinct(F.array("_begin", "_end"))))
+    sequence = F.struct(*ties, "price", "qty")
     return (
-        trades.groupBy("symbol", session.alias("bar_date"))
+        dated.join(ends, ["symbol", "bar_date", time])
+        .groupBy("symbol", "bar_date")
         .agg(
-            F.min(sequence).alias("_first"),
-            F.max(sequence).alias("_last"),
-            F.max("price").alias("high"),
-            F.min("price").alias("low"),
-            F.sum(F.rint(F.col("qty") * 100).cast("bigint")).alias("_hundredths"),
-        )
-        .select(
-            "symbol",
-            "bar_date",
-            F.col("_first.price").cast(MONEY).alias("open"),
-            F.col("high").cast(MONEY).alias("high"),
-            F.col("low").cast(MONEY).alias("low"),
-            F.col("_last.price").cast(MONEY).alias("close"),
-            (F.col("_hundredths").cast("decimal(20,0)") / 100).cast(MONEY).alias("vol"),
+            F.min(F.when(F.col(time) == F.col("_begin"), sequence)).alias("_first"),
+            F.max(F.when(F.col(time) == F.col("_end"), sequence)).alias("_last"),
+            *[F.max(c).alias(c) for c in totals],
         )
     )
 
@@ -60,7 +83,7 @@ def resample(bars: DataFrame, period: str) -> DataFrame:
         F.max("high").alias("high"),
         F.min("low").alias("low"),
         F.max_by("close", F.col("bar_date")).alias("close"),
-        F.sum("vol").cast(MONEY).alias("vol"),
+        F.sum("vol").cast(bars.schema["vol"].dataType).alias("vol"),
     )
 
 

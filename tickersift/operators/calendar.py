@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, Window
@@ -56,3 +57,14 @@ def sessions_around(calendar: DataFrame, day: date, back: int) -> tuple[date, da
     if row is None:
         raise ValueError(f"no session up to {day}")
     return row["first"], row["bar_date"], row["last"]
+
+
+def sessions_near(calendar: DataFrame, day: date, offsets: Sequence[int]) -> dict[int, date]:
+    """The dates of the session ``day`` and of those at the given distances from it, as far as they exist: a handful of rows."""
+    own = calendar.where(F.col("bar_date") == F.lit(day)).select(F.col("sess").alias("own"))
+    # One row, or none if the day was no session.
+    found = calendar.join(F.broadcast(own.limit(1)), (F.col("sess") - F.col("own")).isin([0, *offsets])).select(F.col("sess") - F.col("own"), "bar_date")
+    dates = {int(k): d for k, d in found.collect()}
+    if 0 not in dates:
+        raise ValueError(f"{day} was no session")
+    return dates

@@ -2,11 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickersift.operators.bars import history
-from tickersift.operators.calendar import BACK, with_session
+from tickersift.operators.calendar import BACK, sessions_near, with_session
+
+# Sessions whose returns stand beside a quote: one and two before it, and the next.
+NEIGHBOURS = (-1, -2, 1)
+
+
+def offset_name(column: str, k: int) -> str:
+    return f"{column}_{'b' if k < 0 else 'n'}{abs(k)}"
+
+
+def neighbour_returns(bars: DataFrame, calendar: DataFrame, offsets: Sequence[int] = NEIGHBOURS, column: str = "pct_chg", name: str = "pct") -> DataFrame:
+    """Bars with a measure of the sessions around them: ``pct_b1`` is that of the session before, ``pct_n1`` of the next.
+
+    A frame of the one session at that distance finds the symbol's bar of it or none,
+    whatever sessions between are missing. All frames share one shuffle and one sort.
+    A bar whose date is no session of the calendar is left out.
+    """
+    by_session = Window.partitionBy("symbol").orderBy("sess")
+    found = {offset_name(name, k): F.first(column).over(by_session.rangeBetween(k, k)) for k in offsets}
+    return with_session(bars, calendar).withColumns(found)
+
+
+def listed_returns(
+    master: DataFrame, bars: DataFrame, calendar: DataFrame, day: date, columns: Sequence[str], offsets: Sequence[int] = NEIGHBOURS, column: str = "pct_chg", name: str = "pct"
+) -> DataFrame:
+    """Every instrument of ``master`` with its quote of one session and the returns of the sessions around it.
+
+    What an instrument lacks is NULL, also if it lacks the day itself. Only the sessions
+    named are read; one aggregate by symbol lays them side by side. ``day`` is a session.
+    """
+    near = sessions_near(calendar, day, offsets)
+    days = {k: near.get(k) for k in (0, *offsets)}
+    read = bars.where(F.col("bar_date").isin([d for d in days.values() if d is not None]))
+
+    def at(k: int, c: str) -> Column:
+        return F.max(F.when(F.col("bar_date") == F.lit(days[k]).cast("date"), F.col(c)))
+
+    own = {c: at(0, c) for c in columns}
+    around = {offset_name(name, k): at(k, column) for k in offsets}
+    wide = read.groupBy("symbol").agg(*[v.alias(c) for c, v in {**own, **around}.items()])
+    return master.join(wide, "symbol", "left").withColumn("bar_date", F.lit(day))
 
 
 def session_panel(bars: DataFrame, calendar: DataFrame, back: int = BACK) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -74,6 +75,18 @@ def small_cap(metrics: DataFrame, b: SmallCap = SmallCap()) -> DataFrame:
     ).orderBy(F.desc_nulls_last("total_mv"), "symbol", "bar_date")
 
 
+def latest_reports(downloads: DataFrame, version: str, key: Sequence[str] = ("symbol", "report_end")) -> DataFrame:
+    """One row per key of a table that repeats reports: the values of the newest version.
+
+    Columns are taken one by one, by the newest version: flat buffers, so that Spark hashes
+    instead of sorting, and copies meet before the shuffle. A version of a key has one set
+    of values; where it has several, each column has one of them.
+    """
+    values = [c for c in downloads.columns if c not in (*key, version)]
+    newest = downloads.where(F.col(version).isNotNull()).groupBy(*key).agg(*[F.max_by(F.col(c), F.col(version)).alias(c) for c in values])
+    return newest.select(*[c for c in downloads.columns if c != version])
+
+
 def fundamentals_join(indicators: DataFrame, quotes: DataFrame) -> DataFrame:
     """Every financial report with the newest snapshot of its stock."""
     return indicators.join(quotes, "symbol", "left")

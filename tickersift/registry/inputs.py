@@ -66,7 +66,7 @@ def weekly_bars(spark: SparkSession, sf_dir: str, start: date | None = None, end
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_from_trades(trades(spark, sf_dir), F.col("ts").cast("date"), TRADE_ORDER)
+    return bars_from_trades(trades(spark, sf_dir), F.col("ts").cast("date"), TRADE_ORDER, hashed=True)
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,8 @@ PANEL = f"""s AS (
 {_PAST}
       LEFT JOIN s n1 ON n1.symbol = s.symbol AND n1.sess = s.sess + 1)"""
 
+_SESSIONS = "s AS (SELECT q.*, sess FROM quoted q JOIN calendar USING (bar_date))"
+
 LATEST = f"""latest AS (
       SELECT symbol, name, area, industry, bar_date, open, high, low, close, {METRICS}
       FROM master LEFT JOIN (
@@ -288,6 +290,16 @@ SQL: dict[str, str] = {
       strftime(bar_date - INTERVAL 1 DAY, '%Y%m%d') AS day_before,
       strftime(bar_date + INTERVAL 1 DAY, '%Y%m%d') AS day_after FROM calendar""",
     "session_panel": f"{_with(BARS_W, CALENDAR, QUOTED, PANEL)}SELECT {_PANEL_COLUMNS} FROM panel",
+    "session_returns": f"""{_with(BARS_W, CALENDAR, MASTER, QUOTED, _SESSIONS)}SELECT s.symbol, s.bar_date, s.sess, {_d("s.close").replace("AS s.close", "AS close")},
+      s.pct_chg, b1.pct_chg AS pct_b1, b2.pct_chg AS pct_b2, n1.pct_chg AS pct_n1
+      FROM s LEFT JOIN s b1 ON b1.symbol = s.symbol AND b1.sess = s.sess - 1 LEFT JOIN s b2 ON b2.symbol = s.symbol AND b2.sess = s.sess - 2
+      LEFT JOIN s n1 ON n1.symbol = s.symbol AND n1.sess = s.sess + 1 WHERE s.{LISTED}""",
+    "session_returns_day": f"""{_with(BARS_W, CALENDAR, MASTER, QUOTED, _SESSIONS)}, t AS (SELECT sess FROM calendar WHERE bar_date = {_DAY})
+      SELECT m.*, {_DAY} AS bar_date, CAST(q.close AS DOUBLE) AS close, q.pe, q.pe_ttm, q.tor, q.pct_chg,
+        b1.pct_chg AS pct_b1, b2.pct_chg AS pct_b2, n1.pct_chg AS pct_n1
+      FROM master m CROSS JOIN t LEFT JOIN s q ON q.symbol = m.symbol AND q.sess = t.sess
+      LEFT JOIN s b1 ON b1.symbol = m.symbol AND b1.sess = t.sess - 1 LEFT JOIN s b2 ON b2.symbol = m.symbol AND b2.sess = t.sess - 2
+      LEFT JOIN s n1 ON n1.symbol = m.symbol AND n1.sess = t.sess + 1""",
     "ma_survivors": f"""{_with(BARS_W, MASTER, _SCALED)}SELECT * FROM ({_LATEST_MA}) WHERE symbol IN (
       SELECT symbol FROM bars WHERE bar_date = {_DAY} AND CAST(close AS DOUBLE) / {EPS} BETWEEN 10 AND 60)""",
     "rank_by_next_return": f"""{_with(BARS_W, CALENDAR, MASTER, QUOTED, PANEL)}SELECT symbol, bar_date, {_d("close")}, pct_n1,
@@ -324,6 +336,9 @@ SQL: dict[str, str] = {
     "fundamentals_join": f"""{_with(BARS_W, MASTER, LATEST, INDICATORS)}
       SELECT symbol, report_end, eps, capital_rese_ps, {_QUOTE} FROM indicators LEFT JOIN latest USING (symbol)
       WHERE report_end BETWEEN DATE '1995-03-31' AND DATE '2001-12-31'""",
+    "fundamentals_latest": f"""{_with(BARS_W, MASTER, LATEST, INDICATORS)}
+      SELECT symbol, report_end, eps, capital_rese_ps, {_QUOTE} FROM indicators LEFT JOIN latest USING (symbol)
+      WHERE report_end BETWEEN DATE '1995-03-31' AND DATE '2001-12-31'""",
     "forecast_enrich": f"""{_with(BARS_W, MASTER, LATEST)}
       SELECT e.user_id AS symbol, CAST(ts AS DATE) AS ann_date, last_day(CAST(ts AS DATE)) AS end_date,
         event_type AS type, value - 50 AS p_change_min, value + 50 AS p_change_max, {_QUOTE}
@@ -333,6 +348,9 @@ SQL: dict[str, str] = {
     "ledger_union": f"""{_with(LEDGER)}SELECT CASE WHEN sheet_year < 1998 THEN 'early' ELSE 'late' END AS sheet,
       trade_date, nullif(security, '') AS security, business, amount, fee, CASE WHEN sheet_year < 1998 THEN transfer_fee END AS transfer_fee,
       contract_no FROM ledger""",
+    "ledger_sheets": f"""{_with(LEDGER)}SELECT CAST(sheet_year AS VARCHAR) AS sheet,
+      trade_date, nullif(security, '') AS security, business, amount, fee, CASE WHEN sheet_year < 1995 THEN transfer_fee END AS transfer_fee,
+      contract_no FROM ledger""",
     "ledger_clean": f"""{_with(LEDGER)}SELECT CAST(NULL AS VARCHAR) AS currency, security, trade_date,
       CAST(NULL AS VARCHAR) AS price, CAST(NULL AS DOUBLE) AS quantity, {_d("amount")},
       CAST(NULL AS VARCHAR) AS cash_balance, CAST(NULL AS VARCHAR) AS remaining_quantity, contract_no, business,
@@ -371,7 +389,11 @@ SQL: dict[str, str] = {
       regexp_replace(url, '[?#].*$', '') || '?offset=' || CAST(o AS VARCHAR) AS page_url
       FROM pages, unnest(range(0, 100, 10)) AS r(o)""",
     "pages_decode": f"SELECT page_id, {_gbk('html')} AS html FROM pages",
+    "page_files_gbk": f"""SELECT page_id, {_gbk("regexp_replace(html, '[\\r\\n]', ' ', 'g')")}
+      || CASE WHEN page_id % 3 = 0 THEN chr(65533) ELSE '' END AS html FROM pages""",
     "sink_roundtrip": f"{_with(BARS_W)}SELECT symbol, bar_date, {_OHLC}, {_d('vol')} FROM bars",
+    "sink_dated_export": f"""{_with(BARS_W)}SELECT symbol, bar_date, {_d("close", "vol")}, bar_date AS report_date
+      FROM bars WHERE bar_date IN ({_DAY}, CAST({_DAY} + INTERVAL 7 DAY AS DATE), CAST({_DAY} + INTERVAL 14 DAY AS DATE))""",
     "sink_csv_gbk": f"{_with(RECORDS)}SELECT page_id, {', '.join(f'{_gbk(n)} AS {n}' for n in RECORD_FIELDS)} FROM records",
     "film_records": f"""SELECT CAST(page_id AS VARCHAR) AS "Index", {_gbk(f"({TITLE_WORD})")} AS "Name",
       regexp_extract(html, '<html lang="([^"]*)"', 1) AS "Actor", CAST(page_id % 30 + 1990 AS VARCHAR) AS "Time",
@@ -379,4 +401,6 @@ SQL: dict[str, str] = {
       FROM pages WHERE regexp_matches(html, '<title>[^ <]')""",
     "sink_text_by_title": f"""SELECT {TITLE_WORD} AS title, unnest(string_split({BODY}, chr(10))) AS line FROM pages""",
 }
+# The same records, whichever way their pages were found.
+SQL["paged_listing"] = SQL["film_records"]
 SQL = {name: dedent(text).strip() for name, text in SQL.items()}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ from tickersift.operators.bars import (
 from tickersift.operators.calendar import session_offsets, trading_calendar
 from tickersift.operators.ledger import cash_flow, clean_ledger, cleared_profit, profit_list, ranked_profit
 from tickersift.operators.pages import FILM_FIELDS, follow_links, page_first_match, page_index, page_links, page_records
-from tickersift.operators.panel import session_panel
+from tickersift.operators.panel import NEIGHBOURS, listed_returns, neighbour_returns, offset_name, session_panel
 from tickersift.operators.ranking import ranked
 from tickersift.plans import screens as s
 from tickersift.plans.crawl import Site, by_url, chapter_texts, film_listing
@@ -36,14 +36,24 @@ from tickersift.plans.fundamentals import (
     forecast_enrich,
     fundamentals_join,
     high_transfer,
+    latest_reports,
     small_cap,
     snapshot_enrich,
 )
 from tickersift.registry import inputs
-from tickersift.sinks.tables import read_csv, read_text_by_title, write_by_date, write_csv, write_text_by_title
-from tickersift.sources.ledgers import read_sheets
+from tickersift.sinks.tables import (
+    CSV_FORM,
+    export_day,
+    read_csv,
+    read_text_by_title,
+    write_by_date,
+    write_csv,
+    write_page_files,
+    write_text_by_title,
+)
+from tickersift.sources.ledgers import read_sheet_folder, read_sheets
 from tickersift.sources.market import between_dates, first_symbols, listed_instruments, read_table, snapshot
-from tickersift.sources.pages import decode_pages, paged_urls
+from tickersift.sources.pages import decode_pages, packed_page_files, paged_urls
 from tickersift.sources.schemas import LEDGER_COLUMNS, conform
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,6 +190,23 @@ def panel_columns(spark: SparkSession, sf: str) -> DataFrame:
     return plain(full_panel(spark, sf).select(*today, *wide, "pct_b1", "pct_b2", "pct_n1"))
 
 
+RETURNS = [offset_name("pct", k) for k in NEIGHBOURS]
+
+
+def session_returns(spark: SparkSession, sf: str) -> DataFrame:
+    """Every bar of a listed stock with the changes of the sessions around it, for all sessions at once."""
+    bars = percent_change(staged(inputs.listed(inputs.weekly_bars(spark, sf), spark, sf), "bars"))
+    found = neighbour_returns(bars, inputs.calendar(spark, sf))
+    return plain(found.select("symbol", "bar_date", "sess", "close", "pct_chg", *RETURNS))
+
+
+def session_returns_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Every listed stock on one day, whether it traded or not, with the changes of the sessions around."""
+    bars = inputs.quoted_bars(spark, sf)
+    columns = ("close", "pe", "pe_ttm", "tor", "pct_chg")
+    return plain(listed_returns(inputs.master(spark, sf), bars, staged(inputs.calendar(spark, sf), "calendar"), SNAPSHOT_DAY, columns))
+
+
 def survivors(name: str, spark: SparkSession, sf: str) -> DataFrame:
     screen = s.DAILY[name]
     panel = full_panel(spark, sf, screen.averages).join(inputs.master(spark, sf), "symbol")
@@ -273,6 +300,16 @@ def fundamentals_joined(spark: SparkSession, sf: str) -> DataFrame:
     return plain(fundamentals_join(reports, quotes))
 
 
+def fundamentals_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """The report join over a table that was downloaded three times, first with other values."""
+    reports = between_dates(inputs.indicators(spark, sf), REPORTS_START, REPORTS_END, "report_end")
+    passes = F.explode(F.array(*map(F.lit, (1, 2, 2)))).alias("pass")
+    stale = F.when(F.col("pass") == 1, F.col("eps") - 1).otherwise(F.col("eps"))
+    repeated = reports.select("*", passes).withColumn("eps", stale)
+    quotes = latest_quotes(spark, sf).select("symbol", "name", "industry", "area", "bar_date", "close", "pe", "pe_ttm")
+    return plain(fundamentals_join(latest_reports(repeated, "pass"), quotes))
+
+
 def forecast_enriched(spark: SparkSession, sf: str) -> DataFrame:
     rows = between_dates(inputs.forecasts(spark, sf), FORECASTS_START, FORECASTS_END, "ann_date")
     quotes = latest_quotes(spark, sf).select("symbol", "name", "industry", "area", "bar_date", "close", "pe", "pe_ttm")
@@ -293,6 +330,16 @@ def ledger_union(spark: SparkSession, sf: str) -> DataFrame:
     return conform(sheets, ("sheet", "trade_date", "security", "business", "amount", "fee", "transfer_fee", "contract_no"))
 
 
+def ledger_sheets(spark: SparkSession, sf: str) -> DataFrame:
+    """A sheet for each year, in two layouts below one folder, read back in one scan per layout."""
+    raw = inputs.raw_ledger(spark, sf)
+    path = scratch_path(spark, "sheets")
+    kept = ("contract_no", "fee", "amount", "business", "security", "trade_date")
+    for name, rows in (("early", raw.where("sheet < '1995'")), ("late", raw.where("sheet >= '1995'").select("sheet", *kept))):
+        rows.repartition("sheet").write.options(**CSV_FORM).partitionBy("sheet").csv(f"{path}/{name}")
+    return conform(read_sheet_folder(spark, path), ("sheet", "trade_date", "security", "business", "amount", "fee", "transfer_fee", "contract_no"))
+
+
 def clean(spark: SparkSession, sf: str) -> DataFrame:
     return clean_ledger(inputs.raw_ledger(spark, sf), inputs.NOT_TRADES)
 
@@ -364,6 +411,30 @@ def pages_decode(spark: SparkSession, sf: str) -> DataFrame:
     return decode_pages(raw)
 
 
+def page_files_gbk(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages stored as one GBK file each, every third with bytes that are no GBK, and read back."""
+    flat = F.regexp_replace("html", r"[\r\n]", " ")
+    broken = F.when(F.col("page_id") % 3 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    raw = pages(spark, sf).select("page_id", F.concat(encode_text(spark, flat), broken).alias("content"))
+    path = scratch_path(spark, "page-files")
+    write_page_files(raw, path)
+    read = packed_page_files(spark, path, glob="*.csv")
+    return read.select(F.regexp_extract("url", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"), "html")
+
+
+def paged_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten-part listings end to end: addresses by offset, the stored pages they name, their records as GBK text."""
+    number = F.col("page_id")
+    base = F.concat(F.lit("https://films.example/board/"), F.floor(number / 10).cast("string"))
+    stored = inputs.ranked_listings(spark, sf).select(
+        F.concat(base, F.lit("?offset="), (number % 10 * 10).cast("string")).alias("page_url"), "page_id", "html"
+    )
+    starts = pages(spark, sf).select(base.alias("url")).distinct()
+    path = scratch_path(spark, "films")
+    film_listing(paged_urls(starts).join(stored, "page_url"), path)
+    return read_csv(spark, path, ", ".join(f"{c} string" for c in FILM_FIELDS), "GBK")
+
+
 # --- sinks -----------------------------------------------------------------------------
 
 
@@ -374,6 +445,19 @@ def sink_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return plain(spark.read.schema(bars.schema).parquet(path))
 
 
+def sink_dated_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of three days, one of them run again after a first run with other prices, read back."""
+    path = scratch_path(spark, "reports")
+    bars = staged(inputs.weekly_bars(spark, sf), "bars")
+    report = bars.select("symbol", "bar_date", "close", "vol")
+    days = [SNAPSHOT_DAY + timedelta(days=7 * k) for k in range(3)]
+    export_day(snapshot(report, days[1]).withColumn("close", (F.col("close") + 1).cast(report.schema["close"].dataType)), path, days[1])
+    for day in days:
+        export_day(snapshot(report, day), path, day)
+    schema = T.StructType([*report.schema.fields, T.StructField("report_date", T.DateType())])
+    return plain(spark.read.schema(schema).parquet(path))
+
+
 def sink_csv_gbk(spark: SparkSession, sf: str) -> DataFrame:
     """Listing records appended as GBK text in two runs, then read back."""
     found = records(spark, sf)
@@ -415,6 +499,8 @@ QUERIES: dict[str, Query] = {
     "latest3_weekly": latest3_weekly,
     "calendar_sessions": calendar_sessions,
     "session_panel": panel_columns,
+    "session_returns": session_returns,
+    "session_returns_day": session_returns_day,
     "ma_survivors": ma_survivors,
     "rank_by_next_return": rank_by_next_return,
     "screen_steady_turnover": screen_query("steady_turnover"),
@@ -432,8 +518,10 @@ QUERIES: dict[str, Query] = {
     "screen_small_cap": screen_small_cap,
     "snapshot_enrich": snapshot_enriched,
     "fundamentals_join": fundamentals_joined,
+    "fundamentals_latest": fundamentals_latest,
     "forecast_enrich": forecast_enriched,
     "ledger_union": ledger_union,
+    "ledger_sheets": ledger_sheets,
     "ledger_clean": ledger_clean,
     "ledger_profit": ledger_profit,
     "ledger_cashflow": ledger_cashflow,
@@ -446,7 +534,10 @@ QUERIES: dict[str, Query] = {
     "page_chapters": chapters,
     "page_offsets": page_offsets,
     "pages_decode": pages_decode,
+    "page_files_gbk": page_files_gbk,
+    "paged_listing": paged_listing,
     "sink_roundtrip": sink_roundtrip,
+    "sink_dated_export": sink_dated_export,
     "sink_csv_gbk": sink_csv_gbk,
     "film_records": film_records,
     "sink_text_by_title": sink_text_by_title,

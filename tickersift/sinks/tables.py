@@ -25,6 +25,18 @@ def write_by_date(df: DataFrame, path: str, on: str = "bar_date", fmt: str = "pa
     df.hint("rebalance", F.col(on)).write.mode("overwrite").partitionBy(on).format(fmt).save(path)
 
 
+def export_day(df: DataFrame, path: str, day: date, on: str = "report_date", fmt: str = "parquet") -> None:
+    """Put one day's report into a table partitioned by day, in place of what it had for that day.
+
+    Running a day again replaces that day only: the rows carry the day as a constant, and
+    only partitions that are written are overwritten. A day without rows leaves the table
+    as it is.
+    """
+    dated_rows = df.withColumn(on, F.lit(day))
+    writer = dated_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(on)
+    writer.format(fmt).save(path)
+
+
 # Quotes inside a value are doubled, as spreadsheets and other CSV writers do, and
 # blanks around a value are part of it.
 CSV_FORM = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -56,6 +68,19 @@ def read_csv(
     return spark.read.schema(schema).options(**CSV_FORM, encoding=encoding, multiLine=line_breaks).csv(path)
 
 
+def write_page_files(df: DataFrame, path: str, name: str = "page_id", content: str = "content") -> None:
+    """One file per page, of exactly the bytes of ``content`` and a line feed, in a folder named by ``name``.
+
+    Bytes travel as the characters of the same number, so any charset, and bytes that are
+    no text at all, come through. A page is one line: line breaks in it must be gone.
+    """
+    line = F.decode(F.col(content), "ISO-8859-1")
+    once = F.when(line.rlike(r"[\r\n]"), F.raise_error(F.lit("a page has line breaks"))).otherwise(line)
+    rows = df.select(F.col(name), once.alias("line"))
+    plain = {"encoding": "ISO-8859-1", "quote": "", "sep": "\x01", "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.mode("overwrite").options(**plain).partitionBy(name).csv(path)
+
+
 def write_text_by_title(df: DataFrame, path: str, title: str = "title", text: str = "text") -> None:
     """One folder of text files per title. Meant for a moderate number of titles."""
     rows = df.select(F.col(title).alias("title"), F.col(text).alias("value"))

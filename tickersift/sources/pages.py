@@ -14,6 +14,18 @@ def read_page_files(spark: SparkSession, path: str, charset: str = "GBK") -> Dat
     return decode_pages(files.select(F.col("path").alias("url"), "content"), charset)
 
 
+def packed_page_files(spark: SparkSession, path: str, charset: str = "GBK", glob: str = "*") -> DataFrame:
+    """Page files below a folder, in the charset they were stored in.
+
+    Page files are small and many: the reader puts files of ``spark.sql.files.maxPartitionBytes``
+    in all into one task, each counted with ``openCostInBytes``. Broken bytes become U+FFFD
+    and never fail the job; a file's last line feed is not part of the page.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    pages = decode_pages(reader.load(path).select(F.col("path").alias("url"), "content"), charset)
+    return pages.withColumn("html", F.regexp_replace("html", r"\n\z", ""))
+
+
 def decode_pages(pages: DataFrame, charset: str = "GBK") -> DataFrame:
     """Turn the ``content`` bytes of each page into ``html`` text."""
     html = decode_bytes(pages.sparkSession, F.col("content"), charset)
