@@ -14,7 +14,7 @@ out are weighed up again, so scores keep the labels' share.
 
 Defined results: NULL and empty texts are scored as a text without words; a document that is
 labelled more than once has its largest label; NULL labels and ids are not learned from, and
-a NULL id is not held out; without a labelled row every score is 0.5; repeated rows get
+a NULL id is not held out; a label above 0 counts as 1; without a labelled row every score is 0.5; repeated rows get
 equal scores; an empty table gives an empty result; other columns are not read.
 """
 
@@ -263,17 +263,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows_per_class: int = 10_000
     """Learn from ``labels`` (id and a label of 0 or 1) of documents that are not held out; only features reach the driver."""
     doc_id = F.col(id_column)
     known = labels.where(doc_id.isNotNull() & F.col(label_column).isNotNull() & ~held_out(doc_id))
-    known = known.groupBy(doc_id.alias("id")).agg(F.max(F.col(label_column).cast("int")).alias("label"))
+    known = known.groupBy(doc_id.alias("id")).agg(F.max((F.col(label_column) > 0).cast("int")).alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # one row a label
     if not counts:
         return train(np.zeros((0, len(FEATURES))), np.zeros(0), np.zeros(0))
     share = {c: min(1.0, rows_per_class / n) for c, n in counts.items()}
-    # The same hash thins labels and documents, so few rows meet in the join.
+    # The same hash thins labels and documents.
     place = lambda c: F.pmod(F.xxhash64(F.lit(23), F.col(c).cast("string")), F.lit(1 << 20)) / float(1 << 20)
     pairs = [F.lit(x) for c, s in share.items() for x in (c, s)]
     chosen = known.where(place("id") < F.create_map(*pairs)[F.col("label")])
     texts = docs.where(place(id_column) < max(share.values())).select(doc_id.alias("id"), F.col(text_column).alias("text"))
-    joined = texts.join(chosen, "id").select("label", "text")
+    # Distinct ids, about rows_per_class for each of two labels at any size of the tables: below 1 MB.
+    joined = texts.join(F.broadcast(chosen), "id").select("label", "text")
     schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
