@@ -31,54 +31,44 @@ KNOWN_LENGTH = 48
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class WordIds:
+class WordIds(dict):
     """Ids of whole texts, word by word; words between ASCII white space are tokenised independently.
 
     ``encode`` gives the ids as little-endian unsigned 32-bit numbers. A word of letters
     with punctuation behind it is two words for the tokeniser; both parts are looked up.
+    As a mapping it is the ids of words met before, and makes those of a new one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
 
     def _fresh(self, word: str) -> bytes:
         return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _keep(self, word: str, ids: bytes) -> bytes:
-        if len(self.known) < KNOWN_WORDS and len(word) <= KNOWN_LENGTH:
-            self.known[word] = ids
+        if len(self) < KNOWN_WORDS and len(word) <= KNOWN_LENGTH:
+            self[word] = ids
         return ids
 
-    def word(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
         body = word.rstrip(PUNCTUATION)
         if len(body) < len(word) and body.lower().isalpha():  # letters in lower case too, as one with a dot above is not
-            tail = word[len(body) :]
-            return self._part(body) + self._part(tail)
-        return self._part(word)
+            return self._keep(word, self._part(body) + self._part(word[len(body) :]))
+        return self._keep(word, self._part(word))
 
     def _part(self, part: str) -> bytes:
         key = part.lower() if part.isascii() and part.isalpha() else part
-        ids = self.known.get(key)
+        ids = self.get(key)
         return self._keep(key, self._fresh(key)) if ids is None else ids
 
     def encode(self, text: str) -> bytes:
         if text.isascii() and "<|" not in text:  # a special token's case counts
             text = text.lower()
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known, out = self.known, []
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                if not w:
-                    continue
-                ids = self.word(w)
-                if len(w) <= KNOWN_LENGTH and len(known) < KNOWN_WORDS:
-                    known[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.__getitem__, words))
 
 
 def token_pieces(
