@@ -336,13 +336,13 @@ def _single_runs(carriers: DataFrame, length: int) -> DataFrame:
 
 
 def _cut(carriers: DataFrame, length: int) -> DataFrame:
-    """Rows (k1, k2, n_removed, n_spans, kept, spans) of the texts that lose something."""
-    schema = "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:long,end:long>>"
+    """Rows (k1, k2, n_removed, n_spans, kept_sha256, spans, kept) of the texts that lose something."""
+    schema = "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:long,end:long>>, kept string"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            removed, counts, digests, spans = [], [], [], []
+            removed, counts, digests, spans, texts = [], [], [], [], []
             for text, found in zip(batch.column(2), batch.column(3), strict=True):
                 data, own = text.as_py().encode("utf-8", "surrogatepass"), []
                 for r in sorted((r["begin"], r["end"] + length - 1) for r in found.as_py()):
@@ -350,23 +350,24 @@ def _cut(carriers: DataFrame, length: int) -> DataFrame:
                         own[-1][1] = max(own[-1][1], r[1])
                     else:
                         own.append(list(r))
-                digest, at = hashlib.sha256(), 0
-                for begin, end in own:
-                    digest.update(data[at:begin])
-                    at = end
-                digest.update(data[at:])
+                ends = [0, *(x for span in own for x in span), len(data)]
+                kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
+                texts.append(kept.decode("utf-8", "replace"))
                 removed.append(sum(e - b for b, e in own))
                 counts.append(len(own))
-                digests.append(digest.hexdigest())
+                digests.append(hashlib.sha256(kept).hexdigest())
                 spans.append([{"begin": b, "end": e} for b, e in own])
             columns = [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, span_type)]
-            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     return carriers.mapInArrow(work, schema)
 
 
 def repeated_bytes(docs: DataFrame, length: int = 400, hot_marks: int = 20_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and spans (begin, end) of removed bytes."""
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (begin, end) of removed bytes, and text, what is left.
+
+    Bytes are removed, so a character may lose some of its own; in ``text`` the rest of it is U+FFFD.
+    """
     text = F.col(text_column)
     keyed = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
     long = keyed.where(F.octet_length("text") >= length)
@@ -385,15 +386,13 @@ def repeated_bytes(docs: DataFrame, length: int = 400, hot_marks: int = 20_000,
     found = found.unionByName(_bucket_runs(carriers, length, max(1, -(-weight // BUCKET_BYTES)))).unionByName(_single_runs(carriers, length))
     per_text = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
     cut = _cut(carriers.select("k1", "k2", "text").join(per_text, ["k1", "k2"]), length)
-    light = keyed.select(
-        "id", "k1", "k2", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("all_sha256")
-    )
     zero = F.lit(0).cast("bigint")
-    return light.join(cut, ["k1", "k2"], "left").select(
+    return keyed.join(cut, ["k1", "k2"], "left").select(
         "id",
-        "n_bytes",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
         F.coalesce("n_removed", zero).alias("n_removed"),
         F.coalesce("n_spans", zero).alias("n_spans"),
-        F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256"),
+        F.coalesce("kept_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)).alias("kept_sha256"),
         F.coalesce("spans", F.array().cast("array<struct<begin:long,end:long>>")).alias("spans"),
+        F.coalesce("kept", "text").alias("text"),
     )
