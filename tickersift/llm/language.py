@@ -19,6 +19,7 @@ repeated rows get equal predictions; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickersift.functions.scratch import staged
+
 UNKNOWN = "und"
 BUCKET_BITS = 15
 KNOWN_BITS = 24
@@ -117,66 +120,102 @@ def held_out(doc_id: Column) -> Column:
 
 def labelled_sample(
     docs: DataFrame, rows_per_language: int, max_languages: int, id_column: str, text_column: str, label_column: str
-) -> tuple[list[str], list[tuple[int, np.ndarray, np.ndarray]]]:
-    """Subword counts of a bounded sample; texts stay with the executors.
+) -> tuple[list[str], DataFrame | None]:
+    """Languages, and the subwords of a bounded sample as a stored table: (i, row, learns, calibrates, grams, counts, buckets, times).
 
     A language's share of rows is set from its count, by a hash of the id, so the sample is
-    the same whenever it is drawn.
+    the same whenever it is drawn. Texts and subwords stay with the executors.
     """
     label, doc_id, text = F.col(label_column), F.col(id_column), F.col(text_column)
     usable = docs.where(label.isNotNull() & doc_id.isNotNull() & text.isNotNull() & ~held_out(doc_id))
     most = usable.groupBy(label.alias("label")).count().orderBy(F.desc("count"), "label").limit(max_languages).collect()
     languages = sorted(r["label"] for r in most)
     if not languages:
-        return [], []
+        return [], None
     share = {r["label"]: min(1.0, rows_per_language / r["count"]) for r in most}
     pairs = [x for lang in languages for x in (F.lit(lang), F.struct(F.lit(languages.index(lang)).alias("i"), F.lit(share[lang]).alias("share")))]
     place = F.pmod(F.xxhash64(F.lit(17), doc_id), F.lit(1 << 20)) / float(1 << 20)
-    chosen = usable.select(F.create_map(*pairs)[label].alias("l"), text.alias("text"), place.alias("place"))
-    chosen = chosen.where(F.col("place") < F.col("l.share")).select(F.col("l.i").alias("i"), "text")
-    # The shares bound the sample on average; the limit bounds it in any case.
-    chosen = chosen.limit(2 * rows_per_language * len(languages))
+    chosen = usable.select(F.create_map(*pairs)[label].alias("l"), text.alias("text"), place.alias("place"), F.xxhash64(F.lit(29), doc_id).alias("hash"))
+    chosen = chosen.where(F.col("place") < F.col("l.share")).select(F.col("l.i").alias("i"), F.col("hash"), F.monotonically_increasing_id().alias("row"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["i", "hash", "row", "grams", "counts", "buckets", "times"]
         for batch in batches:
-            which, values, counts = [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                grams = subwords(t.as_py())
-                if grams is not None:
+            kept, columns = [], [[], [], [], []]
+            for at, text in enumerate(batch.column(3)):
+                grams = subwords(text.as_py())
+                if grams is not None and len(grams):
                     value, n = np.unique(grams, return_counts=True)
-                    which.append(i)
-                    values.append(value.astype(np.uint32).tobytes())
-                    counts.append(n.astype(np.uint32).tobytes())
-            arrays = [pa.array(which, pa.int32()), pa.array(values, pa.binary()), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["i", "grams", "counts"])
-
-    rows = chosen.mapInArrow(count, "i int, grams binary, counts binary").collect()
-    rows.sort(key=lambda r: (r["i"], bytes(r["grams"]), bytes(r["counts"])))
-    return languages, [(r["i"], np.frombuffer(r["grams"], np.uint32), np.frombuffer(r["counts"], np.uint32)) for r in rows]
+                    buckets, begins = np.unique(bucket_of(value), return_index=True)
+                    kept.append(at)
+                    for column, found in zip(columns, (value.astype(np.int32), n.astype(np.int32), buckets.astype("<u2").tobytes(), np.add.reduceat(n, begins).astype("<u4").tobytes()), strict=True):
+                        column.append(found)
+            which = pa.array(kept, pa.int64())
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+            arrays = [batch.column(c).take(which) for c in range(3)] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    sample = staged(chosen.mapInArrow(count, "i int, hash long, row long, grams array<int>, counts array<int>, buckets binary, times binary"), "language-sample")
+    sizes = {r["i"]: r["count"] for r in sample.groupBy("i").count().collect()}  # one row a language
+    if any(n > 2 * rows_per_language for n in sizes.values()):
+        # The shares bound the sample unless an id has very many rows; then rows are thinned.
+        limits = F.create_map(*[x for i, n in sizes.items() for x in (F.lit(i), F.lit(rows_per_language / n))])
+        sample = sample.where(F.pmod(F.xxhash64(F.lit(31), "row"), F.lit(1 << 20)) / float(1 << 20) < limits[F.col("i")])
+    fifth = F.pmod("hash", F.lit(5)) == 0
+    few = F.lit(sum(sizes.values()) < 50)
+    return languages, sample.select("i", "row", (few | ~fifth).alias("learns"), (few | fifth).alias("calibrates"), "grams", "counts", "buckets", "times")
+
+
+def known_subwords(sample: DataFrame, languages: int, wrong_rejects: float) -> tuple[np.ndarray, float]:
+    """Bits of the known subwords, and the least share: each language's kept texts without their language should fail, with it pass.
+
+    Subwords are joined and summed in the executors; the bits, 2 MB, and two shares for
+    each kept text of the sample reach the driver.
+    """
+    held = sample.where("learns").select("i", F.explode("grams").alias("gram")).distinct()
+    holders = staged(held.groupBy("gram").agg(F.count("*").alias("n"), F.min("i").alias("owner")), "known-subwords")
+    words = holders.groupBy(F.shiftright("gram", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("gram").bitwiseAND(63))).alias("bits"))
+    words = words.toArrow()
+    bits = np.zeros(1 << (KNOWN_BITS - 6), np.int64)
+    bits[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    kept = sample.where("calibrates").select("i", "row", F.explode(F.arrays_zip("grams", "counts")).alias("g"))
+    met = kept.select("i", "row", F.col("g.grams").alias("gram"), F.col("g.counts").alias("count")).join(holders, "gram", "left")
+    known, others = F.col("n").isNotNull(), (F.col("n") > 1) | (F.col("owner") != F.col("i"))
+    share = lambda c: ((F.sum(F.when(c, F.col("count")).otherwise(0)) + GIVEN) / (F.sum("count") + GIVEN)).cast("double")
+    rows = met.groupBy("i", "row").agg(share(known).alias("own"), share(others).alias("foreign")).toArrow().to_pydict()
+    own, foreign, label = (np.array(rows[c]) for c in ("own", "foreign", "i"))
+    # Well below what the sample's own texts reach, if there is nothing to compare them with.
+    least = float(np.quantile(own, wrong_rejects, method="lower"))
+    # The median, since a text may be mostly in another language than its label says.
+    typical = max(float(np.median(foreign[label == i])) for i in np.unique(label)) if languages > 1 else least / 2
+    return bits.view(np.uint8), (least + min(least, typical)) / 2
 
 
-def train(
-    languages: list[str], rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 1.0, wrong_rejects: float = 0.001, seed: int = 1
-) -> Model:
-    """Stochastic gradient descent, one text a step; every fifth row of the sample calibrates."""
+def train(languages: list[str], sample: DataFrame | None, epochs: int = 6, rate: float = 1.0, wrong_rejects: float = 0.001, seed: int = 1) -> Model:
+    """Stochastic gradient descent, one text a step; a fifth of the sample calibrates. Only bucket counts are collected."""
     size, n = 1 << BUCKET_BITS, len(languages)
-    if not rows:
+    table = sample.select("i", "learns", "calibrates", "buckets", "times").toArrow() if languages else None
+    if not table or not table.num_rows:
         return Model((), np.zeros((size, 1), np.float32), 1.0, 1.0, np.zeros(1 << (KNOWN_BITS - 3), np.uint8))
-    sample, rows = rows, [(i, *_bucket_counts(g, c)) for i, g, c in rows]
+    columns = [table.column(c).to_pylist() for c in ("i", "learns", "calibrates")]
+    buckets, times = (table.column(c).to_pylist() for c in ("buckets", "times"))
+    # In an order that does not depend on how the sample was read.
+    order = sorted(range(len(buckets)), key=lambda j: (columns[0][j], zlib.crc32(buckets[j]), zlib.crc32(times[j])))
+    rows = [(columns[0][j], np.frombuffer(buckets[j], "<u2"), np.frombuffer(times[j], "<u4")) for j in order]
+    learn = [r for j, r in zip(order, rows, strict=True) if columns[1][j]] or rows
+    kept = [r for j, r in zip(order, rows, strict=True) if columns[2][j]] or rows
     random = np.random.default_rng(seed)
-    order = random.permutation(len(rows))
-    first = order[::5] if len(rows) >= 50 else order
-    others = [i for j, i in enumerate(order) if j % 5] if len(rows) >= 50 else order
-    kept, learn = [rows[i] for i in first], [rows[i] for i in others]
     embed = np.zeros((size, DIMENSIONS), np.float32)
-    seen = np.unique(np.concatenate([b for _, b, _ in learn]))
-    embed[seen] = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (len(seen), DIMENSIONS))
+    met = np.zeros(size, bool)
+    for _, b, _ in learn:
+        met[b] = True
+    embed[met] = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (int(met.sum()), DIMENSIONS))
     weight, steps, step = np.zeros((DIMENSIONS, n), np.float32), epochs * len(learn), 0
     for _ in range(epochs):
         for i in random.permutation(len(learn)):
-            label, buckets, counts = learn[i]
+            label, own, counts = learn[i]
             share = (counts / counts.sum()).astype(np.float32)
-            mean = share @ embed[buckets]
+            mean = share @ embed[own]
             logits = mean @ weight
             error = np.exp(logits - logits.max())
             error /= error.sum()
@@ -184,40 +223,16 @@ def train(
             now = rate * (1 - step / steps)
             back = weight @ error
             weight -= now * np.outer(mean, error)
-            embed[buckets] -= now * len(buckets) ** 0.5 * share[:, None] * back
+            embed[own] -= now * len(own) ** 0.5 * share[:, None] * back
             step += 1
     table = embed @ weight
     logits = np.stack([(c / c.sum()).astype(np.float32) @ table[b] for _, b, c in kept])
     truth = np.array([label for label, _, _ in kept])
     temperature = min(np.geomspace(0.05, 20, 60), key=lambda t: _loss(logits / t, truth))
-    bits, least = _known_subwords([sample[i] for i in others], [sample[i] for i in first], n, wrong_rejects)
+    bits, least = known_subwords(sample, n, wrong_rejects)
     return Model(tuple(languages), table, float(temperature), least, bits)
 
 
-def _bucket_counts(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted buckets and their counts, from sorted grams."""
-    buckets, begins = np.unique(bucket_of(grams), return_index=True)
-    return buckets, np.add.reduceat(counts, begins)
-
-
-def _known_subwords(
-    learn: list[tuple[int, np.ndarray, np.ndarray]], kept: list[tuple[int, np.ndarray, np.ndarray]], n: int, wrong_rejects: float
-) -> tuple[np.ndarray, float]:
-    """Bits of the known subwords, and the least share: each language's kept texts without their language should fail, with it pass."""
-    holders = np.zeros(1 << KNOWN_BITS, np.uint16)  # languages that have a subword
-    of_language = [np.unique(np.concatenate([g for i, g, _ in learn if i == label] or [np.empty(0, np.uint32)])) for label in range(n)]
-    for grams in of_language:
-        holders[grams] += 1
-    own = [known_share(holders[g] > 0, c) for _, g, c in kept]
-    # Well below what the sample's own texts reach, if there is nothing to compare them with.
-    least = float(np.quantile(own, wrong_rejects, method="lower"))
-    # The median, since a text may be mostly in another language than its label says.
-    foreign = [[known_share(holders[g] > np.isin(g, of_language[i]), c) for i, g, c in kept if i == label] for label in range(n)]
-    typical = max((float(np.median(x)) for x in foreign if x), default=0.0) if n > 1 else least / 2
-    least = (least + min(least, typical)) / 2
-    return np.packbits(holders > 0, bitorder="little"), least
-
-
 def _softmax(logits: np.ndarray) -> np.ndarray:
     e = np.exp(logits - logits.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
