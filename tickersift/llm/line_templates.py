@@ -29,35 +29,59 @@ FIELD = "<*>"
 KEY = ("k1", "k2")
 
 
-def line_tokens(line: Column, words: float = 0.0) -> Column:
-    """Tokens between ASCII white space; those with a digit are variable fields if at least the share ``words`` has none."""
-    tokens = F.filter(F.split(line, SPACES), lambda t: t != "")
-    masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
-    plain = F.filter(masked, lambda t: t != FIELD)
-    enough = line.rlike("[0-9]") if not words else line.rlike("[0-9]") & (F.size(plain) >= words * F.size(tokens))
-    return F.when(enough, masked).otherwise(tokens)
+def evenly_spaced(text: Column) -> Column:
+    """The text with one blank between the tokens of a line and none around them.
+
+    Most texts are so already, which plain searches for the exceptions find out.
+    """
+    blanks = r"[\x20\x09\x0B-\x0D]"
+    odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for exception in ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains(text, F.lit(exception))
+    trimmed = F.regexp_replace(text, f"(?dm)^{blanks}+|{blanks}+$", "")
+    return F.when(odd, F.regexp_replace(trimmed, rf"\x20{blanks}+|[\x09\x0B-\x0D]{blanks}*", " ")).otherwise(text)
+
+
+def line_template(line: Column, words: float) -> Column:
+    """The line with tokens that have a digit as fields, unless less than the share ``words`` of its tokens have none.
+
+    String functions on lines stay within generated code, as functions on arrays of tokens do not.
+    """
+    # Only at the start of a token, so each is looked at once.
+    masked = F.regexp_replace(line, r"(?<![^ ])[^0-9 ]*+[0-9][^ ]*+", FIELD)
+    digits = line.rlike("[0-9]")
+    if not words:
+        return F.when(digits, masked).otherwise(line)
+    fields = F.regexp_count(masked, F.lit(r"(?<![^ ])<\*>(?![^ ])"))
+    return F.when(digits & (token_count(line) - fields >= words * token_count(line)), masked).otherwise(line)
+
+
+def token_count(template: Column) -> Column:
+    blanks = F.length(template) - F.length(F.replace(template, F.lit(" "), F.lit("")))
+    return F.when(template == "", 0).otherwise(blanks + 1)
 
 
 def document_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(text, doc_id, F.lit(1)).alias("k2")]
 
 
+def _templates(docs: DataFrame, words: float) -> DataFrame:
+    """One row per line that is not blank, with its template."""
+    rows = docs.select(*KEY, "id", F.posexplode(F.split(evenly_spaced(F.col("text")), "\n")).alias("no", "line")).where(F.col("line") != "")
+    return rows.select(*KEY, "id", "no", line_template(F.col("line"), words).alias("template")).withColumn("n", token_count(F.col("template")))
+
+
+def _leaf(depth: int) -> Column:
+    return F.xxhash64("n", F.substring_index("template", " ", depth)).alias("leaf")
+
+
+def _template_key() -> list[Column]:
+    return [F.xxhash64("template").alias("t1"), F.xxhash64(F.lit(1), "template").alias("t2")]
+
+
 def _lines(docs: DataFrame, depth: int, words: float) -> DataFrame:
     """One row per line that is not blank, with the hashes of its leaf and of its template."""
-    exploded = docs.select(*KEY, "id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    tokens = exploded.select(*KEY, "id", "no", line_tokens(F.col("line"), words).alias("tokens"))
-    n = F.size("tokens")
-    template = F.array_join("tokens", " ")
-    return tokens.where(n > 0).select(
-        *KEY,
-        "id",
-        "no",
-        n.alias("n"),
-        F.xxhash64(n, F.slice("tokens", 1, depth)).alias("leaf"),
-        F.xxhash64(template).alias("t1"),
-        F.xxhash64(F.lit(1), template).alias("t2"),
-        "tokens",
-    )
+    return _templates(docs, words).select(*KEY, "id", "no", "n", _leaf(depth), *_template_key())
 
 
 def _generalised(lines: DataFrame, docs: DataFrame, depth: int, enough: Column, constant: float, several: bool, words: float) -> DataFrame:
@@ -71,8 +95,10 @@ def _generalised(lines: DataFrame, docs: DataFrame, depth: int, enough: Column,
     templates = lines.where(F.col("n") > depth).groupBy("leaf", "n", "t1", "t2").agg(F.count("*").alias("lines"))
     leaves = templates.groupBy("leaf", "n").agg(F.sum("lines").alias("all"), F.count("*").alias("kinds"))
     leaves = staged(leaves.where((F.col("kinds") > 1) & (F.col("all") >= enough)).drop("n"), "leaves")
-    members = _lines(docs, depth, words).where(F.col("n") > depth).join(leaves, "leaf")
-    kinds = staged(members.groupBy("leaf", "all", "t1", "t2", "n").agg(F.first("tokens").alias("tokens"), F.count("*").alias("lines")), "leaf-lines")
+    # Texts are read again, since few templates are of such a leaf; only theirs are split into tokens, one of each kind.
+    members = _templates(docs, words).select("template", "n", _leaf(depth)).join(leaves, "leaf")
+    kinds = members.groupBy("leaf", "all", "n", "template").agg(F.count("*").alias("lines"))
+    kinds = staged(kinds.select("leaf", "all", *_template_key(), "n", F.split("template", " ").alias("tokens"), "lines"), "leaf-lines")
     places = kinds.select("leaf", "all", "t1", "t2", "n", "lines", F.posexplode("tokens").alias("at", "token"))
     fixed = places.where(F.col("token") != FIELD).groupBy("leaf", "all", "n", "at", "token").agg(F.sum("lines").alias("lines"))
     fixed = fixed.where(2 * F.col("lines") > F.col("all")).select("leaf", "n", "at", "token")
@@ -114,7 +140,7 @@ def drop_recurring_lines(
     """
     doc_id, text = F.col(id_column), F.col(text_column)
     narrow = docs.select(doc_id.alias("id"), text.alias("text"), *document_key(doc_id, text))
-    lines = staged(_lines(narrow, depth, words).drop("tokens"), "lines")
+    lines = staged(_lines(narrow, depth, words), "lines")
     leaf_lines = F.when(F.col("n") >= long_tokens, min_docs if leaf_lines_long is None else leaf_lines_long).otherwise(min_docs)
     general = staged(_generalised(lines, narrow, depth, leaf_lines, constant, several, words), "general-templates")
     placed = lines.join(general, ["t1", "t2"], "left").select(

@@ -51,7 +51,7 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), words=0.7)
     return cleaned.select("row.doc_id", "n_lines", "n_dropped", "text")
 
 
@@ -158,11 +158,13 @@ WITH documents_once AS (
 ), exploded AS (
   SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no, unnest(string_split(text, chr(10))) AS line
   FROM documents_once WHERE text IS NOT NULL
+), split AS (
+  SELECT doc_id, text, no, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda t: t <> '') AS plain FROM exploded
+), masked AS (
+  SELECT *, list_transform(plain, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS fields FROM split
 ), tokenised AS (
-  SELECT doc_id, text, no,
-         list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
-                        lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
-  FROM exploded
+  SELECT doc_id, text, no, CASE WHEN len(list_filter(fields, lambda t: t <> '<*>')) >= 0.7e0 * len(plain) THEN fields ELSE plain END AS tokens
+  FROM masked
 ), lines AS (
   SELECT doc_id, text, no, len(tokens) AS n, tokens, list_slice(tokens, 1, 3) AS lead, array_to_string(tokens, ' ') AS template
   FROM tokenised WHERE len(tokens) > 0
