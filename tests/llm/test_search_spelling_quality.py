@@ -183,3 +183,13 @@ def test_tables_find_an_interaction():
     fresh = rng.random((2000, 3))
     truth = (fresh[:, 0] > 0.5) ^ (fresh[:, 2] > 0.3)
     assert ((model.scores(fresh) >= 0.5) == truth).mean() > 0.9
+
+
+def test_queries_get_all_their_neighbours_whatever_the_first_limit(spark, monkeypatch):
+    from tickersift.llm import adaptive_search
+
+    monkeypatch.setattr(adaptive_search.Index, "first_limits", lambda self, lifted, k: np.zeros(len(lifted), np.float32))
+    rng = np.random.default_rng(3)
+    table = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    found = adaptive_search.approximate_top_k(table, F.col("vec_id") % 20 == 0, 7, list_rows=30).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in found} == {i: 7 for i in range(0, 300, 20)}

@@ -273,17 +273,6 @@ def approximate_top_k(
 
     queries = kept.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = staged(queries.mapInArrow(probe, "vec_id long, v array<double>, group int, lists array<int>, limit float"), "probes")
-    # One row per group, so at most max_lists.
-    chunks = index.groupBy("group").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
-    askers = asked.groupBy("group").agg(F.ceil(F.count("*") / part_queries).cast("int").alias("parts"))
-    plan = staged(chunks.join(askers, "group"), "group-plan")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    place = F.xxhash64(F.monotonically_increasing_id())
-    left = index.withColumn("place", place).join(F.broadcast(plan), "group")
-    left = left.select("group", F.pmod("place", "chunks").cast("int").alias("chunk"), every("parts").alias("part"), "vec_id", "v", "list")
-    right = asked.withColumn("place", place).join(F.broadcast(plan), "group")
-    right = right.select("group", every("chunks").alias("chunk"), F.pmod("place", "parts").cast("int").alias("part"), "vec_id", "v", "lists", "limit")
-
     def search(table: pa.Table, asked: pa.Table) -> pa.Table:
         index, out = Index(*sent.value), []
         if table.num_rows and asked.num_rows:
@@ -304,6 +293,26 @@ def approximate_top_k(
         columns = [np.concatenate([o[c] for o in out]) if out else np.empty(0, kinds[c]) for c in range(3)]
         return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
 
-    key = ("group", "chunk", "part")
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
-    return best(found, k)
+    def nearest_rows(asked: DataFrame) -> DataFrame:
+        # One row per group, so at most max_lists.
+        chunks = index.groupBy("group").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
+        askers = asked.groupBy("group").agg(F.ceil(F.count("*") / part_queries).cast("int").alias("parts"))
+        plan = staged(chunks.join(askers, "group"), "group-plan")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        place = F.xxhash64(F.monotonically_increasing_id())
+        left = index.withColumn("place", place).join(F.broadcast(plan), "group")
+        left = left.select("group", F.pmod("place", "chunks").cast("int").alias("chunk"), every("parts").alias("part"), "vec_id", "v", "list")
+        right = asked.withColumn("place", place).join(F.broadcast(plan), "group")
+        right = right.select("group", every("chunks").alias("chunk"), F.pmod("place", "parts").cast("int").alias("part"), "vec_id", "v", "lists", "limit")
+        key = ("group", "chunk", "part")
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
+        return best(found, k)
+
+    found = staged(nearest_rows(asked), "nearest")
+    # A first limit may leave a query without k rows, if its lists lack the rows of the sample that set it.
+    whole = found.groupBy(F.col("query_id").alias("vec_id")).count().where(F.col("count") >= k).select("vec_id")
+    short = staged(asked.join(whole, "vec_id", "left_anti").withColumn("limit", F.lit(float("inf")).cast("float")), "short-queries")
+    if not short.limit(1).count():
+        return found
+    rest = short.select(F.col("vec_id").alias("query_id")).distinct()
+    return found.join(rest, "query_id", "left_anti").unionByName(nearest_rows(short))
