@@ -25,26 +25,26 @@ def by_next_return(rows: DataFrame) -> DataFrame:
 
 
 def daily_screens(
-    bars: DataFrame, calendar: DataFrame, master: DataFrame, day: date, since: date, bounds: Mapping[str, object]
+    bars: DataFrame, calendar: DataFrame, master: DataFrame, day: date, since: date, bounds: Mapping[str, object], stored: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """Screens of :data:`DAILY` for the newest session up to ``day``, ready to show.
 
     See :func:`day_reports` for the arguments.
     """
-    return {name: by_next_return(rows) for name, rows in day_reports(bars, calendar, master, day, since, bounds).items()}
+    return {name: by_next_return(rows) for name, rows in day_reports(bars, calendar, master, day, since, bounds, stored).items()}
 
 
 def daily_findings(
-    bars: DataFrame, calendar: DataFrame, master: DataFrame, day: date, since: date, bounds: Mapping[str, object]
+    bars: DataFrame, calendar: DataFrame, master: DataFrame, day: date, since: date, bounds: Mapping[str, object], stored: DataFrame | None = None
 ) -> DataFrame:
     """The same screens as one table: ``screen``, the report columns and each row's ``rank`` in its screen from 1."""
-    found = day_reports(bars, calendar, master, day, since, bounds)
+    found = day_reports(bars, calendar, master, day, since, bounds, stored)
     rows = reduce(DataFrame.unionByName, [df.withColumn("screen", F.lit(name)) for name, df in found.items()])
     return ranked(rows, [F.desc_nulls_last("pct_n1"), F.asc("symbol")], by="screen")
 
 
 def day_reports(
-    bars: DataFrame, calendar: DataFrame, master: DataFrame, day: date, since: date, bounds: Mapping[str, object]
+    bars: DataFrame, calendar: DataFrame, master: DataFrame, day: date, since: date, bounds: Mapping[str, object], stored: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """The reports of some screens for the newest session up to ``day``, in no order.
 
@@ -54,6 +54,8 @@ def day_reports(
     themselves are bounded: one panel, made of seven sessions around the day, serves all
     screens. Only for the symbols that meet the row conditions of some screen is the
     history from ``since`` on read, once, and cut to the bars that the averages need.
+    With ``stored`` averages (see :func:`~tickersift.operators.stored.stored_averages`) no
+    history is read at all: besides the seven sessions of ``bars``, one date of that table.
     """
     first, t, last = sessions_around(calendar, day, BACK)
     panel = session_panel(between_dates(bars, first, last), calendar).where(F.col("bar_date") == F.lit(t))
@@ -64,10 +66,11 @@ def day_reports(
     if tested:
         lengths = sorted({n for name in tested for n in DAILY[name].averages})
         symbols = reduce(DataFrame.union, [found[name].select("symbol") for name in tested])
-        past = only_survivors(between_dates(bars, since, t), symbols)
-        averages = latest_averages(past, lengths).select(
-            "symbol", "scaled_close", "scaled_low", *[f"ma{n}_sum" for n in lengths]
-        )
+        if stored is None:
+            averages = latest_averages(only_survivors(between_dates(bars, since, t), symbols), lengths)
+        else:
+            averages = between_dates(stored, t, t)
+        averages = averages.select("symbol", "scaled_close", "scaled_low", *[f"ma{n}_sum" for n in lengths])
         averages = staged(averages, "day-averages") if len(tested) > 1 else averages
         for name in tested:
             rows = keep(averages, *DAILY[name].average_conditions()).join(found[name], "symbol")

@@ -6,8 +6,10 @@ A screen can look at every (symbol, session) of the panel at once, or at one day
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -223,13 +225,27 @@ DAILY: dict[str, Screen] = {
 }
 
 
-def report(survivors: DataFrame) -> DataFrame:
-    """The common report columns of a screen.
+def all_survivors(panel: DataFrame, bounds: Mapping[str, object]) -> DataFrame:
+    """The survivors of several screens in one pass: a panel row once for each ``screen`` that it comes through.
+
+    ``bounds`` maps names of :data:`DAILY` to their bounds, or to None for the fixed ones;
+    the panel carries the averages of all of them.
+    """
+    met = []
+    for name, b in bounds.items():
+        screen = DAILY[name]
+        conditions = [*screen.row_conditions(b or screen.bounds()), *screen.average_conditions()]
+        met.append(F.when(reduce(and_, conditions), F.lit(name)))
+    return panel.withColumn("screen", F.explode(F.array_compact(F.array(*met))))
+
+
+def report(survivors: DataFrame, *more: str) -> DataFrame:
+    """The common report columns of a screen, behind ``more`` of its columns.
 
     The close adjusted as of a bar's own date is that bar's close, since the newest
     factor then is its own.
     """
-    return survivors.withColumn("close_adj", F.col("close")).select(*REPORT)
+    return survivors.withColumn("close_adj", F.col("close")).select(*more, *REPORT)
 
 
 def weekly_rising(weekly: DataFrame) -> DataFrame:

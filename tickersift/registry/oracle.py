@@ -257,6 +257,11 @@ _PANEL_COLUMNS = f"""symbol, bar_date, sess, {_d("open", "high", "low", "close",
 
 _QUOTE = f"name, industry, area, bar_date, {_d('close')}, pe, pe_ttm"
 
+DAILY_SCREENS = _with(BARS_W, CALENDAR, MASTER, QUOTED, PANEL) + " UNION ALL ".join(
+    f"SELECT '{name}' AS screen, {_REPORT}, row_number() OVER (ORDER BY pct_n1 DESC NULLS LAST, symbol) AS rank FROM panel JOIN master USING (symbol) WHERE bar_date = {_DAY} AND {where}"
+    for name, where in SCREENS.items()
+)
+
 SQL: dict[str, str] = {
     "scan_master": f"""{_with(MASTER)}SELECT symbol, name, area, industry FROM master
       JOIN supplier ON s_suppkey = symbol WHERE NOT (s_acctbal < 0)""",
@@ -312,11 +317,10 @@ SQL: dict[str, str] = {
     "screen_doji": _screen(SCREENS["doji"]),
     "screen_cross_all_ma": _screen(SCREENS["cross_all_averages"]),
     "screen_turnover_surge": _screen(SCREENS["turnover_surge"]),
-    "daily_screens": _with(BARS_W, CALENDAR, MASTER, QUOTED, PANEL)
-    + " UNION ALL ".join(
-        f"SELECT '{name}' AS screen, {_REPORT}, row_number() OVER (ORDER BY pct_n1 DESC NULLS LAST, symbol) AS rank FROM panel JOIN master USING (symbol) WHERE bar_date = {_DAY} AND {where}"
-        for name, where in SCREENS.items()
-    ),
+    "daily_screens": DAILY_SCREENS,
+    "daily_screens_stored": DAILY_SCREENS,
+    "screens_by_symbol": _with(BARS_W, CALENDAR, MASTER, QUOTED, PANEL)
+    + " UNION ALL ".join(f"SELECT '{name}' AS screen, {_REPORT} FROM panel JOIN master USING (symbol) WHERE {where}" for name, where in SCREENS.items()),
     "screen_weekly_rising": f"{_with(BARS_W, MASTER, _weekly_rising())}SELECT symbol, bar_date, {_OHLC} FROM rising WHERE {LISTED}",
     "screen_weekly_rising_qfq": _with(BARS_D, MASTER, _adjusted("days"), _resampled("adjusted", "week", "bars"), _weekly_rising())
     + f"SELECT symbol, bar_date, {_OHLC} FROM rising WHERE {LISTED}",

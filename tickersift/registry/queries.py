@@ -27,6 +27,7 @@ from tickersift.operators.ledger import cash_flow, clean_ledger, cleared_profit,
 from tickersift.operators.pages import FILM_FIELDS, follow_links, page_first_match, page_index, page_links, page_records
 from tickersift.operators.panel import NEIGHBOURS, listed_returns, neighbour_returns, offset_name, session_panel
 from tickersift.operators.ranking import ranked
+from tickersift.operators.stored import append_averages, bars_by_symbol, start_averages, stored_averages
 from tickersift.plans import screens as s
 from tickersift.plans.crawl import Site, by_url, chapter_texts, film_listing
 from tickersift.plans.daily import daily_findings
@@ -234,16 +235,39 @@ def rank_by_next_return(spark: SparkSession, sf: str) -> DataFrame:
     return plain(ranked(rows, order, by="bar_date").withColumn("rank", F.col("rank") - 1))
 
 
-def daily_job(spark: SparkSession, sf: str) -> DataFrame:
-    """All seven screens for one day over bars stored by date, as one ranked list of findings."""
+def bars_by_date(spark: SparkSession, sf: str) -> DataFrame:
     quoted = inputs.with_factor(inputs.quoted_bars(spark, sf))
     path = scratch_path(spark, "bars")
     write_by_date(quoted, path)
-    bars = spark.read.schema(quoted.schema).parquet(path)
+    return spark.read.schema(quoted.schema).parquet(path)
+
+
+def daily_job(spark: SparkSession, sf: str) -> DataFrame:
+    """All seven screens for one day over bars stored by date, as one ranked list of findings."""
+    bars = bars_by_date(spark, sf)
     sessions = staged(trading_calendar(bars), "calendar")
     return plain(daily_findings(bars, sessions, inputs.master(spark, sf), SNAPSHOT_DAY, HISTORY_START, BOUNDS))
 
 
+def daily_job_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from averages that are kept by date: those up to a week before, then that week's added to them."""
+    bars = bars_by_date(spark, sf)
+    path = scratch_path(spark, "averages")
+    start_averages(bars, path, SNAPSHOT_DAY - timedelta(days=7))
+    append_averages(bars, path, SNAPSHOT_DAY)
+    sessions = staged(trading_calendar(bars), "calendar")
+    found = daily_findings(bars, sessions, inputs.master(spark, sf), SNAPSHOT_DAY, HISTORY_START, BOUNDS, stored_averages(spark, path))
+    return plain(found)
+
+
+def screens_by_symbol(spark: SparkSession, sf: str) -> DataFrame:
+    """All seven screens over all sessions in one pass over one bar table stored by symbol."""
+    bars = bars_by_symbol(inputs.weekly_bars(spark, sf), scratch_path(spark, "bars-by-symbol"))
+    quoted = inputs.with_factor(inputs.with_metrics(percent_change(bars)))
+    panel = session_panel(moving_averages(quoted), trading_calendar(bars)).join(inputs.master(spark, sf), "symbol")
+    return plain(s.report(s.all_survivors(panel, BOUNDS), "screen"))
+
+
 # --- weekly and fundamental screens ----------------------------------------------------
 
 
@@ -511,6 +535,8 @@ QUERIES: dict[str, Query] = {
     "screen_cross_all_ma": screen_query("cross_all_averages"),
     "screen_turnover_surge": screen_query("turnover_surge"),
     "daily_screens": daily_job,
+    "daily_screens_stored": daily_job_stored,
+    "screens_by_symbol": screens_by_symbol,
     "screen_weekly_rising": screen_weekly_rising,
     "screen_weekly_rising_qfq": screen_weekly_rising_qfq,
     "screen_weekly_rising_now": screen_weekly_rising_now,
