@@ -255,10 +255,14 @@ def candidate_pairs(nodes: DataFrame, radius: int, every: bool) -> DataFrame:
     return sent.groupBy(part.alias("part")).applyInArrow(meet, "a long, b long").distinct()
 
 
-def text_shingles(text: str | None, words: int) -> set[bytes]:
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles as sorted XXH64 values: a very long text takes eight bytes a shingle, not an object each."""
+    import xxhash
+
     split = text_words(text)
     span = max(1, min(words, len(split)))
-    return {b" ".join(split[i : i + span]) for i in range(len(split) - span + 1)}
+    shingles = (b" ".join(split[i : i + span]) for i in range(len(split) - span + 1))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -268,8 +272,8 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = text_shingles(x.as_py(), words), text_shingles(y.as_py(), words)
-                common = len(x & y)
+                x, y = shingle_hashes(x.as_py(), words), shingle_hashes(y.as_py(), words)
+                common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common >= similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -291,10 +295,12 @@ def verified_near_duplicates(
         import xxhash
 
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
-            fp = np.array([text_fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-            node = np.array([xxhash.xxh64_intdigest(b" ".join(text_words(t)), 7) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(fp, pa.int64())], ["id", "node", "fp"])
+            found = np.empty((2, batch.num_rows), np.uint64)
+            for row, value in enumerate(batch.column(1)):  # one text at a time, so that no batch is held twice
+                text = value.as_py()
+                found[:, row] = xxhash.xxh64_intdigest(b" ".join(text_words(text)), 7), text_fingerprint(text, words)
+            node, fp = (pa.array(x.view(np.int64), pa.int64()) for x in found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), node, fp], ["id", "node", "fp"])
 
     id_type = docs.schema[id_column].dataType.simpleString()
     narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
