@@ -1,5 +1,6 @@
 """Corpus operators against brute force on small tables with every awkward row."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickersift.llm import repeats, simhash
+from tickersift.llm import pseudonyms, queries, repeats, simhash
 from tickersift.llm.adaptive_search import approximate_top_k
 from tickersift.llm.components import connected_components
 from tickersift.llm.language import fit_languages, predict_languages, subwords
@@ -21,7 +22,7 @@ from tickersift.llm.pivot_search import exact_top_k
 from tickersift.llm.pseudonyms import pseudonymised
 from tickersift.llm.repeats import repeated_bytes
 from tickersift.llm.sharding import shuffled_shards, write_shards
-from tickersift.llm.simhash import near_duplicates, text_fingerprint
+from tickersift.llm.simhash import near_duplicates, near_links, text_fingerprint
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, prediction int, size int"
 
@@ -156,8 +157,46 @@ def test_shards_hold_every_row_once(docs, tmp_path):
     slots = Counter((r["shard"], r["slot"]) for r in sharded.collect())
     n = docs.count()
     assert slots == Counter((i % 8, i // 8) for i in range(n))
-    write_shards(shuffled_shards(docs.drop("row"), 3, seed=1), str(tmp_path / "shards"))
-    assert docs.sparkSession.read.parquet(str(tmp_path / "shards")).count() == n
+    clashing = docs.select("*", F.lit("own").alias("Slot"), F.lit("own").alias("shard"))
+    written = tmp_path / "clashing"
+    clashing.write.parquet(str(written))
+    write_shards(shuffled_shards(docs.sparkSession.read.parquet(str(written)), 3, seed=1), str(tmp_path / "shards"))
+    back = docs.sparkSession.read.parquet(str(tmp_path / "shards"))
+    assert {(r["Slot"], r["shard"]) for r in back.collect()} == {("own", "own")}
+    assert Counter((r["shard_"], r["slot_"]) for r in back.collect()) == Counter((i % 3, i // 3) for i in range(n))
+
+
+def test_registered_shards_equal_brute_force(spark, docs, rows, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op3_shards(spark, str(tmp_path)).collect()
+    sized = lambda t: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == Counter((r[0], *sized(r[1])) for r in rows)
+    assert {(r["law"], r["grown_shard"]) for r in found} == {("rows", None)}
+    assert Counter((r["shard"], r["slot"]) for r in found) == Counter((i % 8, i // 8) for i in range(len(rows)))
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3, 5])
+def test_links_of_any_radius_connect_what_brute_force_connects(spark, radius):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    fps = {0, 31, *base}
+    for x in base * 8:
+        fps.add(x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 7))))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    links = near_links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), radius).collect()
+    want = [(x, y) for x in fps for y in fps if x < y and (x ^ y).bit_count() <= radius]
+    assert all(((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= radius for r in links)
+    assert grouped(fps, want) == grouped(fps, [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in links])
+
+
+def grouped(nodes, links):
+    group = {x: {x} for x in nodes}
+    for x, y in links:
+        if group[x] is not group[y]:
+            group[x] |= group[y]
+            for z in group[y]:
+                group[z] = group[x]
+    return {frozenset(g) for g in group.values()}
 
 
 def test_lines_recur_only_after_the_first(docs, rows):
@@ -243,6 +282,39 @@ def test_pseudonyms_keep_format_links_and_can_be_undone(spark, docs):
     back = pseudonymised(hidden.drop("pii"), b"key", undo=True)
     assert [r["text"] for r in back.orderBy("doc_id").collect()] == texts
     assert pseudonymised(docs, b"key").count() == docs.count()
+    clashing = table.withColumn("PII", F.lit("own"))
+    assert pseudonymised(clashing, b"key").columns == ["doc_id", "text", "PII", "pii_"]
+    repeated = pseudonymised(table.union(table), b"key").collect()
+    assert Counter(r["text"] for r in repeated) == Counter([r["text"] for r in rows.values()] * 2)
+
+
+def test_one_value_has_one_pseudonym_in_every_spelling_and_place():
+    names, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", undo=True)
+    finder = re.compile("|".join(pseudonyms.PATTERNS.values()))
+    hide = lambda text: pseudonyms.replaced(text, finder, finder, names)[0]
+    show = lambda text: pseudonyms.replaced(text, finder, finder, back)[0]
+    digits = lambda text: re.sub("[^0-9]", "", text)
+    rng = random.Random(8)
+    for _ in range(2000):
+        payload = "".join(rng.choices("0123456789", k=15))
+        card = payload + str(pseudonyms.luhn_digit(payload))
+        spaced = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+        new, three = digits(hide(card)), "".join(rng.choices("0123456789", k=3))
+        for text in (card, spaced, f"{card} {three}", f"{spaced} {three}", f"{three} {spaced}", spaced.replace(" ", "-")):
+            assert new in digits(hide(text)) and len(hide(text)) == len(text), text
+            assert show(hide(text)) == text
+        phone = "".join(rng.choices("0123456789", k=8))
+        for code in ("44", "1", "353"):
+            spelled = [f"+{code}20{phone}", f"+{code} 20 {phone[:4]} {phone[4:]}", f"+{code}-20-{phone}", f"+{code} (20) {phone}"]
+            assert len({digits(hide(s)) for s in spelled}) == 1 and all(hide(s).startswith("+" + code) for s in spelled)
+            assert [show(hide(s)) for s in spelled] == spelled
+        day = datetime.date.fromordinal(rng.randrange(datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()))
+        new = datetime.date.fromisoformat(hide(f"{day}"))
+        spelled = {f"{day:%d.%m.%Y}": f"{new:%d.%m.%Y}"} | ({f"{day:%m/%d/%Y}": f"{new:%m/%d/%Y}"} if day.day > 12 else {})
+        assert {s: hide(s) for s in spelled} == spelled and all(show(hide(s)) == s for s in spelled)
+        for letters in ("0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefABCDEF", "0123456789"):
+            secret = "token=" + "".join(rng.choices(letters, k=rng.randint(12, 40)))
+            assert show(hide(secret)) == secret != hide(secret)
 
 
 def test_numbers_with_neighbours_are_found(spark):

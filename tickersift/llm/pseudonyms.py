@@ -3,25 +3,26 @@
 Numbers and dates that look personal are validated (check digits, octets, calendar), and
 valid ones are permuted within their format: a card number becomes another valid card
 number with the same separators, a date another date. The permutation depends on the key
-and the kind alone, so equal values get equal pseudonyms in every document and different
-values stay different; with the key it can be undone, but where a card or IBAN
-and a neighbour behind a blank happen to validate together afterwards. What does not validate is left
-as it is.
+and the kind alone, so equal values get equal pseudonyms in every document, however they are
+spelled, and different values stay different; with the key it can be undone, but where an IBAN or a
+card in unusual groups and a neighbour beside a blank happen to validate together afterwards.
+What does not validate is left as it is.
 
 | kind | checked | permuted |
 | --- | --- | --- |
 | secret | 12 or more hexadecimal digits after a name such as password or token | the digits |
 | email | shape | letters and digits of the local part |
 | iban | length, remainder 97 | digits behind the check digits, which are set anew |
-| date | calendar, years 1900 to 2099 | day |
+| date | calendar, years 1900 to 2099; month first where the second number is over 12 | day, so that days over 12 stay so |
 | ip | octets | the 32-bit address |
-| phone | country sign, 8 to 15 digits | digits behind the country code |
+| phone | `+`, 8 to 15 digits | digits behind the country code |
 | ssn | number ranges | all digits |
-| card | 13 to 19 digits, Luhn | digits before the check digit, which is set anew |
+| card | 13 to 19 digits, Luhn; usual groups (4-4-4-4, 4-6-5, 4-6-4, 4-4-4-4-3, all in one) before others | digits before the check digit, which is set anew |
 
 Defined results: a NULL text stays NULL and an empty one empty, both without findings;
 texts are searched whole, whatever their length; repeated rows give repeated results; an
-empty table gives an empty result; other columns are kept, whatever their names.
+empty table gives an empty result; other columns are kept, whatever their names: if one is
+called like the findings (in any case), these take underscores behind their name.
 """
 
 from __future__ import annotations
@@ -35,12 +36,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tickersift.llm.sharding import unused
+
 ROUNDS = 10
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
 DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 HEX = DIGITS + "abcdef"
+HEX_MIXED = HEX + "ABCDEF"
+
+# Country calling codes of one and of two digits; all others have three.
+CODES_1 = ["1", "7"]
+CODES_2 = [
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49",
+    "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66",
+    "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+]
+
+# Groups of digits in which cards are printed, those first that are tried first.
+CARD_GROUPS = [(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)]
 
 FINDINGS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
 
@@ -79,15 +94,20 @@ class Feistel:
             value = self.permute(kind, value, radix, length, undo)
         return value
 
-    def string(self, kind: str, text: str, alphabet: str, undo: bool = False) -> str:
+    def string(self, kind: str, text: str, alphabet: str, undo: bool = False, valid: Callable[[str], bool] = lambda _: True) -> str:
+        """The permutation of the valid strings over the alphabet."""
+
+        def spelled(value: int) -> str:
+            out = []
+            for _ in text:
+                value, digit = divmod(value, len(alphabet))
+                out.append(alphabet[digit])
+            return "".join(reversed(out))
+
         value = 0
         for c in text:
             value = value * len(alphabet) + alphabet.index(c)
-        value, out = self.permute(kind, value, len(alphabet), len(text), undo), []
-        for _ in text:
-            value, digit = divmod(value, len(alphabet))
-            out.append(alphabet[digit])
-        return "".join(reversed(out))
+        return spelled(self.walk(kind, value, len(alphabet), len(text), lambda v: valid(spelled(v)), undo))
 
 
 def luhn_digit(payload: str) -> int:
@@ -113,6 +133,14 @@ def only(text: str, characters: str) -> str:
     return "".join(c for c in text.lower() if c in characters)
 
 
+def valid_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == int(digits[-1]) and bool(digits.strip("0"))
+
+
+def calling_code(digits: str) -> str:
+    return digits[:1] if digits[:1] in CODES_1 else digits[: 2 if digits[:2] in CODES_2 else 3]
+
+
 def valid_ssn(value: int) -> bool:
     area, group, serial = value // 10**6, value // 10**4 % 100, value % 10**4
     return 0 < area < 900 and area != 666 and group > 0 and serial > 0
@@ -127,12 +155,17 @@ class Pseudonyms:
     def of(self, kind: str, text: str) -> str | None:
         return getattr(self, kind)(text)
 
-    def _part(self, kind: str, text: str, alphabet: str) -> str:
-        return self.feistel.string(kind, text, alphabet, self.undo)
+    def _part(self, kind: str, text: str, alphabet: str, valid: Callable[[str], bool] = lambda _: True) -> str:
+        return self.feistel.string(kind, text, alphabet, self.undo, valid)
 
     def secret(self, text: str) -> str:
-        new = self._part("secret", text.lower(), HEX)
-        return new.upper() if text.isupper() else new
+        """Digits only, letters of one case and letters of both are permuted among themselves, so the pseudonym shows which it was."""
+        if text.isdigit():
+            return self._part("secret digits", text, DIGITS)
+        if text.isupper() or text.islower():
+            new = self._part("secret", text.lower(), HEX, lambda s: not s.isdigit())
+            return new.upper() if text.isupper() else new
+        return self._part("secret mixed", text, HEX_MIXED, lambda s: s != s.lower() and s != s.upper())
 
     def email(self, text: str) -> str:
         local, at, domain = text.rpartition("@")
@@ -153,15 +186,20 @@ class Pseudonyms:
         parts = re.split(r"[-/.]", text)
         year_first = len(parts[0]) == 4
         y, m, d = (parts if year_first else parts[::-1])
+        month_first = not year_first and int(m) > 12
+        if month_first:
+            m, d = d, m
         try:
             day = datetime.date(int(y), int(m), int(d))
         except ValueError:
             return None
-        if not 0 <= day.toordinal() - FIRST_DAY < DAYS:
+        number = day.toordinal() - FIRST_DAY
+        if not 0 <= number < DAYS:
             return None
-        moved = self.feistel.walk("date", day.toordinal() - FIRST_DAY, 2, 17, lambda v: v < DAYS, self.undo)
-        new = datetime.date.fromordinal(FIRST_DAY + moved)
-        digits = f"{new:%Y%m%d}" if year_first else f"{new:%d%m%Y}"
+        # Days over 12 among themselves, so that one written behind its month is read so again.
+        same = lambda v: v < DAYS and (datetime.date.fromordinal(FIRST_DAY + v).day > 12) == (day.day > 12)
+        new = datetime.date.fromordinal(FIRST_DAY + self.feistel.walk("date", number, 2, 17, same, self.undo))
+        digits = f"{new:%Y%m%d}" if year_first else f"{new:%m%d%Y}" if month_first else f"{new:%d%m%Y}"
         return refill(text, DIGITS, digits)
 
     def ip(self, text: str) -> str | None:
@@ -175,8 +213,8 @@ class Pseudonyms:
         digits = only(text, DIGITS)
         if not 8 <= len(digits) <= 15:
             return None
-        code = len(re.match(r"\+([0-9]{1,3})", text)[1]) if not text[1:].isdigit() else 1
-        return refill(text, DIGITS, digits[:code] + self._part("phone", digits[code:], DIGITS))
+        code = calling_code(digits)
+        return refill(text, DIGITS, code + self._part(f"phone {code}", digits[len(code) :], DIGITS))
 
     def ssn(self, text: str) -> str | None:
         value = int(only(text, DIGITS))
@@ -186,9 +224,11 @@ class Pseudonyms:
 
     def card(self, text: str) -> str | None:
         digits = only(text, DIGITS)
-        if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != int(digits[-1]) or not digits.strip("0"):
+        if not valid_card(digits):
             return None
-        payload = self._part("card", digits[:-1], DIGITS)
+        # The first 16 of 19 digits are tried before them; so they validate in the pseudonym only if they did before.
+        same = lambda s: len(s) < 18 or valid_card(s[:16]) == valid_card(digits[:16])
+        payload = self._part("card", digits[:-1], DIGITS, same)
         return refill(text, DIGITS, payload + str(luhn_digit(payload)))
 
 
@@ -206,10 +246,33 @@ PATTERNS = {
 
 
 def ends(kind: str, text: str, begin: int, end: int) -> list[int]:
-    """Ends of the candidates of a match, longest first. Blanks may join a card or an IBAN to a neighbour, so they may end behind any group."""
+    """Ends of the candidates of a match, in the order in which they are tried.
+
+    Blanks may join a card or an IBAN to a neighbour, so they may end behind any group: IBANs
+    the longest first, cards in usual groups first. A card in usual groups that begins further
+    on in the match goes before one in unusual groups that begins here.
+    """
     if kind not in ("card", "iban"):
         return [end]
-    return [m.end() for m in re.compile("[^ -]+").finditer(text, begin, end)][::-1]
+    groups = [m.span() for m in re.compile("[^ -]+").finditer(text, begin, end)]
+    found = [e for _, e in groups][::-1]
+    if kind == "iban":
+        return found
+    usual = usual_cards(groups)
+    beyond = [m.span() for m in re.compile("[0-9]+").finditer(text, begin, re.compile("(?:[ -]?[0-9])*").match(text, end, end + 24).end())]
+    for at in range(1, len(groups)):
+        for later in usual_cards(beyond[at:]):
+            if valid_card(only(text[beyond[at][0] : later], DIGITS)):
+                return [*usual, groups[0][1]]
+    return usual + [e for e in found if e not in usual]
+
+
+def usual_cards(groups: list[tuple[int, int]]) -> list[int]:
+    """Ends of the cards in usual groups that begin with the first group."""
+    lengths = tuple(e - b for b, e in groups)
+    if lengths[0] >= 13:
+        return [groups[0][1]]
+    return [groups[len(g) - 1][1] for g in CARD_GROUPS if lengths[: len(g)] == g]
 
 
 def replaced(text: str, finder: re.Pattern, numbers: re.Pattern, names: Pseudonyms) -> tuple[str, list[tuple[str, int, int]]]:
@@ -236,6 +299,7 @@ _DIGIT = re.compile("[0-9]")
 def pseudonymised(docs: DataFrame, key: bytes, text_column: str = "text", findings_column: str = "pii", undo: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in the text, and a last column with what was found and where it was."""
     at, names = docs.columns.index(text_column), docs.columns
+    findings_column = unused(findings_column, names)
     schema = T.StructType([*docs.schema.fields, T.StructField(findings_column, FINDINGS)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
 

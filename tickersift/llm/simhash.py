@@ -84,7 +84,7 @@ def flips(bits: int, most: int) -> list[int]:
 
 def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a, b) that connect all fingerprints (distinct longs in fp) within ``radius`` bits."""
-    half = radius // 2
+    half = (radius + 1) // 2
     variants = sum(math.comb(BITS, k) for k in range(half + 1))
     count = fps.count()
     bits = max(10, math.ceil(math.log2(max(1, count * variants) / (2 * STEP_VARIANTS) + 1)))
@@ -125,20 +125,28 @@ def linked(fp: np.ndarray, left: np.ndarray, prefix: np.uint64, bits: int, radiu
             found.append(linked(fp[still >= 0], still[still >= 0], longer, bits + 1, radius))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
     low = np.uint64((1 << rest) - 1)
-    made, source = [], []
+    made, source, spent = [], [], []
     for n in range(int(left.max()) + 1):
         own = np.flatnonzero(left == n)
         masks = np.array(flips(rest, n), np.uint64)
         made.append(((fp[own] & low)[:, None] ^ masks).ravel())
         source.append(np.repeat(own, len(masks)))
+        if radius % 2:
+            spent.append(np.tile(np.bitwise_count(masks) == n, len(own)))
     variant, source = np.concatenate(made), np.concatenate(source)
-    order = np.argsort(variant, kind="stable")
+    if radius % 2:
+        # Two that flipped the most bits each may be too far apart by one. One that flipped fewer is near all the
+        # others; it comes first. Without such a one, pairs near enough meet at another variant.
+        order = np.lexsort((np.concatenate(spent), variant))
+    else:
+        order = np.argsort(variant, kind="stable")
     variant, owner = variant[order], fp[source[order]]
     same = variant[1:] == variant[:-1]
     if not same.any():
         return none, none
     begins = np.flatnonzero(np.concatenate([[True], ~same]))
-    least = np.repeat(np.minimum.reduceat(owner, begins), np.diff(np.append(begins, len(owner))))
+    chosen = owner[begins] if radius % 2 else np.minimum.reduceat(owner, begins)
+    least = np.repeat(chosen, np.diff(np.append(begins, len(owner))))
     apart = least != owner
     pairs = np.unique(np.stack([least[apart], owner[apart]], 1), axis=0)
     pairs = pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= radius]
