@@ -19,9 +19,11 @@ from tickersift.plans.crawl import chapter_texts, film_listing
 from tickersift.sinks.tables import (
     dated,
     read_csv,
+    read_lines_of_title,
     read_text_by_title,
     write_by_date,
     write_csv,
+    write_lines_by_title,
     write_text_by_title,
 )
 from tickersift.sources.pages import paged_urls, read_page_files
@@ -181,3 +183,29 @@ def test_text_by_title(spark, tmp_path):
     write_text_by_title(df, path)
     rows = sorted((r.title or "", r.value) for r in read_text_by_title(spark, path).collect())
     assert rows == [("", "n"), ("1997", "z"), ("a/b: c", "x"), ("a/b: c", "y")]
+
+
+def test_lines_by_title_keep_their_order_and_texts_apart(spark, tmp_path):
+    long = "\n".join(f"line {i}" for i in range(300))
+    rows = [("a", 2, long), ("b", 1, "x\n\ny\n"), ("a", 1, "first\ntext"), (None, 1, "n"), ("c", 1, None), ("d", 1, "")]
+    path = str(tmp_path / "lines")
+    write_lines_by_title(spark.createDataFrame(rows, "title string, part long, text string").repartition(3), path)
+
+    def texts(title):
+        found = {}
+        for r in read_lines_of_title(spark, path, title).collect():
+            found.setdefault(r.part, []).append(r.line)
+        return {part: "\n".join(lines) for part, lines in found.items()}
+
+    assert texts("a") == {1: "first\ntext", 2: long} and texts("b") == {1: "x\n\ny\n"}
+    assert texts(None) == {1: "n"} and texts("c") == {} and texts("d") == {1: ""}
+    plan = read_lines_of_title(spark, path, "a")._jdf.queryExecution().toString()
+    assert "EqualTo(title,a)" in plan or "EqualNullSafe(title,a)" in plan
+    for title in "ab":  # in the files too, lines stand in their order
+        stored = [r.position for r in spark.read.parquet(path).where(F.col("title") == title).where("part = 1").collect()]
+        assert stored == sorted(stored)
+
+
+def test_lines_of_no_texts(spark, tmp_path):
+    write_lines_by_title(spark.createDataFrame([], "title string, part long, text string"), str(tmp_path / "none"))
+    assert read_lines_of_title(spark, str(tmp_path / "none"), "a").count() == 0

@@ -404,6 +404,8 @@ SQL: dict[str, str] = {
       CAST(page_id % 10 AS VARCHAR) || '.' AS "Score", CAST(page_id % 7 AS VARCHAR) AS "Float"
       FROM pages WHERE regexp_matches(html, '<title>[^ <]')""",
     "sink_text_by_title": f"""SELECT {TITLE_WORD} AS title, unnest(string_split({BODY}, chr(10))) AS line FROM pages""",
+    "sink_lines_by_title": f"""SELECT page_id, title, CAST(unnest(range(len(lines))) AS INTEGER) AS position, unnest(lines) AS line
+      FROM (SELECT page_id, {TITLE_WORD} AS title, string_split({BODY}, chr(10)) AS lines FROM pages)""",
 }
 # The same records, whichever way their pages were found.
 SQL["paged_listing"] = SQL["film_records"]

@@ -49,6 +49,7 @@ from tickersift.sinks.tables import (
     read_text_by_title,
     write_by_date,
     write_csv,
+    write_lines_by_title,
     write_page_files,
     write_text_by_title,
 )
@@ -507,6 +508,14 @@ def sink_text_by_title(spark: SparkSession, sf: str) -> DataFrame:
     return read_text_by_title(spark, path).select("title", F.col("value").alias("line"))
 
 
+def sink_lines_by_title(spark: SparkSession, sf: str) -> DataFrame:
+    """Page texts by title with the place of every line, equal titles kept apart, read back from one sorted table."""
+    path = scratch_path(spark, "lines")
+    texts = pages(spark, sf).select("page_id", title_word().alias("title"), first_match(F.col("html"), BODY).alias("text"))
+    write_lines_by_title(texts, path, part="page_id")
+    return spark.read.parquet(path).withColumnRenamed("part", "page_id")
+
+
 QUERIES: dict[str, Query] = {
     "scan_master": scan_master,
     "scan_snapshot": scan_snapshot,
@@ -567,4 +576,5 @@ QUERIES: dict[str, Query] = {
     "sink_csv_gbk": sink_csv_gbk,
     "film_records": film_records,
     "sink_text_by_title": sink_text_by_title,
+    "sink_lines_by_title": sink_lines_by_title,
 }

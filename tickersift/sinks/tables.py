@@ -89,3 +89,25 @@ def write_text_by_title(df: DataFrame, path: str, title: str = "title", text: st
 
 def read_text_by_title(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("value string, title string").option("lineSep", "\n").text(path)
+
+
+def write_lines_by_title(df: DataFrame, path: str, title: str = "title", text: str = "text", part: str = "part") -> None:
+    """One table of the lines of all texts, in the order of title, part and place in the text.
+
+    Columns: title, part (which tells the texts of one title apart, and sorts them),
+    position (from 0) and line. Texts are dealt by ranges of (title, part), so one title of
+    many texts spans several tasks, and each file holds a range of titles: a reader of one
+    title skips the other files and row groups by their statistics. However many titles
+    there are, files are as many as tasks. A NULL text has no lines, an empty one an empty
+    line; the NULL title is a title like any other. Texts with equal title and part cannot be
+    told apart by a reader who sorts.
+    """
+    texts = df.select(F.col(title).alias("title"), F.col(part).alias("part"), F.split(F.col(text), "\n", -1).alias("lines"))
+    placed = texts.repartitionByRange("title", "part").sortWithinPartitions("title", "part")
+    placed.select("title", "part", F.posexplode("lines").alias("position", "line")).write.mode("overwrite").parquet(path)
+
+
+def read_lines_of_title(spark: SparkSession, path: str, title: str | None) -> DataFrame:
+    """Lines of one title, in order; only row groups that can hold it are read."""
+    lines = spark.read.parquet(path).where(F.col("title").eqNullSafe(F.lit(title)))
+    return lines.orderBy("part", "position")
