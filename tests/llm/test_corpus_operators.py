@@ -256,6 +256,24 @@ def test_repeated_bytes_equal_brute_force(docs, rows, length, hot):
     assert Counter(tuple(r)[:5] for r in repeated_bytes(docs, length, hot).collect()) == want
 
 
+def test_places_of_a_very_common_window_stay_in_their_tasks(spark):
+    length, n = 400, 601
+    texts = [(i, i, "x" * (length + n - 1), [(n, 1, repeats.SINGLE)], 1) for i in range(8)]
+    texts += [(8 + i, 8 + i, c * length, [(1, 1, repeats.SINGLE)], 1) for i, c in enumerate("yyz")]
+    schema = "k1 long, k2 long, text string, marks array<struct<at:long,key:long,route:int>>, copies long"
+    carriers = spark.createDataFrame(texts, schema)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = repeats._single_runs(carriers, length, 1000).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = [(i, i, b, b + 1) for i in range(8) for b in range(n)] + [(8, 8, 0, 1), (9, 9, 0, 1)]
+    assert sorted(tuple(r)[:4] for r in found) == want
+    # One window has 8 * 601 places; no task holds them all.
+    assert max(Counter(r["task"] for r in found).values()) < 8 * n
+
+
 def test_windows_of_one_bucket_equal_brute_force(monkeypatch):
     rng = random.Random(9)
     for mask in (1, 7, 31):
