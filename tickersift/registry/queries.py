@@ -50,7 +50,7 @@ from tickersift.sinks.tables import (
     write_by_date,
     write_csv,
     write_lines_by_title,
-    write_page_files,
+    write_page_folders,
     write_text_by_title,
 )
 from tickersift.sources.ledgers import read_sheet_folder, read_sheets
@@ -442,8 +442,8 @@ def page_files_gbk(spark: SparkSession, sf: str) -> DataFrame:
     broken = F.when(F.col("page_id") % 3 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
     raw = pages(spark, sf).select("page_id", F.concat(encode_text(spark, flat), broken).alias("content"))
     path = scratch_path(spark, "page-files")
-    write_page_files(raw, path)
-    read = packed_page_files(spark, path, glob="*.csv")
+    folders = write_page_folders(raw, path)
+    read = packed_page_files(spark, path, glob="*.csv", tasks=folders)
     return read.select(F.regexp_extract("url", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"), "html")
 
 

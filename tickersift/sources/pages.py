@@ -14,15 +14,21 @@ def read_page_files(spark: SparkSession, path: str, charset: str = "GBK") -> Dat
     return decode_pages(files.select(F.col("path").alias("url"), "content"), charset)
 
 
-def packed_page_files(spark: SparkSession, path: str, charset: str = "GBK", glob: str = "*") -> DataFrame:
+def packed_page_files(
+    spark: SparkSession, path: str, charset: str = "GBK", glob: str = "*", tasks: int | None = None
+) -> DataFrame:
     """Page files below a folder, in the charset they were stored in.
 
     Page files are small and many: the reader puts files of ``spark.sql.files.maxPartitionBytes``
-    in all into one task, each counted with ``openCostInBytes``. Broken bytes become U+FFFD
-    and never fail the job; a file's last line feed is not part of the page.
+    in all into one task, each counted with ``openCostInBytes``, so 32 files at most by default;
+    with ``tasks`` it puts them into that many tasks at most, or into one for each core if those are more.
+    Broken bytes become U+FFFD and never fail the job; a file's last line feed is not part of the page.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    pages = decode_pages(reader.load(path).select(F.col("path").alias("url"), "content"), charset)
+    files = reader.load(path).select(F.col("path").alias("url"), "content")
+    if tasks is not None:
+        files = files.coalesce(max(tasks, spark.sparkContext.defaultParallelism))
+    pages = decode_pages(files, charset)
     return pages.withColumn("html", F.regexp_replace("html", r"\n\z", ""))
 
 
