@@ -5,9 +5,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tickersift.functions.scratch import mounted_path
 from tickersift.registry.queries import QUERIES
-from tickersift.sinks.tables import mounted_path, write_page_folders
-from tickersift.sources.pages import packed_page_files
+from tickersift.sinks import tables
+from tickersift.sinks.tables import write_page_folders
+from tickersift.sources import pages
+from tickersift.sources.pages import packed_page_files, read_page_folders
 
 SCHEMA = "page_id long, content binary"
 
@@ -24,7 +27,7 @@ def test_the_query_puts_many_page_files_into_a_folder_and_a_task(spark, tmp_path
     before = set(os.listdir(shared))
     found = QUERIES["page_files_gbk"](spark, str(tmp_path))
     (folder,) = {x for x in os.listdir(shared) if x.startswith("page-files-")} - before
-    stored = [x for x in os.listdir(f"{shared}/{folder}")]
+    stored = os.listdir(f"{shared}/{folder}")
     files = files_below(f"{shared}/{folder}")
     assert len(files) == 300 and len(stored) <= 4  # before: 300 folders
     size = "spark.sql.files.maxPartitionBytes"
@@ -38,22 +41,25 @@ def test_the_query_puts_many_page_files_into_a_folder_and_a_task(spark, tmp_path
     assert {r.page_id: r.html for r in found.collect()} == flat and found.count() == 300
 
 
-def test_page_folders_keep_every_byte_and_row(spark, tmp_path):
+def test_page_folders_keep_every_byte_and_row(spark, tmp_path, monkeypatch):
     every = bytes(b for b in range(256) if b not in b"\r\n")
     rows = [(i, bytearray(b"%d " % i + every)) for i in range(25)] + [(7, bytearray(b"again")), (30, None), (31, bytearray()), (None, bytearray(b"none"))]
     path = str(tmp_path / "pages")
-    folders = write_page_folders(spark.createDataFrame(rows, SCHEMA).repartition(3, F.col("page_id")), f"file://{path}", pages=4)
+    write_page_folders(spark.createDataFrame(rows, SCHEMA).repartition(3, F.col("page_id")), f"file://{path}", pages=4)
     found = files_below(path)
     names = {f"page_id={i}.csv": b"%d " % i + every + b"\n" for i in range(25)} | {"page_id=__HIVE_DEFAULT_PARTITION__.csv": b"none\n"}
     got = {x.split("/")[-1]: c for x, c in found.items()}
     assert sorted(got.pop("page_id=7.csv").split(b"\n")) == sorted(names.pop("page_id=7.csv").split(b"\n") + [b"again"])
     assert got == names and len(found) == 26
     held = [len(os.listdir(f"{path}/{d}")) for d in os.listdir(path)]
-    assert len(held) == folders and max(held) <= 4
-    read = packed_page_files(spark, path, "ISO-8859-1", tasks=folders)
-    assert read.rdd.getNumPartitions() <= max(folders, spark.sparkContext.defaultParallelism)
+    assert max(held) <= 4
+    monkeypatch.setattr(pages, "BATCH_BYTES", 600)
+    read = read_page_folders(spark, f"file://{path}", "ISO-8859-1")
+    assert read.rdd.getNumPartitions() == len(held)
+    packed = packed_page_files(spark, path, "ISO-8859-1", "*.csv")
+    assert sorted(read.collect()) == sorted(packed.collect()) and read.dtypes == packed.dtypes and read.count() == 26
     html = {r.url.split("page_id=")[1]: r.html for r in read.collect()}
-    assert html["3.csv"] == (b"3 " + every).decode("latin-1") and len(html) == 26
+    assert html["3.csv"] == (b"3 " + every).decode("latin-1")
 
 
 def test_names_are_encoded_and_folders_never_mix(spark, tmp_path):
@@ -64,8 +70,17 @@ def test_names_are_encoded_and_folders_never_mix(spark, tmp_path):
         write_page_folders(rows, str(tmp_path / "p"), "title")
     with pytest.raises(Exception, match="line breaks"):
         write_page_folders(spark.createDataFrame([(1, bytearray(b"a\rb"))], SCHEMA), str(tmp_path / "broken"))
-    none = write_page_folders(spark.createDataFrame([], SCHEMA), str(tmp_path / "none"))
-    assert none == 0 and packed_page_files(spark, str(tmp_path / "none"), tasks=none).count() == 0
+    write_page_folders(spark.createDataFrame([], SCHEMA), str(tmp_path / "none"))
+    assert read_page_folders(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_other_file_systems_get_a_folder_a_page(spark, tmp_path, monkeypatch):
+    for module in (tables, pages):
+        monkeypatch.setattr(module, "mounted_path", lambda *_: None)
+    path = str(tmp_path / "p")
+    write_page_folders(spark.createDataFrame([(i, bytearray(b"%d" % i)) for i in range(5)], SCHEMA), path)
+    assert sorted(x for x in os.listdir(path) if "=" in x) == [f"page_id={i}" for i in range(5)]
+    assert sorted(r.html for r in read_page_folders(spark, path).collect()) == [str(i) for i in range(5)]
 
 
 def test_mounted_paths(spark):

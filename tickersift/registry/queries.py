@@ -55,7 +55,7 @@ from tickersift.sinks.tables import (
 )
 from tickersift.sources.ledgers import read_sheet_folder, read_sheets
 from tickersift.sources.market import between_dates, first_symbols, listed_instruments, read_table, snapshot
-from tickersift.sources.pages import decode_pages, packed_page_files, paged_urls
+from tickersift.sources.pages import decode_pages, paged_urls, read_page_folders
 from tickersift.sources.schemas import LEDGER_COLUMNS, conform
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -442,8 +442,8 @@ def page_files_gbk(spark: SparkSession, sf: str) -> DataFrame:
     broken = F.when(F.col("page_id") % 3 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
     raw = pages(spark, sf).select("page_id", F.concat(encode_text(spark, flat), broken).alias("content"))
     path = scratch_path(spark, "page-files")
-    folders = write_page_folders(raw, path)
-    read = packed_page_files(spark, path, glob="*.csv", tasks=folders)
+    write_page_folders(raw, path)
+    read = read_page_folders(spark, path)
     return read.select(F.regexp_extract("url", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"), "html")
 
 

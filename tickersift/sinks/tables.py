@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from contextlib import suppress
 from datetime import date
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from tickersift.functions.charset import allow_legacy_charsets, representable
+from tickersift.functions.scratch import mounted_path
 
 
 def dated(path: str, day: date) -> str:
@@ -85,23 +85,15 @@ def write_page_files(df: DataFrame, path: str, name: str = "page_id", content: s
     rows.write.mode("overwrite").options(**plain).partitionBy(name).csv(path)
 
 
-def mounted_path(spark: SparkSession, path: str) -> str | None:
-    """The path for plain file calls, if it is one of a mounted file system (``file:``, or the default one if that is local)."""
-    if not re.match("[a-zA-Z][a-zA-Z0-9+.-]*:", path):
-        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
-        return os.path.abspath(path) if default.startswith("file:") else None
-    return re.sub("^file:/+", "/", path) if path.startswith("file:/") else None
-
-
-def write_page_folders(df: DataFrame, path: str, name: str = "page_id", content: str = "content", pages: int = 1000) -> int | None:
-    """The files of ``write_page_files``, ``pages`` of them to a folder: ``00003-0000/page_id=7.csv``. Returns the folders' number.
+def write_page_folders(df: DataFrame, path: str, name: str = "page_id", content: str = "content", pages: int = 1000) -> None:
+    """The files of ``write_page_files``, ``pages`` of them to a folder: ``000003/page_id=7.csv``.
 
     On a mounted file system Hadoop starts a process or more for each file that it creates, to
     set its mode, and a folder for each page makes listing as dear as reading; so tasks write plain files
     there. Names are URL-encoded. Each task attempt writes to folders of its own, and those of the
     attempts that count are moved to ``path``, which must be new. Rows of one name that meet in a task share a
     file, and empty content leaves none, as in ``write_page_files``. Other file systems
-    get that function's files, one folder a page, and None is returned.
+    get that function's files, one folder a page. ``read_page_folders`` reads both.
     """
     root = mounted_path(df.sparkSession, path)
     if root is None:
@@ -113,7 +105,7 @@ def write_page_folders(df: DataFrame, path: str, name: str = "page_id", content:
     def write(batches):
         import pyarrow as pa
 
-        task = TaskContext.get()
+        attempt = TaskContext.get().taskAttemptId()
         folders, files, last, out = [], 0, None, None
         try:
             for batch in batches:
@@ -127,24 +119,22 @@ def write_page_folders(df: DataFrame, path: str, name: str = "page_id", content:
                         if out:
                             out.close()
                         if files % pages == 0:
-                            folders.append((f"{task.partitionId():05d}-{files // pages:04d}", f"{begun}/{task.taskAttemptId()}-{files // pages:04d}"))
-                            os.mkdir(folders[-1][1])
-                        out = open(f"{folders[-1][1]}/{key}.csv", "wb")
+                            folders.append(f"{begun}/{attempt}-{files // pages}")
+                            os.mkdir(folders[-1])
+                        out = open(f"{folders[-1]}/{key}.csv", "wb")
                         files, last = files + 1, key
                     out.write(line + b"\n")
         finally:
             if out:
                 out.close()
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*folders, strict=True)] or [pa.array([], pa.string())] * 2, names=["folder", "begun"])
+        yield pa.RecordBatch.from_arrays([pa.array(folders, pa.string())], names=["folder"])
 
     key = F.concat(F.lit(f"{name}="), F.coalesce(F.url_encode(F.nullif(F.col(name).cast("string"), F.lit(""))), F.lit("__HIVE_DEFAULT_PARTITION__")))
     rows = df.select(key.alias("key"), content).sortWithinPartitions("key")
-    moved = rows.mapInArrow(write, "folder string, begun string").collect()  # one row a folder
-    for row in moved:
-        os.rename(row["begun"], f"{root}/{row['folder']}")
-    with suppress(OSError):  # what failed attempts left stays there, where Spark's readers don't look
+    for i, row in enumerate(rows.mapInArrow(write, "folder string").collect()):  # one row a folder
+        os.rename(row["folder"], f"{root}/{i:06d}")
+    with suppress(OSError):  # what failed attempts left stays there, where readers don't look
         os.rmdir(begun)
-    return len(moved)
 
 
 def write_text_by_title(df: DataFrame, path: str, title: str = "title", text: str = "text") -> None:
